@@ -63,3 +63,66 @@ def as_of(captures: DataFrame, entries: DataFrame) -> DataFrame:
     return c.join(best, "_row", "left").select(
         "page_id", "host", "fetched_at", F.col("b.list").alias("list"), F.col("b.key").alias("pattern"), F.col("b.valid_from").alias("listed_since"), F.coalesce("b.list", F.lit("none")).alias("decision")
     )
+
+
+# The tables have pages but neither fetch times nor lists, so both are derived from what is there: pages are
+# fetched over two years, and each host, some parent domains and some paths are listed and unlisted at times given by a digest.
+_DAY0 = "2023-01-01 00:00:00"
+
+
+def dated_captures(pages: DataFrame) -> DataFrame:
+    """(page_id, url, fetched_at): a fetch time for each page, by the digest of its url and page_id."""
+    digest = F.md5(F.concat(F.col("page_id").cast("string"), F.lit(" "), F.col("url")))
+    minutes = F.conv(F.substring(digest, 1, 5), 16, 10).cast("int")
+    return pages.select("page_id", "url", (F.lit(_DAY0).cast("timestamp") + F.make_interval(mins=minutes)).alias("fetched_at"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """(list, pattern, action, at) for the hosts of ``pages``, their parent domains and the first parts of their paths."""
+    h = host(F.col("url"))
+    path = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^/?#]+)", 1)
+    hosts = pages.select(h.alias("host"), path.alias("path")).where("host IS NOT NULL")
+    patterns = hosts.select(F.explode(F.array(F.col("host"), F.regexp_replace("host", r"^[^.]+\.", ""), F.concat("host", "path"))).alias("pattern")).distinct()
+    digest = F.md5("pattern")
+    number = lambda at: F.conv(F.substring(digest, at, 2), 16, 10).cast("int")
+    event = lambda action, hours: F.struct(F.lit(action).alias("action"), hours.alias("hours"))
+    events = F.array(event("add", number(3) * 30), event("remove", (number(3) + number(5)) * 30), event("add", (number(3) + number(5) + number(7)) * 30))
+    named = patterns.where(number(1) < 160).select(F.when(number(1) < 40, "allow").otherwise("block").alias("list"), "pattern", F.explode(events).alias("e"))
+    return named.select("list", "pattern", "e.action", (F.lit(_DAY0).cast("timestamp") + F.make_interval(hours=F.col("e.hours"))).alias("at"))
+
+
+SQL = r"""
+WITH p AS (
+  SELECT page_id, url, row_number() OVER () AS row_id,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+    regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^/?#]+)', 1) AS first_part,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1)), '/+$', '') AS path,
+    TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST('0x' || substr(md5(page_id || ' ' || url), 1, 5) AS BIGINT)) AS fetched_at
+  FROM pages
+), patterns AS (
+  SELECT host AS pattern FROM p WHERE host IS NOT NULL
+  UNION SELECT regexp_replace(host, '^[^.]+\.', '') FROM p WHERE host IS NOT NULL
+  UNION SELECT host || first_part FROM p WHERE host IS NOT NULL
+), digests AS (
+  SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 2) AS BIGINT) AS a, CAST('0x' || substr(md5(pattern), 3, 2) AS BIGINT) AS b,
+    CAST('0x' || substr(md5(pattern), 5, 2) AS BIGINT) AS c, CAST('0x' || substr(md5(pattern), 7, 2) AS BIGINT) AS d
+  FROM patterns
+), entries AS (
+  SELECT CASE WHEN a < 40 THEN 'allow' ELSE 'block' END AS list, pattern, unnest(['add', 'remove', 'add']) AS action,
+    TIMESTAMP '2023-01-01 00:00:00' + to_hours(30 * unnest([b, b + c, b + c + d])) AS moment
+  FROM digests WHERE a < 160
+), states AS (
+  SELECT list, pattern, moment, min(CASE WHEN action = 'add' THEN 1 ELSE 0 END) AS is_on FROM entries GROUP BY ALL
+), changes AS (
+  SELECT * FROM states QUALIFY is_on <> coalesce(lag(is_on) OVER (PARTITION BY list, pattern ORDER BY moment), 0)
+), spans AS (
+  SELECT list, pattern, is_on, moment AS valid_from, lead(moment) OVER (PARTITION BY list, pattern ORDER BY moment) AS valid_to FROM changes
+), hits AS (
+  SELECT p.row_id, s.list, s.pattern, s.valid_from
+  FROM p JOIN spans s ON s.is_on = 1 AND p.fetched_at >= s.valid_from AND (s.valid_to IS NULL OR p.fetched_at < s.valid_to)
+    AND (p.host = s.pattern OR ends_with(p.host, '.' || s.pattern) OR p.host || p.path = s.pattern OR starts_with(p.host || p.path, s.pattern || '/') AND contains(s.pattern, '/'))
+  QUALIFY row_number() OVER (PARTITION BY p.row_id ORDER BY length(s.pattern) DESC, s.list, s.pattern, s.valid_from) = 1
+)
+SELECT p.page_id, p.host, p.fetched_at, h.list, h.pattern, h.valid_from AS listed_since, coalesce(h.list, 'none') AS decision
+FROM p LEFT JOIN hits h USING (row_id)
+"""
