@@ -26,7 +26,7 @@ def outlier(long: DataFrame, ignore: int = 1, at_median: bool = False) -> DataFr
     """(doc_id, atom_num, confidence): the naive Bayes product over features of uniform against normal density.
 
     The normal is fitted to the document's values without the ``ignore`` least and greatest. A feature that is
-    constant says nothing, nor does a value one to two deviations from the centre; a passage that no feature
+    constant (to 1e-12) says nothing, nor does a value one to two deviations (give or take rounding) from the centre; a passage that no feature
     speaks of gets 0.2, and so do all passages of documents with no value left to fit.
     """
     whole = Window.partitionBy("doc_id", "feature")
@@ -40,7 +40,7 @@ def outlier(long: DataFrame, ignore: int = 1, at_median: bool = False) -> DataFr
     normal = F.exp(-0.5 * F.pow(off / F.col("sd"), 2)) / (F.col("sd") * float(np.sqrt(2 * np.pi)))
     normal = F.when(normal > 0, normal).otherwise(LEAST_PROB)
     uniform = F.when(F.col("high") == F.col("low"), 1.0).otherwise(1 / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
-    speaks = (F.col("sd") > 0) & ~off.between(F.col("sd"), 2 * F.col("sd"))
+    speaks = (F.col("sd") > 1e-12) & ~off.between(F.col("sd") * (1 - 1e-9), F.col("sd") * (2 + 1e-9))
     return s.withColumn("c", F.when(speaks, F.ln(uniform / (uniform + normal)))).groupBy("doc_id", "atom_num").agg(F.coalesce(F.exp(F.sum("c")), F.lit(IMPURITY)).alias("confidence"))
 
 

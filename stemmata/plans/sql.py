@@ -132,7 +132,7 @@ def outlier(long: str = "long", key: str = "doc_id", name: str = "scored") -> st
     return f"""{name}_0 AS (SELECT *, count(*) OVER (PARTITION BY {key}, feature) AS n, row_number() OVER (PARTITION BY {key}, feature ORDER BY value, atom_num) AS r FROM {long}),
 {name}_1 AS (SELECT *, avg(value) FILTER (r > 1 AND r < n) OVER w AS mean, stddev_pop(value) FILTER (r > 1 AND r < n) OVER w AS sd, min(value) OVER w AS low, max(value) OVER w AS high FROM {name}_0 WINDOW w AS (PARTITION BY {key}, feature)),
 {name}_2 AS (SELECT *, abs(value - mean) AS off, exp(-0.5 * pow((value - mean) / nullif(sd, 0), 2)) / (nullif(sd, 0) * sqrt(2 * pi())) AS g, CASE WHEN high = low THEN 1.0 ELSE 1 / (high - low) END AS u FROM {name}_1),
-{name}_3 AS (SELECT *, CASE WHEN sd > 1e-12 AND NOT (off BETWEEN sd AND 2 * sd) THEN ln(u / (u + CASE WHEN g > 0 THEN g ELSE 1e-30 END)) END AS c FROM {name}_2),
+{name}_3 AS (SELECT *, CASE WHEN sd > 1e-12 AND NOT (off BETWEEN sd * (1 - 1e-9) AND sd * (2 + 1e-9)) THEN ln(u / (u + CASE WHEN g > 0 THEN g ELSE 1e-30 END)) END AS c FROM {name}_2),
 {name} AS (SELECT {key}, atom_num, coalesce(exp(sum(c)), 0.2) AS confidence FROM {name}_3 GROUP BY {key}, atom_num)"""
 
 
