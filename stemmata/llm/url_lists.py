@@ -50,17 +50,19 @@ def as_of(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     spans = intervals(entries).withColumnRenamed("pattern", "key")
     path = F.regexp_replace(F.lower(F.regexp_extract("url", _PATH, 1)), "/+$", "")
-    c = captures.select("page_id", host(F.col("url")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "fetched_at").withColumn("_row", F.monotonically_increasing_id())
+    c = captures.select("page_id", host(F.col("url")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "fetched_at")
+    # equal hosts, paths and times have equal answers, so those are the key: a lost task may be run again in any order
+    key = ["host", "path", "fetched_at"]
     labels, parts = F.split("host", r"\."), F.split("path", "/")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     paths = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.concat("host", F.array_join(F.slice(parts, F.lit(1), k), "/")))
     )
-    asked = c.where("host IS NOT NULL AND fetched_at IS NOT NULL").select("_row", "fetched_at", F.explode(F.array_distinct(F.concat(domains, paths))).alias("key"))
+    asked = c.where("host IS NOT NULL AND fetched_at IS NOT NULL").select(*key).distinct().select(*key, F.explode(F.array_distinct(F.concat(domains, paths))).alias("key"))
     n = spans.count()
     hits = asked.join(small(spans, n, 200), "key").where("fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to)")
-    best = hits.groupBy("_row").agg(F.min(F.struct((-F.length("key")).alias("n"), F.col("list"), F.col("key"), F.col("valid_from"))).alias("b"))
-    return c.join(best, "_row", "left").select(
+    best = hits.groupBy(*key).agg(F.min(F.struct((-F.length("key")).alias("n"), F.col("list"), F.col("key"), F.col("valid_from"))).alias("b"))
+    return c.join(best, key, "left").select(
         "page_id", "host", "fetched_at", F.col("b.list").alias("list"), F.col("b.key").alias("pattern"), F.col("b.valid_from").alias("listed_since"), F.coalesce("b.list", F.lit("none")).alias("decision")
     )
 
