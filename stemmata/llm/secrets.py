@@ -1,7 +1,7 @@
 """Secret scans that unwrap encodings: a worklist of decoded layers, each scanned, until nothing new appears.
 
 The text is the first layer. From each layer come new ones: its URL escapes decoded, its Unicode escapes decoded,
-and every run of base64 that decodes to text or to compressed data (gzip, zlib, bzip2, xz, zstd), inflated. A layer
+and every run of base64, folded into lines or not, that decodes to text or to compressed data (gzip, zlib, bzip2, xz, zstd), inflated. A layer
 whose content was seen before in the document is not taken again, so the worklist ends even where codings run in
 circles. Every character of a layer carries the span of the original text that it came from, so a finding in any
 layer names a span of the text.
@@ -19,7 +19,7 @@ import lzma
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from typing import NamedTuple
 
@@ -50,6 +50,9 @@ _HINT = (
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_FOLD = re.compile(r"[ \t]*\r?\n[ \t]*")
+#: base64 folded into lines, read as one
+_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{20,}}(?:{_FOLD.pattern}[A-Za-z0-9+/_-]{{20,}})*{_FOLD.pattern}[A-Za-z0-9+/_-]+={{0,2}}")
 _PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e\x85\xa0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]*")
 
 
@@ -80,20 +83,37 @@ def _text_of(raw: bytes) -> str | None:
     return text if text and _PRINTABLE.fullmatch(text) else None
 
 
+def _members(open_member: Callable[[], object], raw: bytes) -> bytes:
+    """All members of a compressed file, one after another; content is cut at MAX_LAYER_BYTES + 1."""
+    out, top = b"", MAX_LAYER_BYTES + 1
+    while raw and len(out) < top:
+        d = open_member()
+        try:
+            new = d.decompress(raw, top - len(out))  # type: ignore[attr-defined]
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            if not out:
+                raise
+            break  # what follows a whole member is no further one
+        out += new
+        if not d.unused_data:  # type: ignore[attr-defined]
+            break
+        raw = d.unused_data  # type: ignore[attr-defined]
+    return out
+
+
 def _inflate(raw: bytes) -> tuple[str, bytes] | None:
     """(kind, content) of compressed data; content is cut at MAX_LAYER_BYTES + 1."""
-    top = MAX_LAYER_BYTES + 1
     try:
         if raw[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(raw, top)
+            return "gzip", _members(lambda: zlib.decompressobj(31), raw)
         if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return "zlib", zlib.decompressobj().decompress(raw, top)
+            return "zlib", _members(zlib.decompressobj, raw)
         if raw[:3] == b"BZh":
-            return "bzip2", bz2.BZ2Decompressor().decompress(raw, top)
+            return "bzip2", _members(bz2.BZ2Decompressor, raw)
         if raw[:6] == b"\xfd7zXZ\x00":
-            return "xz", lzma.LZMADecompressor().decompress(raw, top)
+            return "xz", _members(lzma.LZMADecompressor, raw)
         if raw[:4] == b"\x28\xb5\x2f\xfd":
-            return "zstd", zstandard.ZstdDecompressor().decompressobj().decompress(raw)[:top]
+            return "zstd", zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read(MAX_LAYER_BYTES + 1)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
         return None
     return None
@@ -152,8 +172,8 @@ def _layers(layer: _Layer) -> Iterator[_Layer]:
     for pattern, decode, step in ((_URL, _url, "url"), (_ESCAPE, _escape, "unicode")):
         if new := _replaced(layer, pattern, decode, step):
             yield new
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=")
+    for m in (*_BASE64.finditer(layer.text), *_WRAPPED.finditer(layer.text)):
+        run = _FOLD.sub("", m.group()).rstrip("=")
         if len(run) % 4 == 1:
             continue
         try:
