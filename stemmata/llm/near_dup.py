@@ -296,5 +296,6 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: i
     if not n:
         return rest
     once = rest.join(small(repeated, n, 40), "doc_id", "left_semi")
-    once = once.withColumn("_stemmata_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_stemmata_rank = 1").select(*docs.columns)
+    rank = "_rank" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    once = once.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).select(*docs.columns)
     return rest.join(small(repeated, n, 40), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
