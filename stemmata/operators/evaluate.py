@@ -60,14 +60,18 @@ def spans_quality(detected: DataFrame, spans: DataFrame, group: list[str]) -> Da
     detections; an empty side gives null. Spans aren't merged, so overlapping ones count twice. With c detections on a
     true span, granularity is the sum of squares of c over the sum of c, and 1 where nothing overlaps.
     """
-    d = detected.select(*group, F.col("start").alias("ds"), F.col("end").alias("de")).withColumn("_d", F.monotonically_increasing_id())
-    s = spans.select(*group, F.col("start").alias("ss"), F.col("end").alias("se")).withColumn("_s", F.monotonically_increasing_id())
+    # equal spans are one row with their number: no row needs an id of its own
+    d = detected.groupBy(*group, F.col("start").alias("ds"), F.col("end").alias("de")).agg(F.count("*").alias("dm"))
+    s = spans.groupBy(*group, F.col("start").alias("ss"), F.col("end").alias("se")).agg(F.count("*").alias("sm"))
     pairs = d.join(s, group).withColumn("o", overlap(F.col("ds"), F.col("de"), F.col("ss"), F.col("se"))).where("o > 0")
     share = lambda hit, size: F.coalesce(hit, F.lit(0)) / F.nullif(size, F.lit(0))
-    by_s = pairs.groupBy(*group, "_s").agg(F.sum("o").alias("o"), F.count("*").alias("c"))
-    by_d = pairs.groupBy(*group, "_d").agg(F.sum("o").alias("o"))
-    recall = s.join(by_s, [*group, "_s"], "left").groupBy(*group).agg(F.avg(share(F.col("o"), F.col("se") - F.col("ss"))).alias("recall"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("c"))
-    precision = d.join(by_d, [*group, "_d"], "left").groupBy(*group).agg(F.avg(share(F.col("o"), F.col("de") - F.col("ds"))).alias("precision"))
+    mean = lambda v, m: F.sum(v * m) / F.sum(F.when(v.isNotNull(), m))
+    by_s = pairs.groupBy(*group, "ss", "se").agg(F.sum(F.col("o") * F.col("dm")).alias("o"), F.sum("dm").alias("c"))
+    by_d = pairs.groupBy(*group, "ds", "de").agg(F.sum(F.col("o") * F.col("sm")).alias("o"))
+    recall = s.join(by_s, [*group, "ss", "se"], "left").groupBy(*group).agg(
+        mean(share(F.col("o"), F.col("se") - F.col("ss")), F.col("sm")).alias("recall"), F.sum(F.col("c") * F.col("c") * F.col("sm")).alias("cc"), F.sum(F.col("c") * F.col("sm")).alias("c")
+    )
+    precision = d.join(by_d, [*group, "ds", "de"], "left").groupBy(*group).agg(mean(share(F.col("o"), F.col("de") - F.col("ds")), F.col("dm")).alias("precision"))
     j = precision.join(recall, group, "full").withColumn("granularity", F.coalesce(F.col("cc") / F.col("c"), F.lit(1.0))).drop("cc", "c")
     f = f_measure(F.col("precision"), F.col("recall"))
     return j.withColumn("f_measure", f).withColumn("overall", overall(F.col("f_measure"), F.col("granularity")))
