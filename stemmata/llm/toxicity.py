@@ -74,7 +74,7 @@ def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cell >> BITS, cell & (1 << BITS) - 1, np.bincount(back, np.repeat(n / count[doc] / width, width))
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 300, rate: float = 0.03, decay: float = 1e-3, seed: int = 7) -> Model:
+def fit(texts: list[str], y: np.ndarray, epochs: int = 300, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> Model:
     """Train on whole texts; with no rows or one class nothing is toxic."""
     y = np.asarray(y, np.float64)
     nothing = Model(np.zeros(1 << BITS, np.float32), -20.0)
