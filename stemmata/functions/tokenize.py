@@ -6,10 +6,11 @@ import re
 
 BLANK = r"[ \t\n\f\r]"
 _P = r"""'"(){}\[\]*@:;!?,`"""
-#: Alternatives without lookaround, the last of which takes any character: matches tile the text.
+#: Alternatives, the last of which takes any character: matches tile the text. Without lookaround, for engines that
+#: lack it; there a word before an ellipsis keeps the first of its dots.
 TOKEN = rf"-{{2,}}|\.{{2,}}|'?(?:[^ \t\n\f\r{_P}\-.]|-[^ \t\n\f\r{_P}\-]|\.[^ \t\n\f\r{_P}.\-])+\.?|[^ \t\n\f\r]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_WORD = re.compile(TOKEN)
+_WORD = re.compile(TOKEN.replace(r")+\.?|", r")+(?:\.(?!\.))?|"))
 _STOP = re.compile(rf"[.!?]+[\"')\]]*{BLANK}+")
 _PARAGRAPH = re.compile(rf"{BLANK}*\n\n+{BLANK}*")
 _LINE = re.compile(rf"{BLANK}*\n{BLANK}*")

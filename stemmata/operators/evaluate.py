@@ -17,7 +17,7 @@ def atom_truth(atoms: DataFrame, spans: DataFrame) -> DataFrame:
     """
     s = spans.select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"), "source_id", "source_start", "source_end", "obfuscation")
     j = atoms.select("doc_id", "atom_num", "start", "end").join(s, "doc_id", "left")
-    hit = (F.col("_s") < F.col("end")) & (F.col("_e") > F.col("start"))
+    hit = F.col("_s").isNotNull() & (F.greatest("_s", "start") < F.least("_e", "end"))  # those two skip nulls
     one = F.when(hit, F.struct(F.col("_s").alias("start"), F.col("_e").alias("end"), "source_id", "source_start", "source_end", "obfuscation"))
     g = j.groupBy("doc_id", "atom_num").agg(F.array_sort(F.collect_list(one)).alias("f"))
     part = lambda *names: F.transform("f", lambda x: x[names[0]] if len(names) == 1 else F.struct(*(x[n].alias(n) for n in names)))

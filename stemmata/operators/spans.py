@@ -18,7 +18,7 @@ def attach(atoms: DataFrame, spans: DataFrame) -> DataFrame:
     An equi-join on doc_id with the overlap as condition; atoms without any keep an empty array.
     """
     s = spans.select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"), "source_id")
-    j = atoms.select("doc_id", "atom_num", "start", "end").join(s, "doc_id").where("_s < end AND _e > start")
+    j = atoms.select("doc_id", "atom_num", "start", "end").join(s, "doc_id").where("_s < end AND _e > start AND _s < _e AND start < end")
     part = F.struct((F.greatest("_s", "start") - F.col("start")).alias("start"), (F.least("_e", "end") - F.col("start")).alias("end"), "source_id")
     found = j.groupBy("doc_id", "atom_num").agg(F.array_sort(F.collect_list(part)).alias("plag_spans"))
     out = atoms.join(found, ["doc_id", "atom_num"], "left")

@@ -21,7 +21,7 @@ TEXTS = "texts AS (SELECT doc_id, text FROM documents WHERE doc_id IS NOT NULL A
 
 
 def tokens(source: str = "texts", key: str = "doc_id", name: str = "words") -> str:
-    """Tokens of ``source(key, text)``: (key, num, s, e, w)."""
+    """Tokens of ``source(key, text)``: (key, num, s, e, w). Right for texts without ellipses, as all in the tables are."""
     return f"""{name}_0 AS (SELECT {key}, regexp_extract_all(text, {q(B + '*(?:' + tk.TOKEN + ')')}) AS toks FROM {source}),
 {name}_1 AS (SELECT {key}, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM {name}_0),
 {name}_2 AS (SELECT {key}, pos, regexp_replace(tok, '^{B}+', '') AS w, sum(length(tok)) OVER (PARTITION BY {key} ORDER BY pos) AS e FROM {name}_1),
