@@ -140,18 +140,16 @@ def yule(stems: Column, squares: Column) -> Column:
     return 10000.0 * (squares - stems) / F.greatest(F.lit(1), stems * stems)
 
 
-def _sentence(docs: DataFrame, atom: str, n: int) -> DataFrame:
-    """One row for each passage and sentence that it touches."""
-    w = _rows(docs, atom, n, "sentence", ["syntactic_complexity"])
-    return w.groupBy(*KEY, "via_num").agg(F.count("*").alias("words"), F.sum((_syllables() > 2).cast("int")).alias("complex"), F.sum(_syllables()).alias("syllables"), _complexity().alias("complexity"))
-
-
 def sentence_features(docs: DataFrame, atom: str = "nchars", n: int = 500) -> DataFrame:
-    """Features over whole sentences: length, fog, Honore's R, Yule's K, mean complexity."""
-    s = _sentence(docs, atom, n).groupBy(*KEY).agg(F.count("*").alias("sentences"), F.sum("words").alias("words"), F.sum("complex").alias("complex"), F.sum("complexity").alias("complexity"))
-    v = _stems(units(docs, atom, "word", "sentence", n), KEY)
+    """Features over whole sentences: length, fog, Honore's R, Yule's K, mean complexity. The texts are cut once."""
+    w = _rows(docs, atom, n, "sentence", ["syntactic_complexity"])
+    f = w.groupBy(*KEY, lx.norm(F.col("text")).alias("stem")).agg(F.count("*").alias("f"), F.sum((_syllables() > 2).cast("int")).alias("complex"), _complexity().alias("complexity"), F.collect_set("via_num").alias("vias"))
+    s = f.groupBy(*KEY).agg(
+        F.count("*").alias("stems"), F.sum((F.col("f") == 1).cast("int")).alias("once"), F.sum(F.col("f") * F.col("f")).alias("squares"), F.sum("f").alias("words"), F.sum("complex").alias("complex"), F.sum("complexity").alias("complexity"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("vias")))).alias("sentences"),
+    )
     length = F.col("words") / F.greatest(F.col("sentences"), F.lit(1))
-    return s.join(v, KEY).select(
+    return s.select(
         *KEY,
         length.alias("average_sentence_length"),
         (0.4 * (length + 100 * F.col("complex") / F.greatest(F.col("words"), F.lit(1)))).alias("gunning_fog_index"),

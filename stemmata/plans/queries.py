@@ -50,7 +50,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+    """Doubles to six places, and no negative zeros."""
+    short = lambda c: F.when(F.round(c, 6) == 0, 0.0).otherwise(F.round(c, 6))
+    return df.select(*(short(F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 for _kind, _sql, _source in (("word", sql.tokens(), "words"), ("sentence", sql.SENTENCES, "sentences"), ("paragraph", sql.PARAGRAPHS, "paragraphs"), ("line", sql.LINES, "lines")):
@@ -259,6 +261,11 @@ def search_two_level_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(se.two_level(a, i, a, i, passages_first=True))
 
 
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written in the shared folder: what is read several times is made once, and outlives any executor."""
+    return Scratch(df.sparkSession, what).keep(df, "table")
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.occurrences(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -304,7 +311,10 @@ def evaluate_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.SWEEP)
 def evaluate_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ev.sweep(_judged(spark, sf_dir), _spans(spark, sf_dir)))
+    spans = kept(_spans(spark, sf_dir), "spans")
+    t = sp.truth(_pieces(spark, sf_dir), spans)
+    judged = kept(t.join(_ext(spark, sf_dir).select("doc_id", "atom_num", "confidence"), ["doc_id", "atom_num"]), "judged")
+    return rounded(ev.sweep(judged, spans))
 
 
 @query(sql.CONFUSION)
@@ -400,7 +410,7 @@ def corpus_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.TEST_CORPUS)
 def corpus_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    return cp.test_corpus(d, _spans(spark, sf_dir), cp.split(d).where("part = 'training'"))
+    return cp.test_corpus(d, kept(_spans(spark, sf_dir), "spans"), cp.split(d).where("part = 'training'"))
 
 
 @query(sql.PREFIX)

@@ -260,7 +260,8 @@ STATISTICS = f"""WITH {TEXTS}, {SPANS}, p AS (SELECT doc_id, sum(e - s) AS plag
 SELECT count(*) AS documents, round(avg(CASE WHEN plag IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share_with_plag, round(avg(CASE WHEN size >= 35000 THEN 1.0 ELSE 0.0 END), 6) AS share_long, CAST(min(size) AS INTEGER) AS "min", quantile_cont(size, 0.25) AS q1, quantile_cont(size, 0.5) AS "median",
   quantile_cont(size, 0.75) AS q3, CAST(max(size) AS INTEGER) AS "max", round(avg(size), 6) AS mean, round(coalesce(sum(plag), 0) / sum(size), 6) AS plag_share FROM j"""
 T_TEST = f"""WITH {BASE}, s AS (SELECT feature, doc_id, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM long SEMI JOIN (SELECT doc_id FROM atoms GROUP BY 1 HAVING count(*) >= 20) USING (doc_id) GROUP BY ALL)
-SELECT a.feature, a.doc_id AS doc_a, b.doc_id AS doc_b, round((a.m - b.m) / nullif(sqrt(a.v / a.n + b.v / b.n), 0), 6) AS t, round(pow(a.v / a.n + b.v / b.n, 2) / nullif(pow(a.v / a.n, 2) / nullif(a.n - 1, 0) + pow(b.v / b.n, 2) / nullif(b.n - 1, 0), 0), 6) AS freedom
+SELECT a.feature, a.doc_id AS doc_a, b.doc_id AS doc_b, CASE WHEN abs((a.m - b.m) / nullif(sqrt(a.v / a.n + b.v / b.n), 0)) < 5e-7 THEN 0.0 ELSE round((a.m - b.m) / nullif(sqrt(a.v / a.n + b.v / b.n), 0), 6) END AS t,
+  round(pow(a.v / a.n + b.v / b.n, 2) / nullif(pow(a.v / a.n, 2) / nullif(a.n - 1, 0) + pow(b.v / b.n, 2) / nullif(b.n - 1, 0), 0), 6) AS freedom
 FROM s a JOIN s b ON a.feature = b.feature AND a.doc_id < b.doc_id"""
 
 
