@@ -470,3 +470,14 @@ def model_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     net, _ = ml.train_network(_trainable(spark, sf_dir), sql.FEATURES5)
     return rounded(sc.network_confidences(_long(spark, sf_dir), net))
+
+
+@query()
+def compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The AUC of each scoring method against the same truth."""
+    long = kept(_long(spark, sf_dir), "vectors")
+    scored = None
+    for method in ("outlier", "kmeans", "kmedians", "agglom", "hmm"):
+        one = sc.cluster(long, method).select("doc_id", "atom_num", F.lit(method).alias("method"), F.round("confidence", 9).alias("confidence"))
+        scored = one if scored is None else scored.unionByName(one)
+    return rounded(ev.auc(scored.join(_truth(spark, sf_dir).select("doc_id", "atom_num", F.col("truth").alias("actual")), ["doc_id", "atom_num"]), ["method"]))
