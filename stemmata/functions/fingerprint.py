@@ -10,7 +10,7 @@ import numpy as np
 from stemmata.functions import tokenize as tk
 
 SPAN = 10_000_000
-ANCHORS = ["ul", "ay", "oo", "yo", "si", "ca", "am", "ie", "mo", "rt"]
+ANCHORS = "ul ay oo yo si ca am ie mo rt".split()
 _BLANKS = re.compile(r"[ \t\n\f\r\v]+")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stemmata.functions.tokenize import PUNCTUATION
+
 STOP = "a an and are as at be been but by for from had has have he her his i if in is it its my no not of on or our she so than that the their them they this to was we were what when which who will with would you your".split()
 SUBORDINATING = "since because as that while unless until than though although".split()
 TAGS: list[tuple[str, list[str]]] = [
@@ -25,8 +27,8 @@ WH = ["WP", "WP$", "WDT", "WRB"]
 POS_TRIGRAMS = ["NN,VB,NN", "NN,NN,VB", "VB,NN,NN", "NN,IN,NP", "NN,NN,CC", "NNS,IN,DT", "DT,NNS,IN", "VB,NN,VB", "DT,NN,IN", "NN,NN,NN", "NN,IN,DT", "NN,IN,NN", "VB,IN,DT"]
 VOWEL_TRIGRAMS = ["C,V,C", "C,V,V", "V,V,C", "V,V,V"]
 UNIGRAMS = ["is", "of", "been", "the"]
-#: What counts as punctuation for the share of punctuation characters: no ``+`` and no ``=``.
-MARKS = ",./<>?;':[]{}|!@#$%^&*()`~-_\""
+#: What counts as punctuation for the share of punctuation characters: no ``+``, no ``=`` and no backslash.
+MARKS = "".join(c for c in PUNCTUATION if c not in "+=\\")
 
 
 def norm(w: Column) -> Column:
