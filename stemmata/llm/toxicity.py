@@ -45,18 +45,21 @@ def subwords(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words of a few texts: (slots, first slot of each word (n + 1), the words' hashes)."""
     w = _text.words(col)
     hashes, one = np.unique(w.hashes, return_index=True)
-    out: list[np.ndarray] = []
-    for k in one:
-        raw = w.buf[w.starts[k] - 1 : w.ends[k] + 1].copy()
-        raw[0] = raw[-1] = 32
-        c, q = _text.prefix(raw)
-        parts = [_slots(w.hashes[k : k + 1], 0)]
-        for n in LENGTHS:
-            i = np.arange(len(raw) - n + 1)
-            if len(i):
-                parts.append(_slots((c[i + n] - c[i]) * q[i], n))
-        out.append(np.concatenate(parts))
-    return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.cumsum([0, *map(len, out)]), hashes
+    # the words one after another in one buffer, each with its two blanks
+    size = w.ends[one] - w.starts[one] + 2
+    first = np.cumsum(size) - size
+    within = np.arange(size.sum()) - np.repeat(first, size)
+    raw = w.buf[np.repeat(w.starts[one] - 1, size) + within].copy()
+    raw[first] = raw[first + size - 1] = 32
+    c, q = _text.prefix(raw)
+    word, slots = [np.arange(len(one))], [_slots(hashes, 0)]
+    for n in LENGTHS:
+        count = np.maximum(size - n + 1, 0)
+        i = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        word.append(np.repeat(np.arange(len(one)), count))
+        slots.append(_slots((c[i + n] - c[i]) * q[i], n))
+    owner = np.concatenate(word)
+    return np.concatenate(slots)[np.argsort(owner, kind="stable")], np.append(0, np.cumsum(np.bincount(owner, minlength=len(one)))), hashes
 
 
 def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
