@@ -1,10 +1,11 @@
 """Secret scans that unwrap encodings: a worklist of decoded layers, each scanned, until nothing new appears.
 
 The text is the first layer. From each layer come new ones: its URL escapes decoded, its Unicode escapes decoded,
-and every run of base64, folded into lines or not, that decodes to text or to compressed data (gzip, zlib, bzip2, xz, zstd), inflated. A layer
-whose content was seen before in the document is not taken again, so the worklist ends even where codings run in
-circles. Every character of a layer carries the span of the original text that it came from, so a finding in any
-layer names a span of the text.
+and every run of base64, folded into lines or not, that decodes to text or to compressed data (gzip, zlib, bzip2, xz, zstd), inflated. What a
+decoded run holds doesn't depend on where it stands: each content is scanned once, and its secrets are reported at
+every place of the run; a content that holds itself is not taken again inside, so the worklist ends even where codings
+run in circles. Every character of a layer carries the span of the original text that it came from, so a finding in
+any layer names a span of the text.
 
 One RE2 pass over the Arrow batch picks the texts that hold a rule's keyword, an escape or a base64 run; only those
 reach Python.
@@ -18,9 +19,12 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 from functools import partial
+from heapq import heappop, heappush
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -168,10 +172,8 @@ def _escape(m: re.Match[str]) -> list[tuple[str, int, int]] | None:
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, m.end() - m.start())]
 
 
-def _layers(layer: _Layer) -> Iterator[_Layer]:
-    for pattern, decode, step in ((_URL, _url, "url"), (_ESCAPE, _escape, "unicode")):
-        if new := _replaced(layer, pattern, decode, step):
-            yield new
+def _blobs(layer: _Layer) -> Iterator[tuple[int, int, tuple[str, ...], str | None]]:
+    """(start, end, path, content) of each base64 run of a layer that decodes; content None: it is too large."""
     for m in (*_BASE64.finditer(layer.text), *_WRAPPED.finditer(layer.text)):
         run = _FOLD.sub("", m.group()).rstrip("=")
         if len(run) % 4 == 1:
@@ -188,33 +190,100 @@ def _layers(layer: _Layer) -> Iterator[_Layer]:
                 break
         a, b = layer.span(m.start(), m.end())
         if len(content) > MAX_LAYER_BYTES:
-            yield _Layer("", [a], [b], (*path, "too-large"))
+            yield a, b, path, None
         elif (text := _text_of(content)) is not None:
-            yield _Layer(text, [a] * len(text), [b] * len(text), path)
+            yield a, b, path, text
 
 
-def scan_text(text: str) -> list[Finding]:
-    """All secrets of a text and of its layers; of a rule's findings over the same span only the shallowest."""
-    found: dict[tuple[str, int, int], Finding] = {}
-    work, seen = deque([_Layer(text, None, None, ())]), {text}
+def _escaped(text: str) -> Iterator[_Layer]:
+    """The text and what its URL and Unicode escapes decode to, each text with the same spans once; all are shorter than where they come from."""
+    work, seen = deque([_Layer(text, None, None, ())]), set()
     while work:
         layer = work.popleft()
-        if layer.path[-1:] == ("too-large",):
-            a, b = layer.starts[0], layer.ends[0]  # type: ignore[index]
-            found.setdefault(("too-large-layer", a, b), Finding("too-large-layer", a, b, len(layer.path) - 1, ">".join(layer.path[:-1]), ""))
-            continue
+        yield layer
+        for pattern, decode, step in ((_URL, _url, "url"), (_ESCAPE, _escape, "unicode")):
+            if new := _replaced(layer, pattern, decode, step):
+                key = (new.text, hashlib.sha256(array("q", [*new.starts, *new.ends])).digest())  # type: ignore[misc]
+                if key not in seen:
+                    seen.add(key)
+                    work.append(new)
+
+
+class _Scanned(NamedTuple):
+    own: list[tuple[str, int, int, tuple[str, ...], str]]  # rule, span, path, secret
+    blobs: list[tuple[int, int, tuple[str, ...], str | None]]
+
+
+def _scan_content(text: str) -> _Scanned:
+    """Secrets and decoded runs of one content, spans and paths counted from it. A run that decodes to the same content in several layers is taken in the first."""
+    own, blobs = [], []
+    places: dict[str | None, list[tuple[int, int]]] = {}  # of each content, apart and in order
+    for layer in _escaped(text):
         for rule, pattern in RULES.items():
             for m in pattern.finditer(layer.text):
                 group = next((g for g in range(1, (m.lastindex or 0) + 1) if m.group(g) is not None), 0)
                 secret = m.group(group)
                 if rule == "assigned-secret" and not (any(c.isdigit() for c in secret) and any(c.isalpha() for c in secret)):
                     continue
-                a, b = layer.span(*m.span(group))
-                found.setdefault((rule, a, b), Finding(rule, a, b, len(layer.path), ">".join(layer.path), secret))
-        for new in _layers(layer):
-            if new.path[-1] == "too-large" or new.text not in seen:
-                seen.add(new.text)
-                work.append(new)
+                own.append((rule, *layer.span(*m.span(group)), layer.path, secret))
+        for a, b, path, content in _blobs(layer):
+            there = places.setdefault(content, [])
+            k = bisect_left(there, (a, b))
+            if (k and there[k - 1][1] > a) or (k < len(there) and there[k][0] < b):
+                continue
+            there.insert(k, (a, b))
+            blobs.append((a, b, path, content))
+    return _Scanned(own, blobs)
+
+
+def _inside(content: str, scanned: dict[str, _Scanned]) -> list[tuple[str, tuple[str, ...], str]]:
+    """(rule, path, secret) of a decoded content and all contents in it, shallowest first; each content is taken once, so circles end."""
+    found: dict[tuple[str, str], tuple[str, tuple[str, ...], str]] = {}
+    taken: set[str] = set()
+    work: list[tuple[int, int, tuple[str, ...], str | None]] = [(0, 0, (), content)]
+    late: list[tuple[int, int, tuple[str, ...], str, str]] = []
+    n = 0
+    while work:
+        _, _, path, now = heappop(work)
+        if now is None:
+            late.append((len(path), n, path, "too-large-layer", ""))
+            n += 1
+            continue
+        if now in taken:
+            continue
+        taken.add(now)
+        if now not in scanned:
+            scanned[now] = _scan_content(now)
+        for rule, _, _, more, secret in scanned[now].own:
+            late.append((len(path) + len(more), n, (*path, *more), rule, secret))
+            n += 1
+        for _, _, more, new in scanned[now].blobs:
+            heappush(work, (len(path) + len(more), n, (*path, *more), new))
+            n += 1
+    for _, _, path, rule, secret in sorted(late, key=lambda x: x[:2]):
+        found.setdefault((rule, secret), (rule, path, secret))
+    return list(found.values())
+
+
+def scan_text(text: str) -> list[Finding]:
+    """All secrets of a text and of its layers; of a rule's findings over the same span only the shallowest."""
+    found: dict[tuple[str, int, int], Finding] = {}
+
+    def add(rule: str, a: int, b: int, path: tuple[str, ...], secret: str) -> None:
+        key = (rule, a, b)
+        if key not in found or len(path) < found[key].depth:
+            found[key] = Finding(rule, a, b, len(path), ">".join(path), secret)
+
+    root = _scan_content(text)
+    scanned = {text: root}
+    inside: dict[str | None, list[tuple[str, tuple[str, ...], str]]] = {None: [("too-large-layer", (), "")]}
+    for rule, a, b, path, secret in root.own:
+        add(rule, a, b, path, secret)
+    for a, b, path, content in root.blobs:
+        if content not in inside:
+            inside[content] = _inside(content, scanned)  # type: ignore[arg-type]
+        for rule, more, secret in inside[content]:
+            add(rule, a, b, (*path, *more), secret)
     return sorted(found.values(), key=lambda f: (f.start, f.end, f.rule))
 
 

@@ -132,6 +132,20 @@ def test_secrets_in_layers():
     assert any(f.secret == KEY for f in secrets.scan_text(folded))
 
 
+def test_secrets_at_every_place(spark):
+    plain = f"key {KEY} end"
+    for coded in (base64.b64encode(plain.encode()).decode(), base64.b64encode(gzip.compress(plain.encode())).decode(), base64.b64encode(base64.b64encode(plain.encode())).decode()):
+        text = f"a: {coded}\nb: {coded}\nc: %41 {coded} {KEY}"
+        found = [f for f in secrets.scan_text(text) if f.rule == "aws-access-key"]
+        assert [text[f.start : f.end] for f in found] == [*[m.group() for m in re.finditer(re.escape(coded.rstrip("=")) + "=*", text)], KEY]
+        assert {f.secret for f in found} == {KEY} and coded.rstrip("=") not in secrets.redact(text, found)
+        d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        assert secrets.find_secrets(d).where("rule = 'aws-access-key'").count() == 4
+        assert coded.rstrip("=") not in secrets.redact_secrets(d).first().text
+    url = base64.b64encode(b"xy " + plain.encode()).decode().replace("=", "%3D")
+    assert "%3D" in url and len(secrets.scan_text(url)) == 1  # a run and the same run with its padding unescaped are one place
+
+
 def test_secrets_of_a_table(spark, sf, documents):
     got = sorted((r.doc_id, r.rule, r.start, r.end) for r in registry.QUERIES["op2_secret_scan"](spark, sf).collect())
     assert got == sorted((d["doc_id"], f.rule, f.start, f.end) for d in documents for f in secrets.scan_text(d["text"]))
