@@ -266,11 +266,11 @@ def _inside(content: str, scanned: dict[str, _Scanned]) -> list[tuple[str, tuple
 
 
 def scan_text(text: str) -> list[Finding]:
-    """All secrets of a text and of its layers; of a rule's findings over the same span only the shallowest."""
-    found: dict[tuple[str, int, int], Finding] = {}
+    """All secrets of a text and of its layers; a secret that a rule finds several times over the same span is given once, where it is shallowest."""
+    found: dict[tuple[str, int, int, str], Finding] = {}
 
     def add(rule: str, a: int, b: int, path: tuple[str, ...], secret: str) -> None:
-        key = (rule, a, b)
+        key = (rule, a, b, secret)
         if key not in found or len(path) < found[key].depth:
             found[key] = Finding(rule, a, b, len(path), ">".join(path), secret)
 
@@ -284,7 +284,7 @@ def scan_text(text: str) -> list[Finding]:
             inside[content] = _inside(content, scanned)  # type: ignore[arg-type]
         for rule, more, secret in inside[content]:
             add(rule, a, b, (*path, *more), secret)
-    return sorted(found.values(), key=lambda f: (f.start, f.end, f.rule))
+    return sorted(found.values(), key=lambda f: (f.start, f.end, f.rule, f.depth, f.secret))
 
 
 def redact(text: str, findings: list[Finding]) -> str:
@@ -322,7 +322,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row for each secret in ``docs(doc_id, text)``: rule, span of the original text, depth and path of its layer.
 
-    ``start`` and ``end`` count characters; ``secret_sha256`` identifies the secret without giving it away. A null or
+    ``start`` and ``end`` count characters; ``secret_sha256`` identifies the secret without giving it away: all secrets of
+    one decoded run share its span, each has its row. A null or
     empty text has none; a null doc_id stays null; repeated rows give repeated findings; other columns are ignored. A
     layer over ``MAX_LAYER_BYTES`` isn't held in memory but reported as rule ``too-large-layer``.
     """

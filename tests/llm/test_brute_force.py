@@ -146,6 +146,18 @@ def test_secrets_at_every_place(spark):
     assert "%3D" in url and len(secrets.scan_text(url)) == 1  # a run and the same run with its padding unescaped are one place
 
 
+def test_secrets_of_one_run(spark):
+    values = [f"abcdefgh{k:08d}" for k in range(10)]
+    config = "\n".join(f"token_{k}: x\ntoken = {v}" for k, v in enumerate(values))
+    for raw in (config.encode(), gzip.compress(config.encode()), base64.b64encode(config.encode())):
+        text = f"config {base64.b64encode(raw).decode()} end"
+        found = secrets.scan_text(text)
+        assert sorted(f.secret for f in found if f.rule == "assigned-secret") == values
+        assert len({(f.start, f.end) for f in found}) == 1 and secrets.redact(text, found) == "config [assigned-secret] end"
+        rows = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+        assert len({r.secret_sha256 for r in rows}) == len(rows) == 10
+
+
 def test_secrets_of_a_table(spark, sf, documents):
     got = sorted((r.doc_id, r.rule, r.start, r.end) for r in registry.QUERIES["op2_secret_scan"](spark, sf).collect())
     assert got == sorted((d["doc_id"], f.rule, f.start, f.end) for d in documents for f in secrets.scan_text(d["text"]))
