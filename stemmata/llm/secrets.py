@@ -1,14 +1,14 @@
 """Secret scans that unwrap encodings: a worklist of decoded layers, each scanned, until nothing new appears.
 
 The text is the first layer. From each layer come new ones: its URL escapes decoded, its Unicode escapes decoded,
-and every run of base64, folded into lines or not, that decodes to text or to compressed data (gzip, zlib, bzip2, xz, zstd), inflated. What a
+and every run of base64, folded into lines or not, decoded and, where it is compressed (gzip, zlib, bzip2, xz, zstd), inflated. What a
 decoded run holds doesn't depend on where it stands: each content is scanned once, and its secrets are reported at
 every place of the run; a content that holds itself is not taken again inside, so the worklist ends even where codings
 run in circles. Every character of a layer carries the span of the original text that it came from, so a finding in
 any layer names a span of the text.
 
-One RE2 pass over the Arrow batch picks the texts that hold a rule's keyword, an escape or a base64 run; only those
-reach Python.
+One RE2 pass over the Arrow batch picks the texts that hold a rule's keyword, an escape or a base64 run, as short as the
+scanner takes them; only those reach Python.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ RULES: dict[str, re.Pattern[str]] = {
 }
 _HINT = (
     r"(?i:token|secret|passwo?r?d|api[_-]?key|access[_-]?key|credential)|A[KS]IA|gh[pousr]_|github_pat_|xox[abeoprs]-|AIza|[rs]k_(?:live|test)_|eyJ|PRIVATE KEY|://[^\s/]+@"
-    r"|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f{]{2}|[A-Za-z0-9+/_-]{24}"
+    r"|%[0-9A-Fa-f]{2}|\\[uxU][0-9A-Fa-f{]{2}|[A-Za-z0-9+/_-]{16}"
 )
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
@@ -57,7 +57,6 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _FOLD = re.compile(r"[ \t]*\r?\n[ \t]*")
 #: base64 folded into lines, read as one
 _WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{20,}}(?:{_FOLD.pattern}[A-Za-z0-9+/_-]{{20,}})*{_FOLD.pattern}[A-Za-z0-9+/_-]+={{0,2}}")
-_PRINTABLE = re.compile(r"[\t\n\r\x20-\x7e\x85\xa0-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]*")
 
 
 class Finding(NamedTuple):
@@ -79,12 +78,9 @@ class _Layer(NamedTuple):
         return (a, b) if self.starts is None or self.ends is None else (min(self.starts[a:b]), max(self.ends[a:b]))
 
 
-def _text_of(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and _PRINTABLE.fullmatch(text) else None
+def _text_of(raw: bytes) -> str:
+    """Whatever a run decodes to is scanned, archives and other binaries too; a byte that isn't UTF-8 is a character of its own."""
+    return raw.decode("utf-8", "surrogateescape")
 
 
 def _members(open_member: Callable[[], object], raw: bytes) -> bytes:
@@ -191,8 +187,8 @@ def _blobs(layer: _Layer) -> Iterator[tuple[int, int, tuple[str, ...], str | Non
         a, b = layer.span(m.start(), m.end())
         if len(content) > MAX_LAYER_BYTES:
             yield a, b, path, None
-        elif (text := _text_of(content)) is not None:
-            yield a, b, path, text
+        else:
+            yield a, b, path, _text_of(content)
 
 
 def _escaped(text: str) -> Iterator[_Layer]:

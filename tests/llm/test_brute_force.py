@@ -2,7 +2,9 @@
 
 import base64
 import gzip
+import io
 import re
+import tarfile
 import zlib
 from itertools import combinations
 
@@ -158,6 +160,31 @@ def test_secrets_of_one_run(spark):
         assert len({r.secret_sha256 for r in rows}) == len(rows) == 10
 
 
+def test_suspects_hold_all_that_is_found(spark):
+    b64 = lambda b: base64.b64encode(b).decode()
+    fold = lambda s, n: "\n".join(s[k : k + n] for k in range(0, len(s), n))
+    plain = [KEY, "ghp_" + "a1" * 18, "github_pat_" + "a1" * 11, "xoxb-1234567890", "AIza" + "a1b2c" * 7, "sk_live_" + "a1" * 8, "eyJ" + "a1" * 4 + ".eyJ" + "a1" * 4 + "." + "a1" * 8]
+    plain += ["-----BEGIN PRIVATE KEY-----\nab\n-----END PRIVATE KEY-----", "ftp://bob:pw1@db1", 'passwd="abcdefghijk1"', "CREDENTIAL => abcdefghijklmno1", "to\u212aen = abcdefghijklmno1"]
+    coders = [lambda s: s, lambda s: "".join(f"%{b:02x}" for b in s.encode()), lambda s: b64(s.encode()), lambda s: b64(gzip.compress(s.encode())), lambda s: "".join(f"\\u{{{ord(c):x}}}" for c in s)]
+    coders += [lambda s, f=f: "".join(f.format(ord(c)) for c in s) for f in ("\\u{:04x}", "\\U{:08x}")]
+    coders += [lambda s, n=n: fold(b64(s.encode()), n) for n in (20, 21, 22, 23, 24, 76)]
+    texts = [code(s) for s in plain for code in coders]
+    binary = [b"\0name\0" + f"{KEY}\f\x1b".encode(), b"\xff\xfe caf\xe9 " + KEY.encode() + b" \x80"]
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as f:
+        info = tarfile.TarInfo("a.cfg")
+        info.size = len(KEY)
+        f.addfile(info, io.BytesIO(KEY.encode()))
+    must = [b64(raw) for raw in (*binary, *map(gzip.compress, binary), gzip.compress(tar.getvalue()))]
+    assert all(KEY in {f.secret for f in secrets.scan_text(t)} for t in must)
+    must += ["".join(f"\\U{ord(c):08X}" for c in KEY), b64(b"ftp://bob:pw1@db1"), fold(b64(b"key " + KEY.encode() + b" end and more"), 20)]
+    found = [bool(secrets.scan_text(t)) for t in texts + must]
+    chosen = set(secrets._suspects(pa.array(texts + must)))
+    assert all(found) and chosen == set(range(len(found)))
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(must)], "doc_id bigint, text string")
+    assert secrets.find_secrets(d).select("doc_id").distinct().count() == len(must)
+
+
 def test_secrets_of_a_table(spark, sf, documents):
     got = sorted((r.doc_id, r.rule, r.start, r.end) for r in registry.QUERIES["op2_secret_scan"](spark, sf).collect())
     assert got == sorted((d["doc_id"], f.rule, f.start, f.end) for d in documents for f in secrets.scan_text(d["text"]))
