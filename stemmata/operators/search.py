@@ -6,6 +6,9 @@ no passage is looked up by itself. Hash 0 (empty grams) finds nothing but counts
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,8 +121,24 @@ def two_level(full_suspects: DataFrame, full_sources: DataFrame, suspects: DataF
     return best(found, suspects)
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, source_id, text, passage) to (doc_id, source_id, start, end) of every place of the passage."""
+    for batch in batches:
+        rows, starts, ends = [], [], []
+        for k, (text, passage) in enumerate(zip(batch.column(2), batch.column(3))):
+            text, passage = text.as_py(), passage.as_py()
+            at = text.find(passage)
+            while at >= 0:
+                rows.append(k)
+                starts.append(at)
+                ends.append(at + len(passage))
+                at = text.find(passage, at + 1)
+        ids = [batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "source_id", "start", "end"])
+
+
 def occurrences(docs: DataFrame, passages: DataFrame, k: int = 8, t: int = 24) -> DataFrame:
-    """(doc_id, source_id, start, end): the first place where a document holds a passage word for word.
+    """(doc_id, source_id, start, end): every place where a document holds a passage word for word, overlapping ones too.
 
     Winnowed fingerprints give the candidates, which the texts confirm. A passage of ``t`` characters or more
     (punctuation and blanks aside) shares a fingerprint wherever it stands; shorter ones are compared with every document.
@@ -135,5 +154,6 @@ def occurrences(docs: DataFrame, passages: DataFrame, k: int = 8, t: int = 24) -
     # two hashes at least make sure that one isn't the first of the passage alone
     few = b.join(own.groupBy("source_id").agg(F.count("*").alias("_n")).where("_n >= 2"), "source_id", "left_anti").select("source_id").where("source_id IS NOT NULL")
     pairs = pairs.unionByName(a.select("doc_id").crossJoin(few)).distinct()
-    j = pairs.join(a, "doc_id").join(b, "source_id").withColumn("_at", F.expr("instr(text, _p)")).where("_at > 0 AND _p <> ''")
-    return j.select("doc_id", "source_id", (F.col("_at") - 1).alias("start"), (F.col("_at") - 1 + F.length("_p")).alias("end"))
+    j = pairs.join(a, "doc_id").join(b, "source_id").where("_p <> '' AND instr(text, _p) > 0")
+    kind = j.schema
+    return j.select("doc_id", "source_id", "text", "_p").mapInArrow(_places, f"doc_id {kind['doc_id'].dataType.simpleString()}, source_id {kind['source_id'].dataType.simpleString()}, start int, end int")

@@ -117,6 +117,15 @@ def test_search(spark, tmp_path):
     assert search.with_fingerprints(search.lookup(b, a), b).count() == 10
 
 
+def test_occurrences_at_every_place(spark):
+    long = "the quick brown fox jumps over a lazy dog near the river bank"
+    d = [(1, f"é {long}. {long}\n{long}"), (2, "aXaXaXa"), (3, long[5:])]
+    p = [(10, long), (11, "aXaXa")]
+    got = search.occurrences(spark.createDataFrame(d, "doc_id bigint, text string"), spark.createDataFrame(p, "item_id bigint, text string")).collect()
+    n = len(long)
+    assert sorted(map(tuple, got)) == [*((1, 10, s, s + n) for s in (2, n + 4, 2 * n + 5)), (2, 11, 0, 5), (2, 11, 2, 7)]
+
+
 def test_occurrences(spark):
     p = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "short one"), (3, ""), (4, None)]
     d = [(1, "x " + p[0][1] + " y"), (2, p[0][1]), (3, "a short one here"), (4, "alpha beta gamma delta"), (5, None), (6, "")]
