@@ -343,6 +343,12 @@ def evaluate_t_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.t_statistics(ev.least_passages(_long(spark, sf_dir), 20 * len(sql.FEATURES5))))
 
 
+@query()
+def evaluate_t_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two documents, whatever their number of passages, by each feature."""
+    return rounded(ev.t_statistics(_long(spark, sf_dir)))
+
+
 @query(sql.LABEL_AUC)
 def evaluate_document_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a document's highest outlier score tells the documents labelled poor."""

@@ -238,3 +238,19 @@ def test_files(spark, tmp_path):
     files.append_results(spark.createDataFrame([(1, 0.7)], "n int, auc double"), str(tmp_path / "r"))
     assert files.oldest_trial(spark.read.parquet(str(tmp_path / "r")), ["n"]).first().auc == 0.5
     assert files.upsert(spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, "old")], "k int, v string"), ["k"]).count() == 2
+
+
+def test_t_statistics_of_all_documents(spark, sf):
+    from stemmata.plans import queries
+
+    long = queries._long(spark, sf).toPandas()
+    groups = {k: g["value"].to_numpy() for k, g in long.groupby(["feature", "doc_id"])}
+    got = {(r.feature, r.doc_a, r.doc_b): r for r in queries.QUERIES["evaluate_t_statistics_all"](spark, sf).collect()}
+    pairs = [(f, a, b) for f, a in groups for g, b in groups if f == g and a < b]
+    assert set(pairs) == set(got) and min(map(len, groups.values())) < 20
+    for f, a, b in pairs[::97]:
+        x, y = groups[f, a], groups[f, b]
+        if min(len(x), len(y)) < 2:
+            assert got[f, a, b].t is None
+        elif v := x.var(ddof=1) / len(x) + y.var(ddof=1) / len(y):
+            assert got[f, a, b].t == pytest.approx((x.mean() - y.mean()) / v**0.5, rel=1e-4, abs=1e-5)
