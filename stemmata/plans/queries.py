@@ -462,13 +462,13 @@ def model_stepwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, score = ml.evolve_weights(_trainable(spark, sf_dir), sql.FEATURES5, generations=5)
+    weights, score = ml.evolve_weights(_trainable(spark, sf_dir), sql.FEATURES5)
     return spark.createDataFrame([(f, float(w), float(score)) for f, w in zip(sql.FEATURES5, weights)], "feature string, weight double, auc double")
 
 
 @query()
 def model_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    formula, score = ml.evolve_formula(_trainable(spark, sf_dir), sql.FEATURES5, generations=3)
+    formula, score = ml.evolve_formula(_trainable(spark, sf_dir), sql.FEATURES5)
     return spark.createDataFrame([(ml.formula_sql(formula), float(score))], "formula string, auc double")
 
 

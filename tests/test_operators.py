@@ -254,3 +254,24 @@ def test_t_statistics_of_all_documents(spark, sf):
             assert got[f, a, b].t is None
         elif v := x.var(ddof=1) / len(x) + y.var(ddof=1) / len(y):
             assert got[f, a, b].t == pytest.approx((x.mean() - y.mean()) / v**0.5, rel=1e-4, abs=1e-5)
+
+
+def test_registered_searches_run_in_full(spark, monkeypatch):
+    import inspect
+
+    from stemmata.plans import queries
+
+    ran = {}
+    monkeypatch.setattr(queries, "_trainable", lambda *_: None)
+    for name, best in (("evolve_weights", ([1.0] * 5, 0.5)), ("evolve_formula", ("num_chars", 0.5))):
+
+        def search(*args, _of=inspect.signature(getattr(models, name)), _name=name, _best=best, **kw):
+            bound = _of.bind(*args, **kw)
+            bound.apply_defaults()
+            ran[_name] = bound.arguments["generations"]
+            return _best
+
+        monkeypatch.setattr(models, name, search)
+    queries.model_weights(spark, "")
+    queries.model_formula(spark, "")
+    assert ran == {"evolve_weights": 100, "evolve_formula": 10}
