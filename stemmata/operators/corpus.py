@@ -89,15 +89,20 @@ def training_files(docs: DataFrame, spans: DataFrame, n: int, offset: int = 0, l
     return r.where((F.col("_r") > offset) & (F.col("_r") <= offset + most)).orderBy(F.desc("has_plag"), "doc_id").drop("_r")
 
 
-def tag_trigrams(docs: DataFrame, least: int = 1) -> DataFrame:
-    """(trigram, n, docs): tag triples by frequency, each with the documents that hold it; those seen ``least`` times or more."""
+def tag_trigram_documents(docs: DataFrame) -> DataFrame:
+    """(trigram, doc_id, n): each tag triple with each document that holds it, and how often."""
     from stemmata.functions import lexicon as lx
     from stemmata.operators.atoms import units
 
     order = Window.partitionBy("doc_id", "atom_num").orderBy("unit_num")
     w = units(docs, "sentence", "word").withColumn("tag", lx.tag(F.col("text")))
     t = w.select("doc_id", F.col("tag"), F.lead("tag", 1).over(order).alias("b"), F.lead("tag", 2).over(order).alias("c")).where("c IS NOT NULL")
-    per = t.select("doc_id", F.concat_ws(",", "tag", "b", "c").alias("trigram")).groupBy("trigram", "doc_id").agg(F.count("*").alias("n"))
+    return t.select("doc_id", F.concat_ws(",", "tag", "b", "c").alias("trigram")).groupBy("trigram", "doc_id").agg(F.count("*").alias("n"))
+
+
+def tag_trigrams(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(trigram, n, docs): tag triples by frequency, each with the number of documents that hold it; those seen ``least`` times or more."""
+    per = tag_trigram_documents(docs)
     return per.groupBy("trigram").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where(F.col("n") >= least)
 
 

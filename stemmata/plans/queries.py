@@ -439,6 +439,11 @@ def corpus_tag_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.tag_trigrams(docs(spark, sf_dir))
 
 
+@query()
+def corpus_tag_trigram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cp.tag_trigram_documents(docs(spark, sf_dir))
+
+
 def _trainable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with their truth, written once: the searches read them in every round."""
     f = ft.word_features(docs(spark, sf_dir), sql.FEATURES5, n=N)

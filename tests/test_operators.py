@@ -275,3 +275,15 @@ def test_registered_searches_run_in_full(spark, monkeypatch):
     queries.model_weights(spark, "")
     queries.model_formula(spark, "")
     assert ran == {"evolve_weights": 100, "evolve_formula": 10}
+
+
+def test_documents_of_tag_trigrams(spark):
+    from stemmata.operators import corpus
+    from stemmata.plans import queries
+
+    d = spark.createDataFrame([(1, "One two three. One two three."), (2, "One two three."), (3, "word")], "doc_id bigint, text string")
+    rows = [tuple(r) for r in corpus.tag_trigram_documents(d).collect()]
+    held = {g: {k for t, k, _ in rows if t == g} for g, _, _ in rows}
+    counts = {r.trigram: (r.n, r.docs) for r in corpus.tag_trigrams(d).collect()}
+    assert counts == {g: (sum(n for t, _, n in rows if t == g), len(k)) for g, k in held.items()}
+    assert {1, 2} in held.values() and "corpus_tag_trigram_documents" in queries.QUERIES
