@@ -193,14 +193,14 @@ def link(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (set_id, doc_id, text) that come in order of set_id, to edges; a set may span batches."""
+    """Rows (set_id, doc_id, text) that come in order of set_id, to edges between documents, by any of their texts; a set may span batches."""
     ids: list[int] = []
     sets: list[np.ndarray] = []
     now, out = None, []
     names = ["a", "b", "jaccard"]
 
     def batch_of(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[], [], []]
+        cols = list(zip(*(r for r in rows if r[0] != r[1]))) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names)
 
     for batch in batches:
@@ -211,7 +211,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 if g != now:
                     out += link(ids, sets, threshold)
                     now, ids, sets = g, [], []
-                if not ids or ids[-1] != d:
+                if len(s) and not (ids and ids[-1] == d and np.array_equal(sets[-1], s)):  # equal texts of a document come together
                     ids.append(d)
                     sets.append(s)
         if out:
@@ -248,10 +248,11 @@ def _groups(docs: DataFrame, scratch: Scratch, threshold: float, bands: int, row
     prepare(docs.sparkSession)
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     signed = scratch.keep(texts.mapInArrow(partial(_sign, bands=bands, rows=rows), SIGNATURE), "signed")
-    ids = signed.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set_hash").alias("set_hash"))
+    ids = signed.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set("set_hash").alias("sets"))
+    sets = ids.select("doc_id", "n", F.size("sets").alias("texts"), F.explode("sets").alias("set_hash"))
     # an aggregate and a join, not a window: the copies of a hot text needn't fit one task
-    same = scratch.keep(ids.join(ids.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "set_hash").select("doc_id", "n", "rep"), "same")
-    reps = signed.join(same.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    each = scratch.keep(sets.join(sets.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "set_hash"), "same")
+    reps = signed.join(each.where("doc_id <> rep").select("doc_id", "set_hash"), ["doc_id", "set_hash"], "left_anti")
     buckets = reps.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")).where(F.size("ids") > 1)
     members = scratch.keep(buckets.select("ids").distinct().select(F.xxhash64("ids").alias("set_id"), F.explode("ids").alias("doc_id")), "members")
     # the candidates' texts, once for each different bucket
@@ -259,7 +260,11 @@ def _groups(docs: DataFrame, scratch: Scratch, threshold: float, bands: int, row
     wanted = texts.join(small(members.select("doc_id").distinct(), n, 40), "doc_id", "left_semi")
     rows_ = members.join(wanted, "doc_id").select("set_id", "doc_id", "text")
     ordered = rows_.repartition("set_id").sortWithinPartitions("set_id", "doc_id", "text")
-    edges = scratch.keep(ordered.mapInArrow(partial(_verify, threshold=threshold), "a bigint, b bigint, jaccard double"), "edges")
+    verified = ordered.mapInArrow(partial(_verify, threshold=threshold), "a bigint, b bigint, jaccard double")
+    # a document of several texts has an edge to the first of each; one of a single text goes with its first
+    equal = each.where("texts > 1 AND doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    same = each.where("texts = 1").select("doc_id", "n", "rep").unionByName(each.where("texts > 1").select("doc_id", "n", F.col("doc_id").alias("rep")).distinct())
+    edges = scratch.keep(verified.unionByName(equal), "edges")
     scratch.drop("signed")
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     best = edges.select("a", "jaccard").unionByName(edges.select(F.col("b").alias("a"), "jaccard")).groupBy("a").agg(F.max("jaccard").alias("jaccard"))

@@ -62,6 +62,20 @@ def test_near_dup(odd, none):
     assert near_dup.near_duplicates(none).count() == 0 and near_dup.drop_near_duplicates(none).count() == 0
 
 
+def test_near_dup_of_repeated_ids(spark):
+    def words(k, n=60):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+
+    near = lambda k: words(k) + " and more"
+    # 5 repeats 1 by its first text and is near 7 by its second; 6 is near 8 by its last, 9 equals 6's first and 2 equals 6's other
+    texts = [(1, words(1)), (5, words(1)), (5, words(2)), (7, near(2)), (6, "  "), (6, words(3)), (6, words(4)), (8, near(4)), (9, words(3)), (2, words(4)), (10, words(5)), (10, near(5))]
+    for order in (texts, texts[::-1]):
+        got = {r.doc_id: (r.keep_id, r.jaccard == 1.0) for r in near_dup.near_duplicates(spark.createDataFrame(rows(order), DOCS)).collect()}
+        assert got == {5: (1, True), 7: (1, False), 6: (2, True), 8: (2, False), 9: (2, True)}
+    kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows(texts), DOCS)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 10]
+
+
 def test_decontam(odd, none, items):
     got = sorted((r.item_id, r.doc_id, r.kind) for r in decontam.find_leaks(odd, items).collect())
     assert got == [(1, 1, "phrase"), (1, 2, "phrase"), (5, 9, "phrase")]
