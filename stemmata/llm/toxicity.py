@@ -2,8 +2,8 @@
 
 A word is the bag of its byte n-grams of lengths 3 to 5, counted with a blank on either side, and itself; each hashes to one
 of ``BUCKETS`` vectors. A word's vector is its subwords' mean, a text's the mean of its words', and a softmax over
-it gives P(toxic). Vectors and softmax are fitted together (Adam over all rows) on at most
-``MAX_TRAIN_ROWS`` labelled documents. A misspelling that was never seen shares most subwords with the word it
+it gives P(toxic). Vectors and softmax are fitted together (Adam over all rows, sparse) on at most
+``MAX_TRAIN_ROWS`` labelled documents, those with the smallest hash of doc_id. A misspelling that was never seen shares most subwords with the word it
 is made from, so it scores like it.
 
 All but the softmax is linear, so each bucket's share of the log odds is one number; texts are scored by adding
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from stemmata.llm import _text
 from stemmata.session import prepare
 
-MAX_TRAIN_ROWS, BITS, DIM = 6000, 17, 8
+MAX_TRAIN_ROWS, BITS, DIM = 5000, 17, 8
 LENGTHS = (3, 4, 5)
 THRESHOLD = 0.5
-LEAST_DOCS, SCREEN = 10, 5.0
+SEEN, POWER = 10, 2
 
 
 class Model(NamedTuple):
@@ -77,50 +77,70 @@ def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cell >> BITS, cell & (1 << BITS) - 1, np.bincount(back, np.repeat(n / count[doc] / width, width))
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 300, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Train on whole texts; with no rows or one class nothing is toxic."""
+def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells of each text, slot, value) of all texts, in order of text."""
+    size, slots, values = np.zeros(len(texts), np.int64), [], []
+    for a in range(0, len(texts), 250):
+        doc, slot, value = _cells(texts[a : a + 250])
+        size[a : a + 250] = np.bincount(doc, minlength=len(texts[a : a + 250]))
+        slots.append(slot.astype(np.int32))
+        values.append(value.astype(np.float32))
+    return size, np.concatenate(slots), np.concatenate(values)
+
+
+def fit(texts: list[str], y: np.ndarray, steps: int = 80, rate: float = 0.04, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Train on whole texts, a vector for every bucket that occurs; with no rows, no words or one class nothing is toxic.
+
+    A bucket's input is scaled by its inverse deviation and by the ``POWER`` of its correlation with the class, as a share of the
+    highest, less where fewer than about ``SEEN`` texts hold it: so weight decay bears most on what goes with neither
+    class, wrong labels aren't learnt by heart, and no bucket is left out.
+    """
     y = np.asarray(y, np.float64)
     nothing = Model(np.zeros(1 << BITS, np.float32), -20.0)
     if not len(y) or not 0 < y.sum() < len(y):
         return nothing
-    # subwords that are rare, or go with neither class, keep a vector of zeros: wrong labels aren't learnt by heart
-    sums = np.zeros((4, 1 << BITS))
-    for a in range(0, len(texts), 250):
-        doc, slot, value = _cells(texts[a : a + 250])
-        for k, v in enumerate((np.ones(len(slot)), value, value * value, value * (y[a + doc] - y.mean()))):
-            sums[k] += np.bincount(slot, v, 1 << BITS)
-    deviation = np.sqrt(np.maximum(sums[2] / len(y) - (sums[1] / len(y)) ** 2, 0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.nan_to_num(sums[3] / len(y) / deviation / y.std())
-    used = np.flatnonzero((sums[0] >= LEAST_DOCS) & (np.abs(r) >= SCREEN / np.sqrt(len(y))))
-    if not len(used):
+    size, slot, value = _sparse(texts)
+    if not len(slot):
         return nothing
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    x = np.zeros((len(y), len(used)), np.float32)
-    for a in range(0, len(texts), 250):
-        doc, slot, value = _cells(texts[a : a + 250])
-        mine = place[slot] >= 0
-        x[a + doc[mine], place[slot[mine]]] = value[mine] / deviation[slot[mine]]
+    # by bucket: the texts that hold it, and their values
+    used, count = np.unique(slot, return_counts=True)
+    order = np.argsort(slot, kind="stable")
+    text = np.repeat(np.arange(len(y), dtype=np.int32), size)[order]
+    by_slot = value[order]
+    del order
+    begin = np.cumsum(count) - count
+    n = len(y)
+    mean = np.add.reduceat(by_slot, begin, dtype=np.float64) / n
+    deviation = np.sqrt(np.maximum(np.add.reduceat(by_slot * by_slot, begin, dtype=np.float64) / n - mean * mean, 0))
+    along = np.abs(np.add.reduceat(by_slot * (y - y.mean()).astype(np.float32)[text], begin, dtype=np.float64)) / n
+    sure = np.where(deviation > 1e-12, along / np.maximum(deviation, 1e-12), 0) * count / (count + SEEN)
+    scale = (sure / max(sure.max(), 1e-300)) ** POWER / np.maximum(deviation, 1e-12)
+    by_slot *= np.repeat(scale.astype(np.float32), count)
+    place = np.searchsorted(used, slot).astype(np.int32)
+    by_text = value * scale.astype(np.float32)[place]
+    del slot, value
+    some = np.flatnonzero(size)
+    first = (np.cumsum(size) - size)[some]
+    # logits differ by x e (h1 - h0), so both gradients are products of one number for each text and the sparse input
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32) / np.float32(np.sqrt(len(used))), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    params = [rng.normal(0, 0.1, (len(used), DIM)) / np.sqrt(len(used)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    target = np.stack([1 - y, y], 1).astype(np.float32)
-    for step in range(1, epochs + 1):
+    for step in range(1, steps + 1):
         e, head, bias = params
-        mean = x @ e
-        z = mean @ head + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        dz = (p - target) / len(y)
-        grads = [x.T @ (dz @ head.T) + decay * e, mean.T @ dz + decay * head, dz.sum(0)]
-        for p_, g, (m, v) in zip(params, grads, moments):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
+        across = head[:, 1] - head[:, 0]
+        z = np.full(n, bias[1] - bias[0])
+        z[some] += np.add.reduceat(by_text * (e @ across).astype(np.float32)[place], first)
+        d = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / n
+        g = np.add.reduceat(by_slot * d.astype(np.float32)[text], begin).astype(np.float64)
+        up = e.T @ g
+        grads = [np.outer(g, across) + decay * e, np.stack([-up, up], 1) + decay * head, np.array([-d.sum(), d.sum()])]
+        for p_, g_, (m, v) in zip(params, grads, moments):
+            m += 0.1 * (g_ - m)
+            v += 0.001 * (g_ * g_ - v)
             p_ -= rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     e, head, bias = params
     out = np.zeros(1 << BITS, np.float32)
-    out[used] = (e @ (head[:, 1] - head[:, 0])) / deviation[used]
+    out[used] = (e @ (head[:, 1] - head[:, 0])) * scale
     return Model(out, float(bias[1] - bias[0]))
 
 
@@ -153,7 +173,10 @@ def log_odds(col: pa.Array, model: Model) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Fit on at most ``max_rows`` labelled documents, those with the smallest hash of doc_id, texts whole."""
+    """Fit on at most ``max_rows`` labelled documents, those with the smallest hash of doc_id, texts whole, in order of id and text.
+
+    Labels other than 0 and 1 and null ids are left out; of repeated labels the toxic one counts.
+    """
     prepare(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -170,8 +193,8 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, toxicity, is_toxic) of each row of ``docs(doc_id, text)``.
 
-    A null text, or one without words, scores 0; a null doc_id stays null; repeated rows are each scored, alike.
-    Other columns are ignored.
+    A null text, or one without words, scores 0; a null doc_id stays null; repeated rows are each scored, alike. A score equal to
+    the threshold is toxic. Texts of any length are scored whole; an empty table gives an empty result. Other columns are ignored.
     """
     prepare(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(partial(_score, model=model), "doc_id bigint, toxicity double")
