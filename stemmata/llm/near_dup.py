@@ -5,31 +5,31 @@ pi((sigma(x) - k) mod 2^32): one permutation sigma spreads the values, one permu
 all ``K`` coordinates. ``BANDS`` bands of ``ROWS`` coordinates give buckets; documents that share one are compared
 exactly. With 32 bands of 4, a pair of similarity 0.6 shares a bucket with probability 0.99, of 0.55 with 0.95.
 
-Equal sets are grouped first, so thousands of copies cost one signature each and no pair. Inside a bucket the
-smallest id leads: all are compared with it, those that reach the threshold follow it, and the rest choose the next
-leader. A member is compared with every leader, and members of different groups where the triangle inequality
-of the Jaccard distance doesn't rule a match out; so a bucket's groups are those that all its pairs would give,
-in linear time where its members are alike. Groups then grow over buckets by connected components.
+Equal sets are one class first, so thousands of copies cost one signature each and no pair. All different sets of a bucket are
+compared, by products of incidence matrices; a pair that shares several buckets is counted in the earliest. A bucket
+of more than ``PART`` sets is a grid of blocks, each a group of its own in the shuffle, so no task holds more than two parts.
+No pair leaves a block: it gives each of its members' links, the highest similarity, and one member that they lead to;
+classes grow over blocks by connected components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemmata.llm import _text
-from stemmata.session import Scratch, prepare, small
+from stemmata.session import Scratch, prepare, small, without_ids
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 3, 32, 4, 0.5
+SHINGLE, BANDS, ROWS, THRESHOLD, PART = 3, 32, 4, 0.5, 1024
 _U32, _U64 = np.uint32, np.uint64
 _TINY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
-SIGNATURE = "doc_id bigint, set_hash binary, bands array<bigint>"
+SIGNATURE = "doc_id bigint, t bigint, set_hash binary, bands array<bigint>"
 
 
 def _permute(x: np.ndarray, seed: int, spare: np.ndarray | None = None) -> np.ndarray:
@@ -103,121 +103,142 @@ def signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) ->
 
 
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, t, text) to their sets' fingerprints and buckets; both are null for a text without a set."""
     salt = _text.mix(np.arange(1, bands + 1, dtype=np.uint64))
     for batch in batches:
-        for at, col in _text.chunks(batch.column(1)):
+        for at, col in _text.chunks(batch.column(2)):
             sets = shingle_sets(col)
             keep = [k for k, s in enumerate(sets) if len(s)]
-            if not keep:
-                continue
-            sig = signatures([sets[k] for k in keep], bands, rows).reshape(len(keep), bands, rows).astype(np.uint64)
-            h = np.broadcast_to(salt, (len(keep), bands)).copy()
-            for r in range(rows):
-                h = (h ^ (h >> _U64(31))) * _U64(0xBF58476D1CE4E5B9) + sig[:, :, r]
-            h = _text.int64(_text.mix(h)).ravel()
-            # the set's 128-bit fingerprint: two sums of remixed members, and their number
-            marks = []
-            for k in keep:
-                s = sets[k]
-                marks.append(np.array([s.sum(dtype=np.uint64), _text.mix(s ^ _U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), len(s)], np.uint64).tobytes())
+            marks: list[bytes | None] = [None] * len(sets)
+            buckets: list[bytes | None] = [None] * len(sets)
+            if keep:
+                sig = signatures([sets[k] for k in keep], bands, rows).reshape(len(keep), bands, rows).astype(np.uint64)
+                h = np.broadcast_to(salt, (len(keep), bands)).copy()
+                for r in range(rows):
+                    h = (h ^ (h >> _U64(31))) * _U64(0xBF58476D1CE4E5B9) + sig[:, :, r]
+                h = _text.mix(h)
+                for n, k in enumerate(keep):
+                    # the set's 128-bit fingerprint: two sums of remixed members, and their number
+                    s = sets[k]
+                    marks[k] = np.array([s.sum(dtype=np.uint64), _text.mix(s ^ _U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), len(s)], np.uint64).tobytes()
+                    buckets[k] = h[n].tobytes()
+            n = len(col)
+            own = np.cumsum([0, *(0 if x is None else bands for x in buckets)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(x for x in buckets if x is not None), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(at, len(col)).take(pa.array(keep)).cast(pa.int64()),
-                    pa.array(marks, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(h) + 1, bands, dtype=np.int32)), pa.array(h)),
-                ],
-                ["doc_id", "set_hash", "bands"],
+                [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(own), pa.array(flat))], ["doc_id", "t", "set_hash", "bands"]
             )
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0.0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int(np.count_nonzero(b[at] == a))
-    return both / (len(a) + len(b) - both)
-
-
-def link(ids: list[int], sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
-    """Verified edges (smaller id, larger id, similarity) whose components are those of all verified pairs."""
-    order = sorted(range(len(ids)), key=lambda k: ids[k])
-    sizes = np.array([len(s) for s in sets], np.float64)
-    edges: list[tuple[int, int, float]] = []
-    root = list(range(len(ids)))
-    with_leader: list[dict[int, float]] = [{} for _ in ids]
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def join(a: int, b: int, j: float) -> None:
-        edges.append((min(ids[a], ids[b]), max(ids[a], ids[b]), j))
-        root[find(a)] = find(b)
-
-    left, led = order, set()
-    while left:
-        lead = left[0]
-        led.add(lead)
-        for k in order:
-            if k in led or k in with_leader[lead]:  # earlier leaders have been compared with it
-                continue
-            bound = min(sizes[k], sizes[lead]) / max(sizes[k], sizes[lead])
-            with_leader[k][lead] = j = jaccard(sets[lead], sets[k]) if bound >= threshold else bound
-            if j >= threshold:
-                join(lead, k, j)
-        left = [k for k in left if k != lead and with_leader[k].get(lead, 0.0) < threshold]
-    # followers whose groups are still apart
-    groups: dict[int, list[int]] = {}
-    for k in order:
-        if k not in led:
-            groups.setdefault(find(k), []).append(k)
-    parts = list(groups.values())
-    for x, first in enumerate(parts):
-        for second in parts[x + 1 :]:
-            if find(first[0]) == find(second[0]):
-                continue
-            for a, b in ((a, b) for a in first for b in second):
-                if min(sizes[a], sizes[b]) < threshold * max(sizes[a], sizes[b]):
-                    continue
-                # d(a, b) >= |d(a, leader) - d(b, leader)|; a stored bound stands for a larger distance
-                near = with_leader[a].keys() & with_leader[b].keys()
-                apart = max((abs(with_leader[a][v] - with_leader[b][v]) for v in near if max(with_leader[a][v], with_leader[b][v]) >= threshold), default=0.0)
-                if apart <= 1 - threshold and (j := jaccard(sets[a], sets[b])) >= threshold:
-                    join(a, b, j)
-                    break
-    return edges
+def _incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(set, token) of every member that two sets hold at least, tokens numbered from 0, and their number."""
+    token = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1
+    kept, number = np.unique(number[shared], return_inverse=True)
+    return owner[shared], number, len(kept)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each of ``left`` shares with each of ``right``: products of incidence matrices, some tokens at a time."""
+    if len(left) * len(right) <= 4:
+        return np.array([[np.intersect1d(a, b, assume_unique=True).size for b in right] for a in left], np.float64).reshape(len(left), len(right))
+    owner, number, n = _incidence(left + right)
+    out, step = np.zeros((len(left), len(right))), max(64, (8 << 20) // (len(left) + len(right)))
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    for at in range(0, n, step):
+        i, j = np.searchsorted(number, [at, at + step])
+        x = np.zeros((len(left) + len(right), min(step, n - at)), np.float32)
+        x[owner[i:j], number[i:j] - at] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (set_id, doc_id, text) that come in order of set_id, to edges between documents, by any of their texts; a set may span batches."""
-    ids: list[int] = []
-    sets: list[np.ndarray] = []
-    now, out = None, []
-    names = ["a", "b", "jaccard"]
+def link(left: list[np.ndarray], left_bands: np.ndarray, right: list[np.ndarray], right_bands: np.ndarray, band: int, threshold: float, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links, highest similarity, smallest index linked to it over any path) of each set of ``left + right``.
+
+    Counted are pairs that reach ``threshold`` and share no bucket of an earlier band: each pair of the corpus once. ``within`` says
+    that both sides are the same, whose pairs are taken in one order.
+    """
+    a, b = (np.array([len(s) for s in x], np.float64) for x in (left, right))
+    new = np.ones((len(left), len(right)), bool)
+    for k in range(band):
+        new &= left_bands[:, k][:, None] != right_bands[:, k][None]
+    new &= np.minimum(a[:, None], b[None]) >= threshold * np.maximum(a[:, None], b[None])
+    if within:
+        new = np.triu(new, 1)
+    n = len(left) + (0 if within else len(right))
+    links, top, root = np.zeros(n, np.int64), np.zeros(n), np.arange(n)
+    if not new.any():
+        return links, top, root
+    # only the rows and columns that have a pair to be compared
+    r, c = np.flatnonzero(new.any(axis=1)), np.flatnonzero(new.any(axis=0))
+    both = overlaps([left[k] for k in r], [right[k] for k in c])
+    j = np.zeros(new.shape)
+    j[np.ix_(r, c)] = both / (a[r][:, None] + b[c][None] - both)
+    near = new & (j >= threshold)
+    j[~near] = 0
+    at = slice(0, n) if within else slice(len(left), n)
+    links[: len(left)] += near.sum(axis=1)
+    links[at] += near.sum(axis=0)
+    top[: len(left)] = np.maximum(top[: len(left)], j.max(axis=1))
+    top[at] = np.maximum(top[at], j.max(axis=0))
+    while True:
+        low = root.copy()
+        rows, cols = root[: len(left)], root[at]
+        low[: len(left)] = np.minimum(low[: len(left)], np.where(near, cols[None], n).min(axis=1))
+        low[at] = np.minimum(low[at], np.where(near, rows[:, None], n).min(axis=0))
+        low = low[low]
+        if (low == root).all():
+            return links, top, root
+        root = low
 
-    def batch_of(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
-        cols = list(zip(*(r for r in rows if r[0] != r[1]))) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names)
+
+LINKED = "d bigint, m bigint, links bigint, jaccard double, rd bigint, rm bigint"
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (band, k, bi, bj, part, d, m, bands, text) in order of block and id, to the links of each block's members; a block may span batches."""
+    names = [x.split()[0] for x in LINKED.split(", ")]
+    now: tuple[int, ...] | None = None
+    parts: tuple[list, list] = ([], [])
+
+    def done() -> pa.RecordBatch | None:
+        if now is None:
+            return None
+        _, band, bi, bj = now
+        left = parts[0]
+        right = left if bi == bj else parts[1]
+        if not left or not right or (bi == bj and len(left) < 2):
+            return None
+        marks = [np.array([x[1] for x in side]) for side in (left, right)]
+        links, top, root = link([x[2] for x in left], marks[0], [x[2] for x in right], marks[1], band, threshold, bi == bj)
+        some = np.flatnonzero(links)
+        if not len(some):
+            return None
+        ids = [x[0] for x in (left if bi == bj else left + right)]
+        cols = [[ids[k][0] for k in some], [ids[k][1] for k in some], links[some], top[some], [ids[root[k]][0] for k in some], [ids[root[k]][1] for k in some]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 3 else pa.int64()) for k, c in enumerate(cols)], names)
 
     for batch in batches:
-        for at, col in _text.chunks(batch.column(2)):
-            found = shingle_sets(col)
-            group, doc = batch.column(0).slice(at, len(col)).to_pylist(), batch.column(1).slice(at, len(col)).to_pylist()
-            for g, d, s in zip(group, doc, found):
-                if g != now:
-                    out += link(ids, sets, threshold)
-                    now, ids, sets = g, [], []
-                if len(s) and not (ids and ids[-1] == d and np.array_equal(sets[-1], s)):  # equal texts of a document come together
-                    ids.append(d)
-                    sets.append(s)
-        if out:
-            yield batch_of(out)
-            out = []
-    yield batch_of(out + link(ids, sets, threshold))
+        key = np.stack([np.asarray(batch.column(c), np.int64) for c in range(4)], 1)
+        part, d, m = (np.asarray(batch.column(c), np.int64) for c in (4, 5, 6))
+        bands = batch.column(7)
+        for at, col in _text.chunks(batch.column(8)):
+            for k, s in enumerate(shingle_sets(col), at):
+                if tuple(key[k]) != now:
+                    if (out := done()) is not None:
+                        yield out
+                    now, parts = tuple(key[k].tolist()), ([], [])
+                side, node = parts[0 if part[k] == now[2] else 1], (int(d[k]), int(m[k]))
+                side.append((node, np.asarray(bands[k].values, np.int64), s))
+    if (out := done()) is not None:
+        yield out
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
@@ -243,64 +264,112 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         before, now = mark, nxt
 
 
-def _groups(docs: DataFrame, scratch: Scratch, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, keep_id, jaccard) of each document that isn't its group's first, and the ids that rows repeat."""
+class _Found(NamedTuple):
+    """``rows(doc_id, m, root, links, copies, jaccard)`` of every document; ``m`` is 0, or the text's hash where rows repeat a doc_id."""
+
+    rows: DataFrame
+    signed: DataFrame
+    repeated: DataFrame  # the doc_ids of several rows
+    n_repeated: int
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+
+
+def _marked(df: DataFrame, found: _Found | tuple[DataFrame, int]) -> DataFrame:
+    """``df(doc_id, t)`` with ``m``."""
+    repeated, n = (found.repeated, found.n_repeated) if isinstance(found, _Found) else found
+    if not n:
+        return df.withColumn("m", F.lit(0).cast("bigint"))
+    return df.join(small(repeated.select("doc_id", F.lit(True).alias("_many")), n, 40), "doc_id", "left").withColumn("m", F.when(F.col("_many"), F.col("t")).otherwise(F.lit(0))).drop("_many")
+
+
+def _groups(docs: DataFrame, scratch: Scratch, threshold: float, bands: int, rows: int) -> _Found:
     prepare(docs.sparkSession)
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = _documents(docs)
     signed = scratch.keep(texts.mapInArrow(partial(_sign, bands=bands, rows=rows), SIGNATURE), "signed")
-    ids = signed.groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set("set_hash").alias("sets"))
-    sets = ids.select("doc_id", "n", F.size("sets").alias("texts"), F.explode("sets").alias("set_hash"))
-    # an aggregate and a join, not a window: the copies of a hot text needn't fit one task
-    each = scratch.keep(sets.join(sets.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "set_hash"), "same")
-    reps = signed.join(each.where("doc_id <> rep").select("doc_id", "set_hash"), ["doc_id", "set_hash"], "left_anti")
-    buckets = reps.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")).where(F.size("ids") > 1)
-    members = scratch.keep(buckets.select("ids").distinct().select(F.xxhash64("ids").alias("set_id"), F.explode("ids").alias("doc_id")), "members")
-    # the candidates' texts, once for each different bucket
-    n = members.count()
-    wanted = texts.join(small(members.select("doc_id").distinct(), n, 40), "doc_id", "left_semi")
-    rows_ = members.join(wanted, "doc_id").select("set_id", "doc_id", "text")
-    ordered = rows_.repartition("set_id").sortWithinPartitions("set_id", "doc_id", "text")
-    verified = ordered.mapInArrow(partial(_verify, threshold=threshold), "a bigint, b bigint, jaccard double")
-    # a document of several texts has an edge to the first of each; one of a single text goes with its first
-    equal = each.where("texts > 1 AND doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    same = each.where("texts = 1").select("doc_id", "n", "rep").unionByName(each.where("texts > 1").select("doc_id", "n", F.col("doc_id").alias("rep")).distinct())
-    edges = scratch.keep(verified.unionByName(equal), "edges")
-    scratch.drop("signed")
-    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-    best = edges.select("a", "jaccard").unionByName(edges.select(F.col("b").alias("a"), "jaccard")).groupBy("a").agg(F.max("jaccard").alias("jaccard"))
-    grouped = (
-        same.join(roots, same.rep == roots.node, "left")
-        .join(best, same.doc_id == best.a, "left")
-        .select("doc_id", F.coalesce("root", "rep").alias("keep_id"), F.when(F.col("doc_id") != F.col("rep"), F.lit(1.0)).otherwise(F.col("jaccard")).alias("jaccard"))
-        .where("doc_id <> keep_id")
+    repeated = scratch.keep(signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    n_repeated = repeated.count()
+    # a node is a document, or one of the different sets of words that rows with one doc_id have
+    nodes = _marked(signed.where("set_hash IS NOT NULL"), (repeated, n_repeated)).select("doc_id", "m", "set_hash", "bands")
+    if n_repeated:
+        nodes = nodes.groupBy("doc_id", "set_hash").agg(F.min("m").alias("m"), F.min("bands").alias("bands")).select("doc_id", "m", "set_hash", "bands")
+    # equal sets are one: an aggregate and a join, not a window, so that the copies of a hot text needn't fit one task
+    plain = nodes.select("doc_id", "m", "set_hash")
+    first = plain.groupBy("set_hash").agg(F.min(F.struct("doc_id", "m")).alias("rep"), F.count("*").alias("copies"))
+    same = scratch.keep(plain.join(first, "set_hash").select("doc_id", "m", "rep", (F.col("copies") - 1).alias("copies")), "same")
+    reps = nodes.join(same.where("rep.doc_id <> doc_id OR rep.m <> m").select("doc_id", "m"), ["doc_id", "m"], "left_anti")
+    cells = reps.select(F.col("doc_id").alias("d"), "m", F.posexplode("bands").alias("k", "band"))
+    full = scratch.keep(cells.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    n_full = full.count()
+    members = scratch.keep(cells.join(small(full, n_full, 24), "band"), "members")
+    # buckets with the same members are one, that of the earliest band
+    marks = members.groupBy("band", "k", "n").agg(F.bit_xor(F.xxhash64("d", "m")).alias("x"), F.sum(F.pmod(F.xxhash64("m", "d"), F.lit(1 << 40))).alias("y"))
+    chosen = marks.groupBy("n", "x", "y").agg(F.min(F.struct("k", "band")).alias("b")).select("b.band", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    # a bucket of more than PART members is cut into parts, and compared part by part: a block is a group of its own
+    part, other = F.pmod(F.xxhash64("d", "m"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    blocks = members.join(small(chosen, n_full, 24), "band").select("band", "k", part.alias("part"), "d", "m", F.explode(other).alias("o"))
+    blocks = blocks.select("band", "k", F.least("part", "o").alias("bi"), F.greatest("part", "o").alias("bj"), "part", "d", "m")
+    wanted = members.select(F.col("d").alias("doc_id"), "m").distinct()
+    own = _marked(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), (repeated, n_repeated)).select(F.col("doc_id").alias("d"), "m", "text")
+    if n_repeated:  # equal rows are one
+        own = own.groupBy("d", "m").agg(F.min("text").alias("text"))
+    carried = reps.join(wanted, ["doc_id", "m"], "left_semi").select(F.col("doc_id").alias("d"), "m", "bands")
+    rows_ = blocks.join(own.join(carried, ["d", "m"]), ["d", "m"]).select("band", "k", "bi", "bj", "part", "d", "m", "bands", "text")
+    block = ["band", "k", "bi", "bj"]
+    ordered = rows_.repartition(*block).sortWithinPartitions(*block, "d", "m")
+    linked = scratch.keep(ordered.mapInArrow(partial(_verify, threshold=threshold), LINKED), "linked")
+    node = lambda d, m: F.struct(F.col(d).alias("doc_id"), F.col(m).alias("m"))
+    roots = components(linked.select(node("d", "m").alias("u"), node("rd", "rm").alias("v")), scratch)
+    links = linked.groupBy(node("d", "m").alias("node")).agg(F.sum("links").alias("links"), F.max("jaccard").alias("jaccard"))
+    info = links.join(roots, "node", "left").select(F.col("node").alias("rep"), "links", "jaccard", F.coalesce("root", "node").alias("root"))
+    rows_ = same.join(info, "rep", "left").select(
+        "doc_id", "m", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "copies", F.when(F.col("copies") > 0, 1.0).otherwise(F.col("jaccard")).alias("jaccard")
     )
-    return scratch.keep(grouped, "groups"), same.where("n > 1").select("doc_id")
+    out = scratch.keep(rows_, "groups")
+    for name in ("same", "full", "members", "linked"):
+        scratch.drop(name)
+    return _Found(out, signed, repeated, n_repeated)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, keep_id, jaccard) for each document of ``docs(doc_id, text)`` that repeats another.
-
-    A group is all documents joined by pairs of similarity ``threshold`` or more; its smallest doc_id is kept and
-    not listed. ``jaccard`` is the document's highest verified similarity (1.0 for an equal set). Case and
-    punctuation are ignored. Null ids, null texts and blank texts are in no group; a text without words equals only
-    the same text. Rows that repeat a doc_id are one document, compared by any of their texts that collide. An empty table
-    gives an empty result; other columns are ignored.
+    """(doc_id, keep_id, links, copies, jaccard): a row for each document of ``docs(doc_id, text)`` that is like another.
+
+    A class is all documents joined by pairs of similarity ``threshold`` or more; ``keep_id``, its smallest doc_id, names it. ``copies``
+    counts the other documents with an equal set; ``links`` the different texts (equal sets count once) that share a bucket with the
+    document's and reach the threshold, each verified exactly; ``jaccard`` is the highest such similarity, 1.0 where there are copies.
+    Case and punctuation are ignored. Null ids, null texts and blank texts are in no class; a text without words equals only
+    the same text. Rows that repeat a doc_id are one document if their sets are equal, else one for each different set. Texts of
+    any length are taken whole. An empty table gives an empty result; other columns are ignored.
     """
-    return _groups(docs, Scratch(docs.sparkSession, "neardup"), threshold, bands, rows)[0]
+    scratch = Scratch(docs.sparkSession, "neardup")
+    found = _groups(docs, scratch, threshold, bands, rows)
+    scratch.drop("signed")
+    scratch.drop("repeated")
+    return found.rows.where("links > 0 OR copies > 0").select("doc_id", F.col("root.doc_id").alias("keep_id"), "links", "copies", F.round("jaccard", 9).alias("jaccard"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` with one document of each group, all its columns as they were.
+    """``docs`` with one document of each class, all its columns as they were, whatever their names.
 
-    Of rows that repeat a doc_id, the one with the smallest text stays. Rows with a null doc_id, and null or blank
-    texts, stay.
+    Rows that repeat a doc_id stay if their texts aren't alike; of equal rows one stays, of rows with one id and an equal set that with
+    the smallest hash of its text. Rows with a null doc_id, and null or blank texts, stay. An empty table stays empty.
     """
-    groups, repeated = _groups(docs, Scratch(docs.sparkSession, "neardup"), threshold, bands, rows)
-    rest = docs.join(small(groups.select("doc_id"), groups.count(), 40), "doc_id", "left_anti").select(*docs.columns)
-    n = repeated.count()
-    if not n:
-        return rest
-    once = rest.join(small(repeated, n, 40), "doc_id", "left_semi")
-    rank = "_rank" + "_" * max(map(len, docs.columns))  # longer than any column's name
-    once = once.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(rank) == 1).select(*docs.columns)
-    return rest.join(small(repeated, n, 40), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    scratch = Scratch(docs.sparkSession, "neardup")
+    found = _groups(docs, scratch, threshold, bands, rows)
+    gone = found.rows.where("root.doc_id <> doc_id OR root.m <> m")
+    if not found.n_repeated:
+        return without_ids(docs, gone, gone.count())
+    once, many = (docs.join(small(found.repeated, found.n_repeated, 40), "doc_id", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    single = gone.where("m = 0")
+    once = without_ids(once, single, single.count())
+    # of ids with several rows those of the right text stay, each once; texts without a set stay as they are
+    words = found.signed.where("set_hash IS NOT NULL").join(small(found.repeated, found.n_repeated, 40), "doc_id", "left_semi").select("doc_id", "t").distinct()
+    right = found.rows.where("m <> 0 AND root.doc_id = doc_id AND root.m = m").select("doc_id", F.col("m").alias("t"))
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+    hashed = many.withColumn(own, F.xxhash64("text"))
+    of = lambda t, how: hashed.join(t.select("doc_id", F.col("t").alias(own)), ["doc_id", own], how)
+    rank = own + "rank"
+    kept = of(right, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", own).orderBy("text"))).where(F.col(rank) == 1)
+    return once.unionByName(of(words, "left_anti").select(*docs.columns)).unionByName(kept.select(*docs.columns))

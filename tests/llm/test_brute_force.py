@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 import io
 import re
 import tarfile
@@ -15,7 +16,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from stemmata.llm import ann, byte_bpe, decontam, gbt, licenses, quality, registry, secrets, toxicity
+from stemmata.llm import ann, byte_bpe, decontam, gbt, licenses, near_dup, quality, registry, secrets, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -61,11 +62,46 @@ def groups(rows):
 
 
 def test_near_duplicates(spark, sf, documents):
-    got = {r.doc_id: r.keep_id for r in registry.QUERIES["op5_minhash_dedup"](spark, sf).collect()}
+    rows = registry.QUERIES["op5_minhash_dedup"](spark, sf).collect()
+    got = {r.doc_id: r.keep_id for r in rows}
     pairs, root = groups(documents)
     together = [got.get(a, a) == got.get(b, b) for a, b in pairs]
     assert len(pairs) > 10 and np.mean(together) >= 0.95
     assert all(root[d] == root[k] for d, k in got.items())  # nothing is joined that isn't alike
+    assert len(rows) == len(got) and all(k == min(d for d in got if got[d] == k) for k in got.values())
+    check_links(rows, documents, pairs)
+
+
+def check_links(rows, documents, pairs, least=0.95):
+    """Links and copies against all pairs: every document's, of different sets once each."""
+    sets = {r["doc_id"]: frozenset(shingles(r["text"])) for r in documents}
+    links, copies, top = {}, {}, {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            top[x] = max(top.get(x, 0), len(sets[a] & sets[b]) / len(sets[a] | sets[b]))
+            if sets[a] == sets[b]:
+                copies[x] = copies.get(x, 0) + 1
+            else:
+                links.setdefault(x, set()).add(sets[y])
+    assert all(r.copies == copies.get(r.doc_id, 0) and r.links <= len(links.get(r.doc_id, ())) for r in rows)
+    assert all(r.jaccard <= top[r.doc_id] + 1e-9 for r in rows)
+    assert sum(r.links for r in rows) >= least * sum(len(v) for v in links.values())
+
+
+def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch):
+    """Many different texts that share a passage, of which some are alike: cut into blocks, every link is found once."""
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 100_000, n))
+    passage = words(120)
+    texts = [passage + " " + words(int(rng.integers(1, 12))) for _ in range(120)]  # all alike
+    texts += [passage + " " + words(260) for _ in range(120)]  # share the passage, aren't alike
+    documents = [{"doc_id": k, "text": t} for k, t in enumerate(texts)]
+    monkeypatch.setattr(near_dup, "PART", 16)
+    rows = near_dup.near_duplicates(spark.createDataFrame(documents, "doc_id bigint, text string")).collect()
+    pairs, root = groups(documents)
+    assert {r.doc_id: r.keep_id for r in rows} == {d: r for d, r in root.items() if d < 120} and len(pairs) == 120 * 119 // 2
+    assert {r.links for r in rows} == {119}
+    check_links(rows, documents, pairs, 1.0)
 
 
 def leaks(documents, items, phrase=decontam.PHRASE, ratio=decontam.RATIO, slack=decontam.SLACK):
@@ -127,23 +163,33 @@ def test_secrets_in_layers():
         found = [f for f in secrets.scan_text(text) if f.rule == "aws-access-key"]
         assert found and found[0].path == path and found[0].secret == KEY, path
         a, b = found[0].start, found[0].end
-        assert text[a:b] in coded and KEY not in secrets.redact(text, found) and coded not in secrets.redact(text, found)
+        assert text[a:b] in coded and KEY not in secrets.redact(text, found) and secrets.scan_text(secrets.redact(text, found)) == []
     circle = "%2541%25" * 50 + b64("%41" * 40)
     assert secrets.scan_text(circle) == []  # ends
     folded = base64.encodebytes(gzip.compress((KEY + " " + "".join(map(chr, np.random.default_rng(0).integers(97, 122, 400)))).encode())).decode()
     assert any(f.secret == KEY for f in secrets.scan_text(folded))
 
 
+def opened(piece):
+    """What a base64 piece says, decoded as far as it goes."""
+    raw = base64.b64decode(piece + "=" * (-len(piece) % 4))
+    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+
+
 def test_secrets_at_every_place(spark):
     plain = f"key {KEY} end"
     for coded in (base64.b64encode(plain.encode()).decode(), base64.b64encode(gzip.compress(plain.encode())).decode(), base64.b64encode(base64.b64encode(plain.encode())).decode()):
         text = f"a: {coded}\nb: {coded}\nc: %41 {coded} {KEY}"
         found = [f for f in secrets.scan_text(text) if f.rule == "aws-access-key"]
-        assert [text[f.start : f.end] for f in found] == [*[m.group() for m in re.finditer(re.escape(coded.rstrip("=")) + "=*", text)], KEY]
-        assert {f.secret for f in found} == {KEY} and coded.rstrip("=") not in secrets.redact(text, found)
+        assert len(found) == 4 and {f.secret for f in found} == {KEY} and text[found[3].start : found[3].end] == KEY
+        for f, m in zip(found, re.finditer(re.escape(coded.rstrip("=")), text)):
+            assert m.start() <= f.start < f.end <= m.end() + 2
+            inner = opened(text[f.start : f.end])
+            assert any(KEY.encode() in x for x in ([inner] if f.path != "base64>base64" else [opened(inner.decode()[k:][: (len(inner) - k) // 4 * 4]) for k in range(4)]))
         d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
         assert secrets.find_secrets(d).where("rule = 'aws-access-key'").count() == 4
-        assert coded.rstrip("=") not in secrets.redact_secrets(d).first().text
+        clean = secrets.redact_secrets(d).first().text
+        assert secrets.scan_text(clean) == []
     url = base64.b64encode(b"xy " + plain.encode()).decode().replace("=", "%3D")
     assert "%3D" in url and len(secrets.scan_text(url)) == 1  # a run and the same run with its padding unescaped are one place
 
@@ -151,15 +197,55 @@ def test_secrets_at_every_place(spark):
 def test_secrets_of_one_run(spark):
     values = [f"abcdefgh{k:08d}" for k in range(10)]
     config = "\n".join(f"token_{k}: x\ntoken = {v}" for k, v in enumerate(values))
-    for raw in (config.encode(), gzip.compress(config.encode()), base64.b64encode(config.encode())):
+    for raw, packed in ((config.encode(), False), (gzip.compress(config.encode()), True), (base64.b64encode(config.encode()), False)):
         text = f"config {base64.b64encode(raw).decode()} end"
         found = secrets.scan_text(text)
         assert sorted(f.secret for f in found if f.rule == "assigned-secret") == values
-        assert len({(f.start, f.end) for f in found}) == 1 and secrets.redact(text, found) == "config [assigned-secret] end"
+        assert len({(f.start, f.end) for f in found}) == (1 if packed else 10)
+        assert secrets.scan_text(secrets.redact(text, found)) == [] and (not packed or secrets.redact(text, found) == "config [assigned-secret] end")
         rows = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
         assert len({r.secret_sha256 for r in rows}) == len(rows) == 10
 
 
+def test_secrets_planted_in_every_coding(spark):
+    """What is planted is known: each secret must be found at its place and nothing else, and its neighbours must stay."""
+    rng = np.random.default_rng(8)
+    b64 = lambda b: base64.b64encode(b).decode()
+    coders = [
+        lambda s: s,
+        lambda s: "".join(f"%{c:02X}" for c in s.encode()),
+        lambda s: "%FF%FE" + "".join(f"%{c:02x}" for c in s.encode()) + "%80",
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        lambda s: b64(s.encode()),
+        lambda s: "/path/" + b64(s.encode()),
+        lambda s: "x" + b64(s.encode()),
+        lambda s: "xy" + b64(s.encode()).rstrip("=") + "A",
+        lambda s: b64(s.encode("utf-16-le")),
+        lambda s: b64(b"\xff\xfe" + s.encode("utf-16-be")),
+        lambda s: b64(b"\x00\x01\xff" + s.encode() + b"\xfe"),
+        lambda s: b64(zlib.compress(s.encode())),
+        lambda s: b64(b64(gzip.compress(s.encode())).encode()),
+        lambda s: "".join(f"%{c:02X}" for c in b64(s.encode()).encode()),
+        lambda s: s.encode("utf-16-le").decode("latin-1"),
+    ]
+    rows, want = [], []
+    for k in range(120):
+        secret = "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))
+        coded = coders[k % len(coders)](f"left-{'l' * (k % 4)} {secret} right")
+        pre = "some words é \U0001f600 before; " * int(rng.integers(0, 3))
+        rows.append((k, f"{pre}<{coded}> after {k}"))
+        want.append((k, "aws-access-key", secret, len(pre) + 1, len(pre) + 1 + len(coded)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.rule, r.secret_sha256, r.start, r.end) for r in secrets.find_secrets(d).collect())
+    assert [g[:3] for g in got] == [(k, rule, hashlib.sha256(s.encode()).hexdigest()) for k, rule, s, _, _ in want]
+    assert all(w[3] <= g[3] < g[4] <= w[4] for g, w in zip(got, want))
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(d).collect()}
+    for (k, text), g in zip(rows, got):
+        assert clean[k] == text[: g[3]] + "[aws-access-key]" + text[g[4] :] and secrets.scan_text(clean[k]) == []
+    # of plain base64 only the groups that hold the key go: its neighbours can still be read
+    assert all(opened(rows[k][1].split("<")[1].split(">")[0][: got[k][3] - rows[k][1].index("<") - 1]).startswith(b"left-") for k in range(4, 120, len(coders)))
+
+
 def test_suspects_hold_all_that_is_found(spark):
     b64 = lambda b: base64.b64encode(b).decode()
     fold = lambda s, n: "\n".join(s[k : k + n] for k in range(0, len(s), n))

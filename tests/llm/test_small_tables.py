@@ -54,11 +54,11 @@ def test_quality(odd, none, labels):
 
 
 def test_near_dup(odd, none):
-    got = {r.doc_id: (r.keep_id, r.jaccard) for r in near_dup.near_duplicates(odd).collect()}
-    assert got == {2: (1, 1.0), 8: (7, 1.0)}
+    got = {(r.doc_id, r.keep_id, r.links, r.copies, r.jaccard) for r in near_dup.near_duplicates(odd).collect()}
+    assert got == {(1, 1, 0, 1, 1.0), (2, 1, 0, 1, 1.0), (7, 7, 0, 1, 1.0), (8, 7, 0, 1, 1.0)}
     kept = near_dup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 9, 10]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 6, 7, 9, 10]
     assert near_dup.near_duplicates(none).count() == 0 and near_dup.drop_near_duplicates(none).count() == 0
 
 
@@ -67,13 +67,14 @@ def test_near_dup_of_repeated_ids(spark):
         return " ".join(f"w{k}x{j}" for j in range(n))
 
     near = lambda k: words(k) + " and more"
-    # 5 repeats 1 by its first text and is near 7 by its second; 6 is near 8 by its last, 9 equals 6's first and 2 equals 6's other
-    texts = [(1, words(1)), (5, words(1)), (5, words(2)), (7, near(2)), (6, "  "), (6, words(3)), (6, words(4)), (8, near(4)), (9, words(3)), (2, words(4)), (10, words(5)), (10, near(5))]
+    # rows with one id are documents of their own where their sets differ, blank ones are in no class
+    texts = [(1, words(1)), (5, words(1)), (5, words(2)), (7, near(2)), (6, "  "), (6, words(3)), (6, words(4)), (8, near(4)), (9, words(3)), (2, words(4)), (10, words(5)), (10, near(5)), (11, words(6)), (11, words(6).upper()), (11, words(6))]
     for order in (texts, texts[::-1]):
-        got = {r.doc_id: (r.keep_id, r.jaccard == 1.0) for r in near_dup.near_duplicates(spark.createDataFrame(rows(order), DOCS)).collect()}
-        assert got == {5: (1, True), 7: (1, False), 6: (2, True), 8: (2, False), 9: (2, True)}
-    kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows(texts), DOCS)).collect()
-    assert sorted(r.doc_id for r in kept) == [1, 2, 10]
+        got = sorted((r.doc_id, r.keep_id, r.links, r.copies) for r in near_dup.near_duplicates(spark.createDataFrame(rows(order), DOCS)).collect())
+        assert got == [(1, 1, 0, 1), (2, 2, 1, 1), (5, 1, 0, 1), (5, 5, 1, 0), (6, 2, 1, 1), (6, 6, 0, 1), (7, 5, 1, 0), (8, 2, 1, 0), (9, 6, 0, 1), (10, 10, 1, 0), (10, 10, 1, 0)]
+        kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows(order), DOCS)).collect()
+        assert sorted(r.doc_id for r in kept) == [1, 2, 5, 6, 6, 10, 11]
+        assert {r.text for r in kept if r.doc_id == 5} == {words(2)} and {r.text for r in kept if r.doc_id == 6} == {"  ", words(3)}
 
 
 def test_decontam(odd, none, items):
@@ -150,11 +151,17 @@ def test_ann(spark):
     nan, inf = float("nan"), float("inf")
     v = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, None), (None, [1.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [-1.0, 0.0]), (12, [1.0, 0.0]), (1, [5.0, 5.0])]
     d = spark.createDataFrame(v, "vec_id bigint, embedding array<float>").withColumn("uid", F.lit("u")).withColumn("ids", F.lit(1))
-    got = {}
-    for r in ann.neighbours(d, k=2).orderBy("vec_id", "rank").collect():
-        got.setdefault(r.vec_id, []).append((r.neighbour_id, r.similarity))
+    def found(condition, **how):
+        got = {}
+        for r in ann.neighbours(d, condition, **how).orderBy("vec_id", "rank").collect():
+            got.setdefault(r.vec_id, []).append((r.neighbour_id, r.similarity))
+        return got
+
     h = round(2**-0.5, 6)
-    assert got == {1: [(2, 1.0), (12, 1.0)], 2: [(1, 1.0), (12, 1.0)], 12: [(1, 1.0), (2, 1.0)], 3: [(1, h), (2, h)], 11: [(3, -h), (1, -1.0)]}
+    want = {1: [(2, 1.0), (12, 1.0)], 2: [(1, 1.0), (12, 1.0)], 12: [(1, 1.0), (2, 1.0)], 3: [(1, h), (2, h)], 11: [(3, -h), (1, -1.0)]}
+    assert found(F.lit(True), k=2) == want
+    assert found(F.col("vec_id") % 3 == 0, k=2) == {k: v for k, v in want.items() if k % 3 == 0}
+    assert found(None) == {} and found(F.col("vec_id") == 4) == {}  # no id is divisible by 100; one without a direction doesn't ask
     assert ann.neighbours(d.limit(0)).count() == 0
 
 
