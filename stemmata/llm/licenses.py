@@ -1,10 +1,12 @@
 """License scans: a trained paragraph classifier names the licence family, and a template comparison confirms it.
 
-A paragraph is a line. Its features are the word n-grams of lengths 1 to ``GRAMS`` that occur in the templates, present or
+A paragraph is a line with the lines that continue it: a line of the length of folded text (``WRAP``) that ends in no mark goes on in the
+next one that has a word, so a licence folded into lines is read in sentences or more, and a notice on a line of its own by itself.
+Its features are the word n-grams of lengths 1 to ``GRAMS`` that occur in the templates, present or
 not: a sparse row. A softmax regression over them has a class for each family and one for everything else. It is
-fitted on the driver from the templates below, cut, disturbed and set among other words, and from paragraphs
-that only look like licences; nothing is read from the corpus. A temperature, fitted on disturbed paragraphs that
-training didn't see, calibrates its probabilities; a family needs ``THRESHOLD``, else the paragraph is unknown.
+fitted on the driver from ``license_texts``: whole paragraphs and notices, cut, disturbed and set among other words, and paragraphs
+that only look like licences; nothing is read from the corpus. A temperature, fitted on notices in other words and other look-alikes, which
+training doesn't see, calibrates its probabilities; a family needs ``THRESHOLD``, else the paragraph is unknown.
 
 Paragraphs that hold none of the features can only be unknown, so the work is a hash lookup of every n-gram of an Arrow
 batch at once, and sums over the few that hit.
@@ -23,42 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.llm import _text
+from stemmata.llm.license_texts import HELD_OUT, HELD_OUT_LOOKALIKES, LOOKALIKES, TEMPLATES
 from stemmata.session import prepare
 
-GRAMS, THRESHOLD, CONFIRM, TRAIN_ROWS, SEED = 3, 0.5, 0.6, 6000, 11
-TEMPLATES: dict[str, list[str]] = {
-    "mit": [
-        "Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy.", "See the LICENSE file for the full MIT License text.",
-    ],
-    "apache": [
-        "Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0.", "SPDX-License-Identifier: Apache-2.0",
-        "Released under the Apache License 2.0.", "You may not use this file except in compliance with the License.", "This project is licensed under the Apache 2.0 license.",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GNU General Public License.",
-        "You should have received a copy of the GNU General Public License.", "Licensed under the GPL version 2 or later.", "Licensed under the GPLv3.", "it under the terms of the GNU General Public License",
-    ],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later", "You should have received a copy of the GNU Lesser General Public License.", "Released under the LGPL."],
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only", "You should have received a copy of the GNU Affero General Public License.", "Released under the AGPL."],
-    "bsd": [
-        "Licensed under the BSD 3-Clause License.", "Released under the 2-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license.",
-        "Redistributions of source code must retain the above copyright notice.",
-    ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License.", "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0.", "Released under the MPL 2.0."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0", "Available under the Creative Commons Attribution license."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "Text is available under the Creative Commons Attribution-ShareAlike license."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "Available under the Creative Commons Attribution-NonCommercial license."],
-    "public-domain": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: CC0-1.0", "Released under CC0 1.0 Universal.", "SPDX-License-Identifier: Unlicense", "To the extent possible under law, all copyright has been waived."],
-    "isc": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Released under the ISC license.", "Permission to use, copy, modify, and distribute this software for any purpose is granted."],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without permission.", "This document is proprietary and confidential.", "Unauthorized copying of this file is strictly prohibited."],
-}
-LOOKALIKES = [
-    "She got her driving license in version 2 of the test.", "A license to practise medicine is granted by the state.", "The helicopter was an Apache built for the army.", "He studied at MIT and released two records.",
-    "The public was under the impression that the work is done.", "The general public may obtain a copy of the report at the library.", "Permission to land was granted to the pilot.", "The terms of the contract are subject to change.",
-    "All seats are reserved for members.", "The creative team shared the commons with the public.", "A new version of the file was released under pressure.", "You should have received a letter by now.", "This project is the source of the noise.",
-    "The license fee is due in May.", "Fishing without a license is prohibited.", "This work is under way and the text is available.", "The domain of the public library is large.", "Free of charge to any person under 18.", "Use of this room is governed by house rules.",
-]
+GRAMS, THRESHOLD, CONFIRM, PART, TRAIN_ROWS, SEED = 3, 0.5, 0.6, 8, 4500, 11
+WRAP = (40, 120, 5)  # of a line that the next one continues: least and most bytes, least blanks
 FILLER = "a man went home by train before noon while rain fell on old houses near water and people sang songs about long roads they never knew each day some more would come again with small bright things from far away towns where time stood still until morning light came over hills".split()
 FOUND = "doc_id bigint, paragraph int, start int, end int, family string, probability double, template string, similarity double, confirmed boolean"
 
@@ -92,32 +63,36 @@ def _features(texts: list[str]) -> list[np.ndarray]:
     return [np.unique(np.concatenate([_grams(w.hashes[a:b], n) for n in range(1, GRAMS + 1) if b - a >= n] or [np.zeros(0, np.uint64)])) for a, b in zip(w.first[:-1], w.first[1:])]
 
 
-def examples(seed: int, rows: int, templates: dict[str, list[str]] | None = None) -> tuple[list[str], np.ndarray]:
-    """Disturbed templates and other paragraphs, with their classes."""
+def examples(seed: int, rows: int, templates: dict[str, list[str]] | None = None, lookalikes: list[str] | None = None) -> tuple[list[str], np.ndarray]:
+    """Whole, broken and disturbed templates and other paragraphs, some among other words, with their classes (numbered as ``TEMPLATES``)."""
     rng = np.random.default_rng(seed)
-    templates = templates or TEMPLATES
-    families = list(templates)
-    vocabulary = sorted({x for ts in templates.values() for t in ts for x in t.split()})
+    templates, lookalikes = templates or TEMPLATES, lookalikes or LOOKALIKES
+    families = list(TEMPLATES)
+    vocabulary = sorted({x for ts in TEMPLATES.values() for t in ts for x in t.split()})
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     texts, y = [], []
     for k in range(rows):
         if k % 3:
-            family = int(rng.integers(len(families)))
-            tokens = pick(templates[families[family]]).split()
-            if len(tokens) > 4 and rng.random() < 0.5:  # one word is missing or wrong
-                at = int(rng.integers(len(tokens)))
-                tokens[at : at + 1] = [] if rng.random() < 0.5 else [pick(FILLER)]
+            own = pick(sorted(templates))
+            family, tokens = families.index(own), pick(templates[own]).split()
+            if len(tokens) > 16 and rng.random() < 0.5:  # some lines of a longer paragraph
+                n = int(rng.integers(8, len(tokens)))
+                at = int(rng.integers(0, len(tokens) - n + 1))
+                tokens = tokens[at : at + n]
+            if len(tokens) > 4 and rng.random() < 0.5:  # one word is missing or wrong, or one in six
+                for at in sorted({int(rng.integers(len(tokens))) for _ in range(1 if rng.random() < 0.5 else len(tokens) // 6 + 1)}, reverse=True):
+                    tokens[at : at + 1] = [] if rng.random() < 0.5 else [pick(FILLER)]
             if rng.random() < 0.3:  # its tail may be missing
                 tokens = tokens[: max(4, int(len(tokens) * rng.uniform(0.7, 1)))]
         else:
             family, kind = len(families), rng.random()
-            if kind < 0.3:
-                tokens = pick(LOOKALIKES).split()
+            if kind < 0.4:
+                tokens = pick(lookalikes).split()
             elif kind < 0.7:  # the templates' words without their order, few or nearly all
                 tokens = [pick(vocabulary) for _ in range(int(np.exp(rng.uniform(0, 7))))]
             else:
                 tokens = [pick(FILLER) for _ in range(int(rng.integers(0, 60)))]
-        around = lambda: [pick(FILLER) if rng.random() < 0.8 else pick(pick(LOOKALIKES).split()) for _ in range(int(rng.integers(0, 25)))]
+        around = lambda: [pick(FILLER) if rng.random() < 0.8 else pick(pick(lookalikes).split()) for _ in range(int(rng.integers(0, 25)))]
         if rng.random() < 0.5:
             tokens = [*around(), *tokens, *around()]
         texts.append(" ".join(tokens))
@@ -134,7 +109,8 @@ def _rows(found: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def train(rows: int = TRAIN_ROWS, steps: int = 150, rate: float = 0.05, decay: float = 3e-4) -> Model:
+def train(rows: int = TRAIN_ROWS, steps: int = 120, rate: float = 0.05, decay: float = 3e-4) -> Model:
+    """The classifier of ``TEMPLATES``; its temperature is the likeliest on ``HELD_OUT`` notices and look-alikes that training didn't see."""
     terms = np.unique(np.concatenate(_features([t for ts in TEMPLATES.values() for t in ts])))
     texts, y = examples(SEED, rows)
     x, hot = _rows(_features(texts), terms), np.eye(len(TEMPLATES) + 1, dtype=np.float32)[y]
@@ -150,26 +126,62 @@ def train(rows: int = TRAIN_ROWS, steps: int = 150, rate: float = 0.05, decay: f
             v += 0.001 * (g * g - v)
             q -= rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model = Model(list(TEMPLATES), terms, params[0].astype(np.float64), params[1].astype(np.float64), 1.0)
-    held, truth = examples(SEED + 1, rows // 3)
+    held, truth = examples(SEED + 1, rows // 3, HELD_OUT, HELD_OUT_LOOKALIKES)
     logits = _rows(_features(held), terms) @ model.weights + model.bias
     grid = np.geomspace(0.25, 4, 33)
     loss = [-np.log(np.maximum(model._replace(temperature=t).probabilities(logits)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     return model._replace(temperature=float(grid[int(np.argmin(loss))]))
 
 
+def _shares(text: str, templates: list[str]) -> list[float]:
+    """Of each template the share of its word 3-grams (all its words, if fewer) that the text holds or, of a text of ``PART`` words or more, that of the text's in it."""
+    w = _text.words(pa.array([text, *templates], pa.string()))
+    cut = [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
+    out = []
+    for t in cut[1:]:
+        n = min(GRAMS, len(t))
+        theirs, ours = np.unique(_grams(t, n)), np.unique(_grams(cut[0], n)) if len(cut[0]) >= n else cut[0][:0]
+        both = len(np.intersect1d(theirs, ours))
+        out.append(max(both / len(theirs), both / len(ours) if len(cut[0]) >= PART else 0.0))
+    return out
+
+
 def confirm(text: str, family: str) -> tuple[str, float]:
-    """The family's template of which most word 3-grams (all words, if fewer) are in the text, and the share."""
-    w = _text.words(pa.array([text, *TEMPLATES[family]], pa.string()))
-    sets = [np.unique(_grams(w.hashes[a:b], min(GRAMS, max(1, b - a)))) if b > a else np.zeros(0, np.uint64) for a, b in zip(w.first[:-1], w.first[1:])]
-    own = [sets[0], *(np.unique(_grams(w.hashes[: w.first[1]], n)) if w.first[1] >= n else sets[0][:0] for n in (1, 2))]
-    shares = []
-    for (a, b), s in zip(zip(w.first[1:-1], w.first[2:]), sets[1:]):
-        there = own[b - a] if b - a < GRAMS else own[0]
-        shares.append(len(np.intersect1d(s, there)) / max(1, len(s)))
+    """The family's template that is most like a paragraph, and how much of either the other holds."""
+    shares = _shares(text, TEMPLATES[family])
     best = int(np.argmax(shares))
     return TEMPLATES[family][best], shares[best]
 
 
+def _continued(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each line feed of some texts whether the line before it goes on in the next: as long as a folded line, without a mark at its end."""
+    feeds = np.flatnonzero(buf == 10)
+    doc = np.searchsorted(off, feeds, "right") - 1
+    inner = np.append(False, doc[1:] == doc[:-1])[: len(feeds)]
+    start = np.where(inner, np.append(0, feeds[:-1] + 1)[: len(feeds)], off[doc])
+    following = np.where(np.append(inner[1:], False)[: len(feeds)], np.append(feeds[1:], 0)[: len(feeds)], off[doc + 1])
+    sums = lambda which: np.append(0, np.cumsum(which))
+    word, blank = sums(_text.IS_WORD[buf]), sums(buf == 32)
+    end = feeds - ((feeds > start) & (buf[feeds - 1] == 13))
+    last = np.where(end > start, buf[np.maximum(end - 1, 0)], 32)
+    size = end - start
+    return (size >= WRAP[0]) & (size <= WRAP[1]) & ~np.isin(last, list(b".!?:;")) & (blank[end] - blank[start] >= WRAP[2]) & (word[end] > word[start]) & (word[following] > word[feeds])
+
+
+def paragraphs(text: str) -> list[tuple[int, int]]:
+    """The spans of a text's paragraphs: each line, with the lines that continue it."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    on = _continued(raw, np.array([0, len(raw)])).tolist()
+    out, at, start = [], 0, 0
+    for line, more in zip(text.split("\n"), [*on, False]):
+        at += len(line)
+        if not more:
+            out.append((start, at))
+            start = at + 1
+        at += 1
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
     maybe = np.zeros(1 << 20, bool)
     maybe[model.terms >> np.uint64(44)] = True
@@ -181,8 +193,9 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
             if not len(w.hashes):
                 continue
             doc = np.repeat(np.arange(len(col)), np.diff(w.first))
-            # paragraphs are numbered through the chunk: a new one at each line feed and each text
-            paragraph = np.searchsorted(np.flatnonzero(w.buf == 10), w.starts) + doc
+            # paragraphs are numbered through the chunk: a new one at each line feed that nothing continues, and at each text
+            breaks = np.append(0, np.cumsum(~_continued(*_text.buffer(col))))
+            paragraph = breaks[np.searchsorted(np.flatnonzero(w.buf == 10), w.starts)] + doc
             places, features = [], []
             for n in range(1, GRAMS + 1):
                 if len(w.hashes) < n:
@@ -204,16 +217,16 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
             best = np.argmax(p[:, :-1], axis=1)
             sure = p[np.arange(len(p)), best]
             feeds = np.cumsum(np.append(0, pc.count_substring(pc.fill_null(col, ""), "\n").to_numpy(zero_copy_only=False)))
-            now, lines, starts = -1, [], np.zeros(0, np.int64)
+            now, spans = -1, []
             for j in np.flatnonzero(sure >= threshold):
                 d = int(doc[k[new[j]]])
                 if d != now:
-                    now, lines = d, col[d].as_py().split("\n")
-                    starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
-                number = int(own[new[j]] - d - feeds[d])
-                family, line = model.families[best[j]], lines[number]
-                template, share = confirm(line, family)
-                out.append((batch.column(0)[at + d].as_py(), number, int(starts[number]), int(starts[number]) + len(line), family, round(float(sure[j]), 6), template, round(share, 6), share >= CONFIRM))
+                    now, text = d, col[d].as_py()
+                    spans = paragraphs(text)
+                number = int(own[new[j]] - d - breaks[feeds[d]])
+                family, (a, b) = model.families[best[j]], spans[number]
+                template, share = confirm(text[a:b], family)
+                out.append((batch.column(0)[at + d].as_py(), number, a, b, family, round(float(sure[j]), 6), template, round(share, 6), share >= CONFIRM))
         cols = list(zip(*out)) if out else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in FOUND.split(", ")])
 
@@ -221,10 +234,10 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
 def scan(docs: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each paragraph of ``docs(doc_id, text)`` whose licence family is known.
 
-    ``paragraph`` counts lines from 0, ``start`` and ``end`` are the line's characters; ``similarity`` is the share of
-    ``template`` that the line holds, ``confirmed`` says that it reaches ``CONFIRM``. Null and empty texts, and
-    texts without a word, give nothing; a null doc_id stays null; repeated rows give repeated findings; other columns are
-    ignored. Of families that are equally likely the first of ``TEMPLATES`` is named.
+    ``paragraph`` counts from 0, ``start`` and ``end`` are its characters; ``similarity`` is the share of
+    ``template`` that the paragraph holds (or of the paragraph in it), ``confirmed`` says that it reaches ``CONFIRM``. Null and empty texts, and
+    texts without a word, give nothing; a null doc_id stays null; repeated rows give repeated findings; texts of any length are read whole; an
+    empty table gives an empty result; other columns are ignored. Of families that are equally likely the first of ``TEMPLATES`` is named.
     """
     prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(partial(_scan, model=model or train(), threshold=threshold), FOUND)
