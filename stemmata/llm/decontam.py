@@ -73,6 +73,11 @@ class _Items:
             most_missing = size - int(np.ceil(ratio * size - 1e-9))
             rare = np.argsort(f, kind="stable")[: most_missing + EXTRA]
             self.near.append((rare, len(rare) - most_missing, size - most_missing))
+        # all items' rarest terms one after another: which items can be near is seen for all at once
+        sizes = [len(rare) for rare, _, _ in self.near]
+        self.rare = np.concatenate([terms[rare] for (_, terms), (rare, _, _) in zip(self.items, self.near)])
+        self.rare_from = np.cumsum(sizes) - sizes
+        self.need = np.array([need for _, need, _ in self.near])
         self.anchor = np.array([self.items[k][1][order[0]] for k, _, _, order in self.windows], np.int64)
 
 
@@ -151,11 +156,11 @@ def _phrases(seg: _Segment, items: _Items) -> dict[tuple[int, int], tuple[int, i
 def _near(seg: _Segment, items: _Items, slack: int) -> dict[tuple[int, int], tuple[int, int]]:
     """(item, document) to (alignment, tokens found) with most tokens, the first of equals."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for item, (rare, need, least) in enumerate(items.near):
+    there = np.add.reduceat((seg.size[items.rare] > 0).astype(np.int64), items.rare_from)
+    for item in np.flatnonzero(there >= items.need).tolist():
+        rare, need, least = items.near[item]
         terms = items.items[item][1]
         sizes = seg.size[terms[rare]]
-        if np.count_nonzero(sizes) < need:
-            continue
         a = np.sort(np.concatenate([seg.postings(terms[o]) - o for o in rare[sizes > 0]]))
         if len(a) < need:
             continue
@@ -213,7 +218,8 @@ def search(index: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, ratio:
     for ``proximity``, given only where no phrase is. ``start`` is a token's place in the document (a proximity
     alignment may begin up to ``slack`` before it). Items with a null id, a null text or no word match nothing; an
     item of fewer than ``phrase`` tokens must be there whole. Repeated items or documents give one row each time
-    they differ in id, and one row if not.
+    they differ in id, and one row if not: that of the phrase, then of most tokens, then of the first place. Texts of any length
+    are indexed and searched whole; an empty index or no items give an empty result; other columns are ignored.
     """
     spark = prepare(index.sparkSession)
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -254,18 +260,18 @@ def _pairs():
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **how: object) -> DataFrame:
-    """Index ``docs`` in the shared folder and search it for ``benchmark``; see ``search`` for the result."""
+    """Index ``docs`` in the shared folder and search it for ``benchmark``; see ``search`` for the result. The index is deleted afterwards."""
     scratch = Scratch(docs.sparkSession, "decontam")
-    return search(scratch.keep(build_index(docs), "index"), benchmark, **how)
+    found = scratch.keep(search(scratch.keep(build_index(docs), "index"), benchmark, **how), "found")
+    scratch.drop("index")
+    return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_tokens: int = 8, **how: object) -> DataFrame:
-    """``docs`` without those that match an item of at least ``least_tokens`` tokens; all its columns stay.
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how: object) -> DataFrame:
+    """``docs`` without those that match any item, by phrase or proximity; all columns stay, whatever their names.
 
-    Shorter items are everyday phrases, whose documents stay. Rows with a null doc_id or text stay.
+    Rows with a null doc_id or text stay, and all rows where there are no items; all rows of a doc_id go if one of them matches, so repeated
+    rows share a fate; what decides ties in ``search`` doesn't matter here. Texts of any length are searched whole; an empty table stays empty.
     """
-    scratch = Scratch(docs.sparkSession, "decontam")
-    index = scratch.keep(build_index(docs), "index")
-    hit = scratch.keep(search(index, benchmark, **how).where(F.col("item_tokens") >= least_tokens).select("doc_id").distinct(), "hit")
-    scratch.drop("index")
-    return without_ids(docs, hit, hit.count())
+    found = find_leaks(docs, benchmark, **how).select("doc_id").distinct()
+    return without_ids(docs, found, found.count())
