@@ -62,8 +62,8 @@ def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def chunks(col: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of about ``limit`` bytes, with the index of their first row; a longer text is a slice of its own."""
+def chunks(col: pa.Array, limit: int = 1 << 21, rows: int = 1 << 16) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of about ``limit`` bytes and at most ``rows`` texts, with the index of their first row; a longer text is a slice of its own."""
     col = pc.fill_null(col, "")
     if not len(col):
         return
@@ -71,7 +71,7 @@ def chunks(col: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, pa.Array]
     at = 0
     while at < len(col):
         base = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
+        end = min(at + rows, max(at + 1, int(np.searchsorted(size, base + limit, "right"))))
         yield at, col.slice(at, end - at)
         at = end
 

@@ -58,7 +58,9 @@ def statistics(col: pa.Array) -> np.ndarray:
             most[some_] = np.maximum.reduceat(runs, (np.cumsum(own) - own)[some_])
         return own, most
 
-    # 16 bits hold the document's place: chunks have fewer texts
+    # 16 bits hold the text's place in the chunk: ``chunks`` takes no more texts
+    if n > 1 << 16:
+        raise ValueError(f"{n} texts at once; at most {1 << 16}")
     kinds_of_words, most = distinct(w.hashes, doc)
     out[:, 10], out[:, 11] = kinds_of_words / some, most / some
     if len(doc) > 1:
@@ -72,17 +74,22 @@ def statistics(col: pa.Array) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, col in _text.chunks(batch.column(1)):
+        for at, col in _text.chunks(batch.column(2)):
             x = statistics(col)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(col)), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(col)), batch.column(1).slice(at, len(col)), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Trees:
-    """Fit P(quality = 1) on at most ``max_rows`` labelled documents; without any, every document is good."""
+    """Fit P(quality = 1) on at most ``max_rows`` labelled documents; without any, every document is good.
+
+    Labels other than 0 and 1 and null ids are left out; of repeated labels the poorer one counts. Rows are taken in order of doc_id and
+    statistics, so the model doesn't depend on how the tables are stored.
+    """
     prepare(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").mapInArrow(_features, "y int, x binary").toArrow()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(_features, "doc_id bigint, y int, x binary").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(-1, len(STATISTICS))
     return fit(x, rows["y"].to_numpy().astype(np.float64))
 
@@ -97,7 +104,8 @@ def classify(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> Dat
     """(doc_id, quality_score, is_good) of each row of ``docs(doc_id, text)``.
 
     A null or empty text has all statistics 0 and gets the score of that; a null doc_id stays null; repeated rows
-    are each scored, alike. Other columns are ignored.
+    are each scored, alike. A score equal to the threshold is good. Texts of any length are counted whole; an empty table gives an empty
+    result. Other columns are ignored.
     """
     prepare(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(partial(_score, model=model), "doc_id bigint, quality_score double")
@@ -111,6 +119,10 @@ def _filter(batches: Iterator[pa.RecordBatch], model: Trees, threshold: float, t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, all columns as they were; null texts stay, unjudged."""
+    """The rows of ``docs`` whose score reaches ``threshold`` (equal to it is enough), all columns as they were, whatever their names.
+
+    Null texts stay, unjudged; empty ones are judged by statistics that are all 0; rows with a null doc_id are judged like any; repeated
+    rows share a fate; texts of any length are counted whole; an empty table stays empty, and without labels all rows stay.
+    """
     model = train(docs, labels, max_rows)
     return docs.mapInArrow(partial(_filter, model=model, threshold=threshold, text=docs.columns.index("text")), docs.schema)
