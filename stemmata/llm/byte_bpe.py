@@ -10,16 +10,20 @@ vocabulary's pre-token pattern, pre-tokens are encoded, and decoding maps pieces
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
+from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from stemmata.session import prepare
 
@@ -43,9 +47,13 @@ def byte_characters() -> list[str]:
     return [chars[b] for b in range(256)]
 
 
+def parse_ranks(raw: bytes) -> dict[bytes, int]:
+    """The lines of a rank file: a piece in base64 and its rank."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return parse_ranks(Path(path).read_bytes())
 
 
 def _varint(n: int) -> bytes:
@@ -79,8 +87,7 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN):
-        ranks = read_ranks(path)
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.pieces = sorted(ranks, key=ranks.__getitem__)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.any, self.latin = regex.compile(pattern).findall, re.compile(LATIN).findall if pattern == PATTERN else None
@@ -129,16 +136,35 @@ class Codec:
         return b"".join([pieces[i] for i in ids.tolist()])
 
 
-@lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+class Vocabulary(NamedTuple):
+    """A rank file's bytes as the driver read them, sent to each executor once, and their digest."""
+
+    raw: Broadcast
+    digest: str
+
+    @classmethod
+    def of(cls, spark: SparkSession, path: str) -> Vocabulary:
+        raw = Path(path).read_bytes()
+        return cls(spark.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest())
+
+
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def codec(vocabulary: Vocabulary, pattern: str) -> Codec:
+    """The codec of a worker, made once for each vocabulary and pattern."""
+    key = (vocabulary.digest, pattern)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(parse_ranks(vocabulary.raw.value), pattern)
+    return _codecs[key]
 
 
 ENCODED = "doc_id bigint, token_ids array<int>, n_tokens int, n_bytes bigint, round_trip boolean"
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    c = codec(path, pattern)
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, pattern: str) -> Iterator[pa.RecordBatch]:
+    c = codec(vocabulary, pattern)
     for batch in batches:
         # some hundred texts at a time: their ids take several times the texts' room
         for at in range(0, batch.num_rows, 256):
@@ -162,23 +188,26 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> D
     """(doc_id, token_ids, n_tokens, n_bytes, round_trip) of each row of ``docs(doc_id, text)``.
 
     ``round_trip`` says that decoding gives the text's bytes back. A null text has null in every column but doc_id;
-    an empty one has no tokens. Rows repeat as they come; null ids stay null; other columns are ignored. ``path``
-    names a rank file that every executor can read.
+    an empty one has no tokens. Rows repeat as they come; null ids stay null; texts of any length are encoded whole; an empty table
+    gives an empty result; other columns are ignored. ``path`` names a rank file that the driver reads.
     """
     from pyspark.sql import functions as F
 
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(partial(_encode, path=path, pattern=pattern), ENCODED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(partial(_encode, vocabulary=Vocabulary.of(docs.sparkSession, path), pattern=pattern), ENCODED)
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    c = codec(path, pattern)
+def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, pattern: str) -> Iterator[pa.RecordBatch]:
+    c = codec(vocabulary, pattern)
     for batch in batches:
         texts = [None if ids is None else c.decode(np.asarray(ids, np.int32)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(doc_id, text) from (doc_id, token_ids); null ids give a null text, bytes that aren't UTF-8 U+FFFD."""
+    """(doc_id, text) from (doc_id, token_ids); null ids give a null text, no ids an empty one, bytes that aren't UTF-8 U+FFFD.
+
+    Rows repeat as they come; an empty table gives an empty result; other columns are ignored.
+    """
     prepare(encoded.sparkSession)
-    return encoded.select("doc_id", "token_ids").mapInArrow(partial(_decode, path=path, pattern=pattern), "doc_id bigint, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(partial(_decode, vocabulary=Vocabulary.of(encoded.sparkSession, path), pattern=pattern), "doc_id bigint, text string")
