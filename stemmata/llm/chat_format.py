@@ -24,7 +24,8 @@ def expand(conversations: DataFrame) -> DataFrame:
     is ``unknown``. Turns are ordered by number, equal numbers by role and text; rows that repeat a whole turn count once.
     Rows with a null conv_id or turn have no place and are left out. A null text is an empty turn; an
     assistant turn without text stays as context but gives no example. ``<|`` in texts and roles is written ``< |``.
-    Other columns are ignored.
+    An example holds all turns before it, whole, so the longest conversation is what one row must hold, and its examples together grow
+    with its square. An empty table gives an empty result; other columns are ignored.
     """
     role = F.coalesce(F.lower(F.trim("role")), F.lit("unknown"))
     turns = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from stemmata.session import small
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 
 
 def host(url: Column) -> Column:
-    """The lower-case host, without a final dot; null where there is none."""
+    """The lower-case host, without a final dot, an IPv6 address in its brackets; null where there is none."""
     h = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", "")
     return F.when(h != "", h)
 
@@ -46,7 +46,8 @@ def as_of(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     The longest pattern that was active at the fetch time decides, of equals the list that sorts first (``allow``
     before ``block``): ``decision`` is its list, or ``none``. A capture without a host or a time matches nothing. A
-    moment belongs to the interval that begins then. Repeated rows are one capture each; other columns are ignored.
+    moment belongs to the interval that begins then. Repeated rows are one capture each; a null page_id stays null; urls of any length are
+    taken whole; without captures there are no rows, without entries all decisions are ``none``; other columns are ignored.
     """
     spans = intervals(entries).withColumnRenamed("pattern", "key")
     path = F.regexp_replace(F.lower(F.regexp_extract("url", _PATH, 1)), "/+$", "")
@@ -73,14 +74,14 @@ _DAY0 = "2023-01-01 00:00:00"
 
 
 def dated_captures(pages: DataFrame) -> DataFrame:
-    """(page_id, url, fetched_at): a fetch time for each page, by the digest of its url and page_id."""
+    """(page_id, url, fetched_at): a fetch time for each page, by the digest of its url and page_id; none where either is null. Equal rows get equal times."""
     digest = F.md5(F.concat(F.col("page_id").cast("string"), F.lit(" "), F.col("url")))
     minutes = F.conv(F.substring(digest, 1, 5), 16, 10).cast("int")
     return pages.select("page_id", "url", (F.lit(_DAY0).cast("timestamp") + F.make_interval(mins=minutes)).alias("fetched_at"))
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
-    """(list, pattern, action, at) for the hosts of ``pages``, their parent domains and the first parts of their paths."""
+    """(list, pattern, action, at) for the hosts of ``pages``, their parent domains and the first parts of their paths, each pattern once; urls that are null or have no host give none."""
     h = host(F.col("url"))
     path = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^/?#]+)", 1)
     hosts = pages.select(h.alias("host"), path.alias("path")).where("host IS NOT NULL")
@@ -96,7 +97,7 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 SQL = r"""
 WITH p AS (
   SELECT page_id, url, row_number() OVER () AS row_id,
-    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+    nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)', 1)), '\.+$', ''), '') AS host,
     regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://[^/?#]*(/[^/?#]+)', 1) AS first_part,
     regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1)), '/+$', '') AS path,
     TIMESTAMP '2023-01-01 00:00:00' + to_minutes(CAST('0x' || substr(md5(page_id || ' ' || url), 1, 5) AS BIGINT)) AS fetched_at
