@@ -4,8 +4,10 @@ import base64
 import gzip
 import hashlib
 import io
+import os
 import re
 import tarfile
+import textwrap
 import zlib
 from itertools import combinations
 
@@ -281,7 +283,7 @@ def test_byte_bpe(spark, sf, documents):
     own = tiktoken.Encoding("own", pat_str=byte_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: r.token_ids for r in registry.QUERIES["op3_byte_bpe"](spark, sf).collect()}
     assert got == {d["doc_id"]: own.encode_ordinary(d["text"]) for d in documents}
-    c, rng = byte_bpe.codec(byte_bpe.VOCABULARY, byte_bpe.PATTERN), np.random.default_rng(1)
+    c, rng = byte_bpe.Codec(ranks), np.random.default_rng(1)
     texts = ["".join(chr(x) for x in rng.choice([*range(1, 600), 0x2028, 0x3042, 0x1F600, 0xE000], 80)) for _ in range(50)] + ["a" * 5000, " \n \t ", "▁_ don't  x"]
     for t, raw in zip(texts, c.encode(texts)):
         ids = np.frombuffer(raw, np.int32)
@@ -295,29 +297,85 @@ def test_trees():
     m = gbt.fit(x[:1000], y[:1000])
     assert ((m.probability(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95
 
-    def walk(row):
-        total = m.base
-        for node in m.roots:
-            while m.left[node] != node:
-                node = m.left[node] if row[m.feature[node]] <= m.threshold[node] else m.right[node]
-            total += m.value[node]
-        return total
+    assert np.allclose(m.raw(x[:50]), [walk(m, r) for r in x[:50]])
 
-    assert np.allclose(m.raw(x[:50]), [walk(r) for r in x[:50]])
+
+def walk(m, row):
+    total = m.base
+    for node in m.roots:
+        while m.left[node] != node:
+            node = m.left[node] if row[m.feature[node]] <= m.threshold[node] else m.right[node]
+        total += m.value[node]
+    return total
 
 
 @pytest.fixture(scope="module")
 def labelled():
-    d = {r["doc_id"]: r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()}
-    return [(d[r["doc_id"]], r["quality"], r["toxic"]) for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist() if r["doc_id"] in d]
+    """Held-out accuracy needs more labels than the smallest tables have."""
+    sf = os.environ.get("TEST_LABELLED_DIR", "/root/testdata/sf0.01")
+    d = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+    return [(d[r["doc_id"]], r["quality"], r["toxic"]) for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r["doc_id"] in d]
 
 
 def test_quality_held_out(labelled):
     x = quality.statistics(pa.array([t for t, _, _ in labelled]))
     y = np.array([q for _, q, _ in labelled], float)
     held = np.arange(len(y)) % 4 == 0
-    p = gbt.fit(x[~held], y[~held]).probability(x[held])
-    assert ((p >= quality.THRESHOLD) == y[held]).mean() > 0.95
+    good = gbt.fit(x[~held], y[~held]).probability(x[held]) >= quality.THRESHOLD
+    assert (good == y[held]).mean() > 0.95 and good[y[held] == 1].mean() > 0.97 and (~good)[y[held] == 0].mean() > 0.6
+
+
+def plain_statistics(text):
+    w = WORD.findall(text)
+    pairs, raw = list(zip(w, w[1:])), text.encode()
+    n, size = max(1, len(w)), max(1, len(raw))
+    share = lambda chars: sum(b in chars for b in raw) / size
+    return [
+        np.log1p(len(w)), sum(len(x.encode()) for x in w) / n, sum(len(x.encode()) > 12 for x in w) / n, share(range(65, 91)), share(range(48, 58)), share(b"\t\x0b\x0c\r "), share(b"\n"), share(b".,;:'\"()?-"),
+        share(b"!#$%&*+/<=>@[\\]^_`{|}~"), share(range(128, 256)), len(set(w)) / n, max((w.count(x) for x in set(w)), default=0) / n, sum(a == b for a, b in pairs) / max(1, len(pairs)), len(set(pairs)) / max(1, len(pairs)),
+    ]
+
+
+def test_quality_of_a_table(spark, sf, documents):
+    """Statistics by counting one text at a time, and the query's scores by walking the trees of the same labels."""
+    some = [d for d in documents if len(d["text"]) < 6000]
+    x = quality.statistics(pa.array([d["text"] for d in some]))
+    want = np.array([plain_statistics(d["text"]) for d in some])
+    assert np.allclose(x, want)
+    rows = {d["doc_id"]: d["text"] for d in documents}
+    labels = sorted((r["doc_id"], r["quality"]) for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r["doc_id"] in rows)
+    model = gbt.fit(quality.statistics(pa.array([rows[i] for i, _ in labels])), np.array([q for _, q in labels], float))
+    got = {r.doc_id: (r.quality_score, r.is_good) for r in registry.QUERIES["op4_quality_classifier"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for d, v in zip(some, want):
+        score = 1 / (1 + np.exp(-walk(model, v)))
+        assert np.isclose(got[d["doc_id"]][0], score) and got[d["doc_id"]][1] == (score >= quality.THRESHOLD)
+
+
+def test_statistics_of_many_short_texts(spark):
+    d = spark.range(70_000).selectExpr("id AS doc_id", "'a b a c' AS text")
+    x = np.concatenate([quality.statistics(c) for _, c in quality._text.chunks(pa.array(["a b a c"] * 70_000))])
+    assert len(x) == 70_000 and (x == x[0]).all() and x[0][10] == 0.75 and x[0][11] == 0.5
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        got = quality.classify(d, gbt.fit(np.zeros((0, 14)), np.zeros(0))).agg({"quality_score": "min", "*": "count"}).first()
+        assert got[1] == 70_000 or got[0] == 70_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def misspelt(word, rng):
+    at = int(rng.integers(1, len(word) - 1))
+    return [word[:at] + word[at] + word[at:], word[:at] + word[at + 1 :], word[:at] + "aeioust"[int(rng.integers(7))] + word[at + 1 :]][int(rng.integers(3))]
+
+
+def plain_toxicity(text, shares, bias):
+    """Mean over words of the mean of their subwords' shares; a word's subwords are itself and the 3- to 5-grams of its bytes between two blanks."""
+    w = [x.encode() for x in tokens(text)]
+    if not w:
+        return -np.inf
+    per = lambda x: [shares(x, 0), *(shares(x, n, i) for n in (3, 4, 5) for i in range(len(x) + 2 - n + 1))]
+    return np.mean([np.mean(per(x)) for x in w]) + bias
 
 
 def test_toxicity_held_out(labelled):
@@ -325,54 +383,179 @@ def test_toxicity_held_out(labelled):
     held = np.arange(len(y)) % 4 == 0
     m = toxicity.fit([t for t, h in zip(texts, held) if not h], y[~held])
     z = toxicity.log_odds(pa.array([t for t, h in zip(texts, held) if h]), m)
-    assert ((z >= 0) == y[held]).mean() > 0.9 and y[held].sum() > 5
+    assert y[held].sum() > 5 and (z >= 0)[y[held] == 1].mean() >= 0.5 and (z < 0)[y[held] == 0].mean() > 0.95
+    m = toxicity.fit(texts, y)
+    z = toxicity.log_odds(pa.array(texts), m)
+    assert (z >= 0)[y == 1].mean() > 0.95 and (z < 0)[y == 0].mean() > 0.99
     # a misspelling that was never seen shares n-grams with its word; an ordinary word doesn't
     base = "the erthand of ention they werand "
-    m = toxicity.fit(texts, y)
     a, b, c = toxicity.log_odds(pa.array([base + "idiot", base + "idiott", base + "olive"]), m)
     assert a > c and b > c
-    # the flat sums are the mean over words of the mean over subwords
-    slots, begin, hashes = toxicity.subwords(pa.array([base]))
-    per = {h: m.share[slots[i:j]].mean() for h, i, j in zip(hashes.tolist(), begin[:-1], begin[1:])}
-    from stemmata.llm import _text
 
-    words = _text.words(pa.array([base])).hashes.tolist()
-    assert np.isclose(toxicity.log_odds(pa.array([base]), m)[0], np.mean([per[h] for h in words]) + m.bias, atol=1e-5)
+
+def test_toxicity_of_misspellings():
+    """Texts of invented words, half with an insult; held-out texts hold misspellings that no training text has."""
+    rng = np.random.default_rng(5)
+    insults = ["idiot", "moron", "scumbag", "pathetic", "worthless", "disgusting"]
+    syllables = ["ta", "ren", "ol", "mi", "shu", "per", "gan", "lo", "vi", "ster"]
+    word = lambda: "".join(rng.choice(syllables, int(rng.integers(1, 4))))
+
+    def text(insult):
+        w = [word() for _ in range(int(rng.integers(15, 60)))]
+        if insult:
+            w[int(rng.integers(len(w)))] = insult
+        return " ".join(w)
+
+    train = [text(str(rng.choice(insults)) if k % 2 else None) for k in range(1200)]
+    m = toxicity.fit(train, np.arange(1200) % 2)
+    held = [text(misspelt(str(rng.choice(insults)), rng) if k % 2 else None) for k in range(400)]
+    z = toxicity.log_odds(pa.array(held), m)
+    assert (z >= 0)[1::2].mean() > 0.75 and (z < 0)[::2].mean() > 0.95
+
+
+def test_toxicity_of_few_labels(spark):
+    """No screen empties the vocabulary: with the smallest tables' labels the toxic texts are found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.classify(docs, toxicity.train(docs, labels)).join(labels, "doc_id").groupBy("toxic").agg({"is_toxic": "count_if"}).collect()
+    n = {r.toxic: r.n for r in labels.join(docs, "doc_id").groupBy("toxic").agg({"*": "count"}).toDF("toxic", "n").collect()}
+    got = {r[0]: r[1] for r in got}
+    assert got[1] > 0.9 * n[1] and got[0] < 0.05 * n[0]
+
+
+def test_toxicity_of_a_table(spark, sf, documents):
+    """The query's scores by going through every word's subwords one at a time."""
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.train(d, labels)
+    base = 0x9E3779B97F4A7C15
+    value = {}
+
+    def raw_hash(b):  # the polynomial of the byte values, by its definition
+        return sum(int(toxicity._text._BYTE[x]) * pow(base, i, 1 << 64) for i, x in enumerate(b)) % (1 << 64)
+
+    def shares(w, n, i=0):
+        key = (w, n, i)
+        if key not in value:
+            h = int(toxicity._text.mix(np.array([raw_hash(w)], np.uint64))[0]) if n == 0 else raw_hash((b" " + w + b" ")[i : i + n])
+            value[key] = m.share[(h * (base + 2 * n) % (1 << 64)) >> (64 - toxicity.BITS)]
+        return value[key]
+
+    got = {r.doc_id: r for r in registry.QUERIES["op6_toxicity"](spark, sf).collect()}
+    assert len(got) == len(documents)
+    for x in [x for x in documents if len(x["text"]) < 2500]:
+        z = plain_toxicity(x["text"], shares, m.bias)
+        assert np.isclose(got[x["doc_id"]].toxicity, 1 / (1 + np.exp(-np.clip(z, -50, 50))), atol=1e-4) and got[x["doc_id"]].is_toxic == (got[x["doc_id"]].toxicity >= 0.5)
+
+
+def plain_paragraphs(text):
+    """(start, end): a line of 40 to 120 bytes and five blanks that ends in no mark goes on in the next one with a word."""
+    lines, out, at, start = text.split("\n"), [], 0, 0
+    for k, line in enumerate(lines):
+        end = at + len(line)
+        bare = line[:-1] if line.endswith("\r") else line
+        on = k + 1 < len(lines) and 40 <= len(bare.encode()) <= 120 and bare[-1] not in ".!?:;" and bare.count(" ") >= 5 and WORD.search(line) and WORD.search(lines[k + 1])
+        if not on:
+            out.append((start, end))
+            start = end + 1
+        at = end + 1
+    return out
 
 
 def test_licenses(spark, sf, documents):
+    """The table against a plain reading of the same model: n-grams of words looked up one by one."""
     model = licenses.train()
     texts, y = licenses.examples(99, 1500)
     p = model.probabilities(licenses._rows(licenses._features(texts), model.terms) @ model.weights + model.bias)
     best = np.where(p[:, :-1].max(axis=1) >= licenses.THRESHOLD, p[:, :-1].argmax(axis=1), len(model.families))
     assert (best == y).mean() > 0.9
-    # calibrated: those said to be right with about q are right about q of the time
-    top = p.max(axis=1)
-    assert abs(top.mean() - (p.argmax(axis=1) == y).mean()) < 0.05
+    place = {}
+    for t in {t for ts in licenses.TEMPLATES.values() for t in ts}:
+        w = tokens(t)
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1):
+                h = licenses._grams(licenses._text.words(pa.array([" ".join(w[k : k + n])])).hashes, n)[0]
+                place[tuple(w[k : k + n])] = int(np.searchsorted(model.terms, h))
+    folded = "\n".join(["x", *textwrap.wrap(licenses.TEMPLATES["mit"][8], 70), "", *("# " + x for x in textwrap.wrap(licenses.TEMPLATES["bsd"][-1], 60)), "Licensed under CC BY 4.0.", "so it goes"])
+    more = [{"doc_id": -1, "text": folded}, {"doc_id": -2, "text": folded.replace("\n", "\r\n")}]
     want = []
-    for d in documents:
-        at = 0
-        for n, line in enumerate(d["text"].split("\n")):
-            q = model.probabilities(licenses._rows(licenses._features([line]), model.terms) @ model.weights + model.bias)[0]
-            if q[:-1].max() >= licenses.THRESHOLD:
-                want.append((d["doc_id"], n, at, at + len(line), model.families[int(q[:-1].argmax())]))
-            at += len(line) + 1
-    got = [(r.doc_id, r.paragraph, r.start, r.end, r.family) for r in registry.QUERIES["op10_license_scan"](spark, sf).collect()]
-    assert sorted(got) == sorted(want) and got
-
-
-def test_nearest_neighbours(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 20)).astype(np.float32)
-    d = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>")
+    for d in documents + more:
+        for n, (a, b) in enumerate(plain_paragraphs(d["text"])):
+            w = tokens(d["text"][a:b])
+            found = {place[g] for k in (1, 2, 3) for i in range(len(w) - k + 1) if (g := tuple(w[i : i + k])) in place}
+            q = model.probabilities((model.weights[sorted(found)].sum(axis=0) + model.bias)[None])[0]
+            if found and q[:-1].max() >= licenses.THRESHOLD:
+                want.append((d["doc_id"], n, a, b, model.families[int(q[:-1].argmax())]))
+    docs = spark.createDataFrame(documents + more, "doc_id bigint, text string")
+    got = [(r.doc_id, r.paragraph, r.start, r.end, r.family) for r in licenses.scan(docs).collect()]
+    assert sorted(got) == sorted(want)
+    assert {(i, f) for i, *_, f in got if i < 0} == {(i, f) for i in (-1, -2) for f in ("mit", "bsd", "cc-by")}
+    assert sorted(g for g in got if g[0] >= 0) == sorted((r.doc_id, r.paragraph, r.start, r.end, r.family) for r in registry.QUERIES["op10_license_scan"](spark, sf).collect())
+
+
+def test_licenses_in_other_words():
+    """Notices that neither training nor calibration saw: named right or unknown, and the model is about as sure as it is right."""
+    notices = {
+        "mit": ["We publish our code under the MIT license so anyone may use it.", "to use, copy, modify, merge, publish, distribute, sublicense copies of the Software without restriction", "The above permission notice must be included in all substantial portions of the Software."],
+        "apache": ["Our connector is open source under the Apache License 2.0.", "Unless required by law or agreed to in writing, software distributed under this License is on an as is basis."],
+        "gpl": ["The driver is released under version 2 of the GNU General Public License.", "This tool is distributed in the hope that it will be useful, but without any warranty.", "It can be redistributed and modified under the terms of the GNU General Public License."],
+        "lgpl": ["The client library is released under the GNU Lesser General Public License."],
+        "agpl": ["Our hosted application is under the GNU Affero General Public License."],
+        "bsd": ["Redistributions of the binary must reproduce the above copyright notice and this list of conditions.", "The port is under a BSD-style license."],
+        "mpl": ["Files in this folder are subject to the Mozilla Public License 2.0."],
+        "epl": ["The editor is made available under the terms of the Eclipse Public License."],
+        "boost": ["The header is distributed under the Boost Software License."],
+        "zlib": ["Altered source versions of this codec must be plainly marked and must not be misrepresented as being the original."],
+        "cc-by": ["All figures are under a Creative Commons Attribution 4.0 International License."],
+        "cc-by-sa": ["Our wiki is under the Creative Commons Attribution-ShareAlike 4.0 license."],
+        "cc-by-nc": ["The recordings are under a Creative Commons Attribution-NonCommercial 4.0 license."],
+        "public-domain": ["I dedicate this software to the public domain, for any purpose, commercial or non-commercial."],
+        "isc": ["Permission to use, copy, modify and distribute this program with or without fee is granted, provided that the above copyright notice appears in all copies."],
+        "proprietary": ["This manual is proprietary and confidential; no part of it may be reproduced without written permission."],
+        "unknown": ["The dog was licensed by the town and released from the pound.", "Version 2 of the film was shown in public.", "The general gave permission to copy the map.", "Notice: the above rooms are reserved.", "A mozilla of smoke rose over Apache land.", "Warranty work without fee is granted for two years."],
+    }
+    model = licenses.train()
+    pairs = [(f, t) for f, ts in notices.items() for t in ts]
+    p = model.probabilities(licenses._rows(licenses._features([t for _, t in pairs]), model.terms) @ model.weights + model.bias)
+    named = [([*model.families, "unknown"][int(x.argmax())] if x[:-1].max() >= licenses.THRESHOLD else "unknown") for x in p]
+    assert all(n in (f, "unknown") for n, (f, _) in zip(named, pairs))
+    right = np.array([n == f for n, (f, _) in zip(named, pairs)])
+    assert right.mean() >= 0.8 and abs(p.max(axis=1).mean() - right.mean()) < 0.15
+    # every template paragraph by itself is named right and confirmed
+    for family, ts in licenses.TEMPLATES.items():
+        q = model.probabilities(licenses._rows(licenses._features(ts), model.terms) @ model.weights + model.bias)
+        assert (q[:, model.families.index(family)] >= licenses.THRESHOLD).all() and all(licenses.confirm(t, family)[1] >= licenses.CONFIRM for t in ts)
+
+
+def recall(rows, x, k=10):
     got = {}
-    for r in ann.neighbours(d, k=10, bucket=100).collect():
+    for r in rows:
         got.setdefault(r.vec_id, set()).add(r.neighbour_id)
-    u = ann.unit(x)
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
-    true = np.argsort(-s, axis=1)[:, :10]
-    assert np.mean([len(got[k] & set(true[k].tolist())) / 10 for k in range(len(x))]) >= 0.9
+    u, out = ann.unit(x), []
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -2
+        out.append(len(found & set(np.argsort(-s, kind="stable")[:k].tolist())) / k)
+    return np.mean(out), set(got)
+
+
+def test_nearest_neighbours(spark, monkeypatch):
+    """Recall against brute force: without structure, and with half of all rows in one tight group, whose buckets are cut into blocks."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "BLOCK_ASKS", 10)
+    rng = np.random.default_rng(2)
+    plain = rng.normal(size=(3000, 20)).astype(np.float32)
+    grouped = plain.copy()
+    grouped[:1500] = grouped[0] + 0.2 * grouped[:1500]
+    for x in (plain, grouped):
+        d = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id bigint, embedding array<float>")
+        found, asked = recall(ann.neighbours(d, k=10, bucket=100).collect(), x)
+        assert found >= 0.9 and asked == set(range(0, 3000, 100))
+
+
+def test_nearest_neighbours_of_the_table(spark, sf):
+    rows = pq.read_table(f"{sf}/embeddings.parquet").to_pylist()
+    assert [r["vec_id"] for r in rows] == list(range(len(rows)))
+    found, asked = recall(registry.QUERIES["op8_nearest_neighbours"](spark, sf).collect(), np.array([r["embedding"] for r in rows]))
+    assert found >= 0.9 and asked == set(range(0, len(rows), 100))
 
 
 def test_hadamard():
@@ -389,7 +572,7 @@ def test_pipeline(spark, sf, documents, items):
     rows = [d for d, x in zip(documents, p) if x >= quality.THRESHOLD]
     _, root = groups(rows)
     rows = [d for d in rows if root[d["doc_id"]] == d["doc_id"]]
-    hit = {d for (i, d), _ in leaks(rows, items).items() if len(tokens(next(x["text"] for x in items if x["item_id"] == i))) >= 8}
+    hit = {d for _, d in leaks(rows, items)}
     rows = [d for d in rows if d["doc_id"] not in hit]
     own = tiktoken.Encoding("own", pat_str=byte_bpe.PATTERN, mergeable_ranks=byte_bpe.read_ranks(byte_bpe.VOCABULARY), special_tokens={})
     want = {d["doc_id"]: own.encode_ordinary(secrets.redact(d["text"], secrets.scan_text(d["text"]))) for d in rows}

@@ -81,7 +81,7 @@ def test_decontam(odd, none, items):
     got = sorted((r.item_id, r.doc_id, r.kind) for r in decontam.find_leaks(odd, items).collect())
     assert got == [(1, 1, "phrase"), (1, 2, "phrase"), (5, 9, "phrase")]
     kept = decontam.drop_leaks(odd, items)
-    assert kept.columns == odd.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 3, 4, 5, 6, 6, 7, 8, 9, 10]
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 3, 4, 5, 6, 6, 7, 8, 10]
     assert decontam.find_leaks(none, items).count() == 0 and decontam.find_leaks(odd, items.limit(0)).count() == 0
     assert decontam.drop_leaks(odd, items.limit(0)).count() == odd.count()
 
@@ -131,17 +131,20 @@ def test_chat(spark):
     whole = got[0].prompt + got[0].completion
     assert whole[got[0].train_start : got[0].train_end] == got[0].completion
     assert chat_format.expand(spark.createDataFrame([], schema)).count() == 0
+    many = spark.createDataFrame([(7, k, "assistant" if k % 2 else "user", f"turn {k} " * 500, "p", 1) for k in range(200)], schema)
+    last = {r.turn: r for r in chat_format.expand(many).collect()}
+    assert sorted(last) == list(range(1, 200, 2)) and last[199].n_context == 199 and all(f"turn {k} " in last[199].prompt for k in range(199))
 
 
 def test_url_lists(spark):
     from datetime import datetime as D
 
-    e = [("block", "Bad.example/", "add", D(2024, 1, 1)), ("block", "bad.example", "remove", D(2024, 2, 1)), ("allow", "bad.example/ok", "add", D(2024, 1, 10)), ("block", "x.example", "add", D(2024, 1, 1)), ("block", "x.example", "remove", D(2024, 1, 1)), (None, "y", "add", D(2024, 1, 1)), ("block", None, "add", None), ("block", "z.example", "other", D(2024, 1, 1)), ("block", "t.example", "add", D(2024, 1, 1)), ("allow", "t.example", "add", D(2024, 1, 1))]
+    e = [("block", "Bad.example/", "add", D(2024, 1, 1)), ("block", "bad.example", "remove", D(2024, 2, 1)), ("allow", "bad.example/ok", "add", D(2024, 1, 10)), ("block", "x.example", "add", D(2024, 1, 1)), ("block", "x.example", "remove", D(2024, 1, 1)), (None, "y", "add", D(2024, 1, 1)), ("block", None, "add", None), ("block", "z.example", "other", D(2024, 1, 1)), ("block", "t.example", "add", D(2024, 1, 1)), ("allow", "t.example", "add", D(2024, 1, 1)), ("block", "[2001:db8::1]/x", "add", D(2024, 1, 1))]
     entries = spark.createDataFrame(e, "list string, pattern string, action string, at timestamp").withColumn("host", F.lit(1))
-    c = [(1, "http://a.bad.example/q", D(2024, 1, 1)), (2, "http://bad.example./ok/deep?x=1", D(2024, 1, 15)), (3, "https://u:p@BAD.example:80/okay", D(2024, 1, 31, 23)), (4, "http://bad.example", D(2024, 2, 1)), (5, "http://x.example", D(2024, 3, 1)), (6, None, D(2024, 1, 1)), (7, "http://bad.example", None), (8, "not a url", D(2024, 1, 1)), (9, "http://t.example", D(2024, 1, 2)), (1, "http://a.bad.example/q", D(2024, 1, 1)), (None, "http://notbad.example", D(2024, 1, 5))]
+    c = [(1, "http://a.bad.example/q", D(2024, 1, 1)), (2, "http://bad.example./ok/deep?x=1", D(2024, 1, 15)), (3, "https://u:p@BAD.example:80/okay", D(2024, 1, 31, 23)), (4, "http://bad.example", D(2024, 2, 1)), (5, "http://x.example", D(2024, 3, 1)), (6, None, D(2024, 1, 1)), (7, "http://bad.example", None), (8, "not a url", D(2024, 1, 1)), (9, "http://t.example", D(2024, 1, 2)), (1, "http://a.bad.example/q", D(2024, 1, 1)), (None, "http://notbad.example", D(2024, 1, 5)), (10, "http://u@[2001:DB8::1]:8080/x", D(2024, 1, 2)), (11, "http://" + "a." * 300 + "bad.example/" + "p/" * 300, D(2024, 1, 2))]
     captures = spark.createDataFrame(c, "page_id bigint, url string, fetched_at timestamp").withColumn("key", F.lit("k")).withColumn("list", F.lit("l"))
     got = sorted(((r.page_id or 0), r.decision, r.pattern) for r in url_lists.as_of(captures, entries).collect())
-    want = [(0, "none", None), (1, "block", "bad.example"), (1, "block", "bad.example"), (2, "allow", "bad.example/ok"), (3, "block", "bad.example"), (4, "none", None), (5, "none", None), (6, "none", None), (7, "none", None), (8, "none", None), (9, "allow", "t.example")]
+    want = [(0, "none", None), (1, "block", "bad.example"), (1, "block", "bad.example"), (2, "allow", "bad.example/ok"), (3, "block", "bad.example"), (4, "none", None), (5, "none", None), (6, "none", None), (7, "none", None), (8, "none", None), (9, "allow", "t.example"), (10, "block", "[2001:db8::1]/x"), (11, "block", "bad.example")]
     assert got == want
     assert url_lists.as_of(captures.limit(0), entries).count() == 0
     assert {r.decision for r in url_lists.as_of(captures, entries.limit(0)).collect()} == {"none"}
