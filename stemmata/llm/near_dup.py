@@ -311,11 +311,12 @@ def _groups(docs: DataFrame, scratch: Scratch, threshold: float, bands: int, row
     part, other = F.pmod(F.xxhash64("d", "m"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     blocks = members.join(small(chosen, n_full, 24), "band").select("band", "k", part.alias("part"), "d", "m", F.explode(other).alias("o"))
     blocks = blocks.select("band", "k", F.least("part", "o").alias("bi"), F.greatest("part", "o").alias("bj"), "part", "d", "m")
-    wanted = members.select(F.col("d").alias("doc_id"), "m").distinct()
-    own = _marked(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), (repeated, n_repeated)).select(F.col("doc_id").alias("d"), "m", "text")
+    wanted = scratch.keep(members.select(F.col("d").alias("doc_id"), "m").distinct(), "wanted")
+    n_wanted = wanted.count()
+    own = _marked(texts.join(small(wanted.select("doc_id"), n_wanted, 40), "doc_id", "left_semi"), (repeated, n_repeated)).select(F.col("doc_id").alias("d"), "m", "text")
     if n_repeated:  # equal rows are one
         own = own.groupBy("d", "m").agg(F.min("text").alias("text"))
-    carried = reps.join(wanted, ["doc_id", "m"], "left_semi").select(F.col("doc_id").alias("d"), "m", "bands")
+    carried = reps.join(small(wanted, n_wanted, 48), ["doc_id", "m"], "left_semi").select(F.col("doc_id").alias("d"), "m", "bands")
     rows_ = blocks.join(own.join(carried, ["d", "m"]), ["d", "m"]).select("band", "k", "bi", "bj", "part", "d", "m", "bands", "text")
     block = ["band", "k", "bi", "bj"]
     ordered = rows_.repartition(*block).sortWithinPartitions(*block, "d", "m")
@@ -328,7 +329,7 @@ def _groups(docs: DataFrame, scratch: Scratch, threshold: float, bands: int, row
         "doc_id", "m", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "copies", F.when(F.col("copies") > 0, 1.0).otherwise(F.col("jaccard")).alias("jaccard")
     )
     out = scratch.keep(rows_, "groups")
-    for name in ("same", "full", "members", "linked"):
+    for name in ("same", "full", "members", "wanted", "linked"):
         scratch.drop(name)
     return _Found(out, signed, repeated, n_repeated)
 
