@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 BLANK = r"[ \t\n\f\r]"
 _P = r"""'"(){}\[\]*@:;!?,`"""
@@ -11,6 +12,7 @@ _P = r"""'"(){}\[\]*@:;!?,`"""
 TOKEN = rf"-{{2,}}|\.{{2,}}|'?(?:[^ \t\n\f\r{_P}\-.]|-[^ \t\n\f\r{_P}\-]|\.[^ \t\n\f\r{_P}.\-])+\.?|[^ \t\n\f\r]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WORD = re.compile(TOKEN.replace(r")+\.?|", r")+(?:\.(?!\.))?|"))
+_TILE = re.compile(rf"{BLANK}*(?:{_WORD.pattern})")
 _STOP = re.compile(rf"[.!?]+[\"')\]]*{BLANK}+")
 _PARAGRAPH = re.compile(rf"{BLANK}*\n\n+{BLANK}*")
 _LINE = re.compile(rf"{BLANK}*\n{BLANK}*")
@@ -25,6 +27,12 @@ def words(text: str, n: int = 0) -> list[Span]:
     return [m.span() for m in _WORD.finditer(text)]
 
 
+def tokens(text: str) -> tuple[list[str], list[int]]:
+    """The tokens of ``words`` with where each ends: each match with the blanks before it tiles the text, so only lengths are added up."""
+    tiles = _TILE.findall(text)
+    return [t.lstrip(_STRIP) for t in tiles], list(accumulate(map(len, tiles)))
+
+
 def sentences(text: str, n: int = 0) -> list[Span]:
     """Runs up to a terminator (with closing quotes) that blanks follow, without blanks around; empty ones are left out."""
     out, at = [], 0

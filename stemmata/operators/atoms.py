@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from math import floor, log2
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +15,7 @@ from stemmata.session import prepare
 
 ROWS = 1 << 16
 ATOM = "doc_id bigint, atom_num int, start int, end int, text string"
-UNIT = "doc_id bigint, atom_num int, via_num int, unit_num int, start int, end int, text string, freq_class int"
+UNIT = "doc_id bigint, atom_num int, via_num int, unit_num int, start int, end int, text string"
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -62,38 +60,28 @@ def _range(starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> tuple[int, i
     return int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
 
 
-def frequency_classes(tokens: list[str]) -> list[int]:
-    """floor(log2(highest / own frequency)) of each token, case and punctuation aside."""
-    keys = [tk.without_punctuation(t.lower()) for t in tokens]
-    count = Counter(keys)
-    most = max(count.values(), default=1)
-    cls = {k: floor(log2(most / c)) for k, c in count.items()}
-    return [cls[k] for k in keys]
-
-
-def _units(batches: Iterator[pa.RecordBatch], kind: str, n: int, via: str | None, unit: str, classes: bool) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], kind: str, n: int, via: str | None, unit: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             spans = tk.tokenize(text, unit, n)
             us, ue = np.array([s for s, _ in spans], np.int64), np.array([e for _, e in spans], np.int64)
             pieces = [text[a:b] for a, b in spans]
-            cls = frequency_classes(pieces) if classes else [None] * len(pieces)
             outer = tk.tokenize(text, via, n) if via else []
             vs, ve = np.array([s for s, _ in outer], np.int64), np.array([e for _, e in outer], np.int64)
             for k, (a, b) in enumerate(tk.tokenize(text, kind, n)):
                 for v, (c, d) in [(v, outer[v]) for v in range(*_range(vs, ve, a, b))] if via else [(0, (a, b))]:
-                    rows += [(doc, k, v, u, *spans[u], pieces[u], cls[u]) for u in range(*_range(us, ue, c, d))]
+                    rows += [(doc, k, v, u, *spans[u], pieces[u]) for u in range(*_range(us, ue, c, d))]
                 if len(rows) > ROWS:
                     yield _emit(rows, UNIT)
                     rows = []
         yield _emit(rows, UNIT)
 
 
-def units(docs: DataFrame, kind: str, unit: str, via: str | None = None, n: int = 5000, classes: bool = False) -> DataFrame:
-    """The ``unit`` spans that each atom of ``kind`` touches: (doc_id, atom_num, via_num, unit_num, start, end, text, freq_class).
+def units(docs: DataFrame, kind: str, unit: str, via: str | None = None, n: int = 5000) -> DataFrame:
+    """The ``unit`` spans that each atom of ``kind`` touches: (doc_id, atom_num, via_num, unit_num, start, end, text).
 
     With ``via`` an atom first grows to all of the ``via`` spans that it touches; ``via_num`` says in which one a unit
-    lies. A unit across a border belongs to both atoms. ``freq_class`` is each word's class in its document, on request.
+    lies. A unit across a border belongs to both atoms.
     """
-    return documents(docs).mapInArrow(partial(_units, kind=kind, n=n, via=via, unit=unit, classes=classes), UNIT)
+    return documents(docs).mapInArrow(partial(_units, kind=kind, n=n, via=via, unit=unit), UNIT)

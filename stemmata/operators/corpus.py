@@ -91,13 +91,9 @@ def training_files(docs: DataFrame, spans: DataFrame, n: int, offset: int = 0, l
 
 def tag_trigram_documents(docs: DataFrame) -> DataFrame:
     """(trigram, doc_id, n): each tag triple with each document that holds it, and how often."""
-    from stemmata.functions import lexicon as lx
-    from stemmata.operators.atoms import units
+    from stemmata.operators.features import tag_trigram_documents as count
 
-    order = Window.partitionBy("doc_id", "atom_num").orderBy("unit_num")
-    w = units(docs, "sentence", "word").withColumn("tag", lx.tag(F.col("text")))
-    t = w.select("doc_id", F.col("tag"), F.lead("tag", 1).over(order).alias("b"), F.lead("tag", 2).over(order).alias("c")).where("c IS NOT NULL")
-    return t.select("doc_id", F.concat_ws(",", "tag", "b", "c").alias("trigram")).groupBy("trigram", "doc_id").agg(F.count("*").alias("n"))
+    return count(docs)
 
 
 def tag_trigrams(docs: DataFrame, least: int = 1) -> DataFrame:

@@ -1,66 +1,56 @@
-"""Stylometric features of passages: a registry of names, a parser for ``avg(...)`` and ``std(...)``, and their plans.
+"""Stylometric features of passages: a registry of names, a parser for ``avg(...)`` and ``std(...)``, and one plan for all of them.
 
 A passage touches units: words, sentences, paragraphs. A feature is defined over one level of units; the passage
-first grows to all units of that level that it touches. All words of a passage reach one hash aggregate, partial in the
-task that cut the text, so a passage costs one shuffled row however long it is.
+first grows to all units of that level that it touches. A text is cut once, in the task that reads it, whatever is asked
+of it, and gives one row a passage (``functions.style``); nothing is shuffled but the external word frequencies where
+their table is too large to be sent to every worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stemmata.functions import lexicon as lx
-from stemmata.operators.atoms import atoms, units
+from stemmata.functions import style
+from stemmata.functions import tokenize as tk
+from stemmata.operators.atoms import documents
+from stemmata.session import BROADCAST_BYTES, Scratch, small
 
 KEY = ["doc_id", "atom_num"]
 HUGE = 1e255
+CHUNK = 1 << 20
 LEVELS = ["char", "word", "sentence", "paragraph"]
-
-
-def _share(condition: Column) -> Column:
-    return F.coalesce(F.avg(condition.cast("double")), F.lit(0.0))
-
-
-def _length() -> Column:
-    return F.col("end") - F.col("start")
-
-
-def _syllables() -> Column:
-    return _length() % 3
-
-
-def _count() -> Column:
-    return F.greatest(F.count("*"), F.lit(1))
-
-
-def _verb() -> Column:
-    return F.col("tag").startswith("VB")
-
-
-def _complexity() -> Column:
-    n = lx.norm(F.col("text"))
-    one = lambda c: F.sum(c.cast("int"))
-    return (2 * one(n.isin(lx.SUBORDINATING)) + 2 * one(F.col("tag").isin(lx.WH)) + one(_verb())).cast("double")
-
-
-WORD: dict[str, Callable[[], Column]] = {
-    "num_chars": lambda: F.sum(_length()).cast("double"),
-    "average_word_length": lambda: F.sum(_length()) / _count(),
-    "average_syllables_per_word": lambda: F.sum(_syllables()) / _count(),
-    "stopword_percentage": lambda: _share(lx.norm(F.col("text")).isin(lx.STOP)),
-    "syntactic_complexity": _complexity,
-    "avg_internal_word_freq_class": lambda: F.coalesce(F.avg("freq_class"), F.lit(0.0)),
-    "avg_external_word_freq_class": lambda: F.coalesce(F.avg("external_class"), F.lit(0.0)),
-    **{f"word_unigram,{w}": (lambda w=w: F.sum((F.lower(F.regexp_replace("text", r"^\.+|\.+$", "")) == w).cast("int")).cast("double")) for w in lx.UNIGRAMS},
-    **{f"pos_trigram,{t}": (lambda t=t: F.sum((F.col("triple") == t).cast("int")).cast("double")) for t in lx.POS_TRIGRAMS},
-}
+WORD = [
+    "num_chars", "average_word_length", "average_syllables_per_word", "stopword_percentage", "syntactic_complexity", "avg_internal_word_freq_class", "avg_external_word_freq_class",
+    *(f"word_unigram,{w}" for w in lx.UNIGRAMS), *(f"pos_trigram,{t}" for t in lx.POS_TRIGRAMS),
+]
 CHAR = ["punctuation_percentage", *(f"vowelness_trigram,{t}" for t in lx.VOWEL_TRIGRAMS)]
 SENTENCE = ["average_sentence_length", "gunning_fog_index", "honore_r_measure", "yule_k_characteristic", "syntactic_complexity_average"]
-PARAGRAPH = ["flesch_reading_ease", "flesch_kincaid_grade", *(f"evolved_feature_{k}" for k in ("two", "three", "four", "five", "six"))]
+EVOLVED = [f"evolved_feature_{k}" for k in ("two", "three", "four", "five", "six")]
+PARAGRAPH = ["flesch_reading_ease", "flesch_kincaid_grade", *EVOLVED]
 NESTABLE = {"word": ["num_chars", "average_syllables_per_word", "stopword_percentage", "syntactic_complexity", "avg_internal_word_freq_class", "avg_external_word_freq_class"], "sentence": ["average_sentence_length", "syntactic_complexity_average"]}
+_TRAINING = [x for x in [*WORD, *CHAR, *SENTENCE, *PARAGRAPH] if not x.startswith(("pos_", "evolved", "average_word")) and x not in ("syntactic_complexity_average", "vowelness_trigram,V,V,C", "vowelness_trigram,V,V,V")]
+#: Named choices of features: those of a published study of style, those computed for training, and those with nested ones for testing.
+SUBSETS: dict[str, list[str]] = {
+    "study": [x for x in [*WORD, *SENTENCE, *PARAGRAPH] if x.startswith(("average_word", "average_syll", "avg_external", "gunning", "honore", "yule", "flesch_kincaid"))],
+    "training": _TRAINING,
+    "test": [
+        *_TRAINING,
+        *(f"{a}({b})" for b in NESTABLE["word"] if b != "syntactic_complexity" for a in ("avg", "std") if (a, b) != ("std", "stopword_percentage")),
+        "avg(std(average_syllables_per_word))",
+    ],
+}
 
 
 def catalogue() -> list[str]:
@@ -85,78 +75,186 @@ def level(base: str) -> str:
     raise ValueError(f"no feature {base!r}; one of {', '.join(catalogue())}")
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        count: Counter[str] = Counter()
+        for text in batch.column(0).to_pylist():
+            count.update(tk.tokens(text)[0])
+        total: Counter[str] = Counter()
+        for token, n in count.items():
+            total[lx.Lexicon.norm(token)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+
 def word_frequencies(docs: DataFrame) -> DataFrame:
-    """(word, n): the background table, counted over all documents."""
-    return atoms(docs, "word").select(lx.norm(F.col("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n): the background table, counted over all documents, each batch in the task that reads it."""
+    return documents(docs).select("text").mapInArrow(_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class _Background(NamedTuple):
+    """External classes: ``floor(log2((highest + 1) / (own + 1)))``, of a word's normal form; ``table`` is None where each text brings its own."""
 
+    table: Broadcast | None
+    top: int
 
-def _rows(docs: DataFrame, atom: str, n: int, via: str | None, names: list[str], frequencies: DataFrame | None = None) -> DataFrame:
-    """Words with the columns that the named features read."""
-    has = lambda *xs: any(x.startswith(xs) for x in names)
-    w = units(docs, atom, "word", via, n, classes=has("avg_internal"))
-    if has("pos_trigram", "syntactic", "evolved"):
-        w = w.withColumn("tag", lx.tag(F.col("text")))
-    if has("pos_trigram", "evolved"):
-        order = Window.partitionBy(*KEY, "via_num").orderBy("unit_num")
-        w = w.withColumn("triple", F.concat_ws(",", "tag", F.lead("tag", 1).over(order), F.lead("tag", 2).over(order)))
-    if has("avg_external"):
-        f = word_frequencies(docs) if frequencies is None else frequencies
-        top = f.agg(F.max("n").alias("_top"))
-        w = w.withColumn("_word", lx.norm(F.col("text"))).join(f.select(F.col("word").alias("_word"), F.col("n").alias("_n")), "_word", "left").crossJoin(F.broadcast(top))
-        w = w.withColumn("external_class", F.floor(F.log2((F.col("_top") + 1) / (F.coalesce("_n", F.lit(0)) + 1))))
-    return w
 
+def _with_background(docs: DataFrame, frequencies: DataFrame | None) -> tuple[DataFrame, _Background]:
+    """A small table goes to every worker; else each document gets the classes of its own words by a join on the word."""
+    spark = docs.sparkSession
+    if frequencies is None:
+        frequencies = Scratch(spark, "frequencies").keep(word_frequencies(docs), "table")
+    f = frequencies.select("word", F.col("n").cast("bigint").alias("n")).where("word IS NOT NULL AND n IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+    size = f.agg(F.count("*"), F.max("n")).first()
+    rows, top = size[0], size[1] or 0
+    if rows * 128 <= BROADCAST_BYTES:
+        return docs, _Background(spark.sparkContext.broadcast({r["word"]: r["n"] for r in f.collect()}), top)
+    words = docs.mapInArrow(_vocabulary, "doc_id bigint, word string").distinct()  # rows that repeat a doc_id share one list
+    lists = words.join(small(f, rows, 64), "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "n")).alias("_w"))  # a document's different words
+    return docs.join(lists, "doc_id", "left").select("doc_id", "text", F.col("_w.word").alias("_words"), F.col("_w.n").alias("_n")), _Background(None, top)
 
-def word_features(docs: DataFrame, names: list[str], atom: str = "nchars", n: int = 500, frequencies: DataFrame | None = None) -> DataFrame:
-    """One row for each passage that touches a word, a column for each word-level feature."""
-    return _rows(docs, atom, n, None, names, frequencies).groupBy(*KEY).agg(*(WORD[x]().alias(x) for x in names))
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [sorted({lx.Lexicon.norm(t) for t in set(tk.tokens(text)[0])}) for text in batch.column(1).to_pylist()]
+        ids = np.repeat(np.asarray(batch.column(0), np.int64), [len(x) for x in own])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([w for x in own for w in x], pa.string())], ["doc_id", "word"])
+
+
+def _needed(names: list[str]) -> list[str]:
+    """The columns that the named features are made of: themselves, or an evolved formula's parts."""
+    out = [x for x in names if x not in EVOLVED]
+    if any(x in EVOLVED for x in names):
+        out += [f"sum of {x}" for x in [*_PARTS, "honore_r_measure", "flesch_reading_ease", "flesch_kincaid_grade"]]
+    return out
+
+
+def _values(chunk: style.Chunk, columns: list[str]) -> list[np.ndarray]:
+    where = {x: level(parse(x)[-1]) for x in columns if not x.startswith("sum of ")}
+    has = lambda k: any(w == k and "(" not in x for x, w in where.items())
+    chars, sentences = chunk.char_level() if has("char") else {}, chunk.sentence_level() if has("sentence") else {}
+    paragraphs = chunk.paragraph_level(_PARTS if len(where) < len(columns) else []) if has("paragraph") or len(where) < len(columns) else {}
+    out = []
+    for x in columns:
+        if x.startswith("sum of "):
+            out.append(paragraphs[x[7:]])
+        elif "(" in x:
+            *wrappers, base = parse(x)
+            out.append(chunk.nested(wrappers, base, where[x] == "sentence"))
+        else:
+            out.append({"word": lambda: chunk.own().value(x), "char": lambda: chars[x], "sentence": lambda: sentences[x], "paragraph": lambda: paragraphs[f"first {x}"]}[where[x]]())
+    return out
+
+
+def _features(batches: Iterator[pa.RecordBatch], columns: list[str], kind: str, n: int, lexicon: lx.Lexicon, background: _Background | None) -> Iterator[pa.RecordBatch]:
+    words = style.words_of(lexicon)
+    def emit(ids: list[int], texts: list[str], lists: list) -> pa.RecordBatch:
+        def external(d: int, different: list[str]) -> np.ndarray:
+            own = background.table.value if background.table is not None else dict(zip(lists[0][d] or [], lists[1][d] or []))  # type: ignore[union-attr]
+            return np.floor(np.log2((background.top + 1) / (np.array([own.get(w, 0) for w in different], np.float64) + 1))).astype(np.int64)  # type: ignore[union-attr]
+
+        chunk = style.Chunk(texts, kind, n, words, external if background is not None else None)
+        values = _values(chunk, columns)
+        some = ~np.all([np.isnan(v) for v in values], axis=0)
+        cols = [pa.array(np.array(ids, np.int64)[chunk.atom_doc][some]), pa.array(chunk.atom_num[some].astype(np.int32))]
+        cols += [pa.array(v[some], pa.float64(), mask=np.isnan(v[some])) for v in values]
+        return pa.RecordBatch.from_arrays(cols, [*KEY, *columns])
+
+    for batch in batches:
+        at, size = 0, 0
+        for k, length in enumerate(pc.utf8_length(batch.column(1)).to_pylist(), 1):
+            size += length
+            if size > CHUNK or k == batch.num_rows:
+                part = batch.slice(at, k - at)
+                yield emit(part.column(0).to_pylist(), part.column(1).to_pylist(), [c.to_pylist() for c in part.columns[2:]])
+                at, size = k, 0
+
+
+def features(docs: DataFrame, names: list[str], atom: str = "nchars", n: int = 500, frequencies: DataFrame | None = None, lexicon: lx.Lexicon | None = None) -> DataFrame:
+    """(doc_id, atom_num, a column for each of ``names``) of each passage of ``docs(doc_id, text)``, from one pass over the texts.
+
+    ``names`` are those of ``catalogue``, plain and nested. ``frequencies(word, n)`` is the background of the external classes, counted over
+    ``docs`` if not given; ``lexicon`` replaces the stand-in resources. A feature is null where the passage touches no unit of its
+    level, and a passage whose features all are is left out. Null ids and texts are left out, an empty text is a passage without words; rows that
+    repeat a doc_id are each cut by themselves and give rows of their own; texts of any length are cut whole; an empty table gives an
+    empty result; other columns are ignored.
+    """
+    if not names:
+        raise ValueError("no names")
+    for name in names:
+        *wrappers, base = parse(name)
+        where = level(base)
+        if wrappers and base not in NESTABLE.get(where, []):
+            raise ValueError(f"{base!r} can't be nested")
+        if wrappers and (LEVELS.index(where) + len(wrappers) >= len(LEVELS) or "std" in wrappers[:-1]):
+            raise ValueError(f"{name!r} goes beyond the paragraph, or takes std of a nested value")
+    tk.tokenize("", atom, n)
+    d, background = documents(docs), None
+    if any("avg_external" in x for x in names):
+        d, background = _with_background(d, frequencies)
+    columns = _needed(names)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("atom_num", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
+    out = d.mapInArrow(partial(_features, columns=columns, kind=atom, n=n, lexicon=lexicon or lx.Lexicon(), background=background), schema)
+    made = {k: F.when(F.col("`sum of num_chars`").isNotNull(), v) for k, v in evolved(lambda x: F.col(f"`sum of {x}`")).items()} if set(names) & set(EVOLVED) else {}
+    return out.select(*KEY, *(made[x].alias(x) if x in made else F.col(f"`{x}`") for x in names))
+
+
+def word_features(docs: DataFrame, names: list[str], atom: str = "nchars", n: int = 500, frequencies: DataFrame | None = None, lexicon: lx.Lexicon | None = None) -> DataFrame:
+    """``features`` of the word level: one row for each passage that touches a word."""
+    for x in names:
+        if level(x) != "word":
+            raise ValueError(f"{x!r} is no word feature")
+    return features(docs, names, atom, n, frequencies, lexicon)
 
 
 def char_features(docs: DataFrame, atom: str = "nchars", n: int = 500) -> DataFrame:
-    """Share of punctuation, and counts of vowel and consonant triples (V is aeiou, C any other ASCII letter)."""
-    t = F.col("text")
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z]", "."), "[aeiou]", "V"), "[a-z]", "C")
-    a = atoms(docs, atom, n).select(*KEY, "text", F.length("text").alias("size"), kinds.alias("kinds"))
-    marks = F.col("size") - F.length(F.translate("text", lx.MARKS, ""))
-    # all triples from each of three offsets cover every place once
-    triples = F.flatten(F.array(*(F.regexp_extract_all(F.substring("kinds", k, 1 << 30), F.lit("(?s).{3}"), F.lit(0)) for k in (1, 2, 3))))
-    a = a.select(*KEY, (marks / F.greatest(F.col("size"), F.lit(1))).alias("punctuation_percentage"), triples.alias("t"))
-    count = lambda x: F.size(F.filter("t", lambda y: y == x.replace(",", ""))).cast("double")
-    return a.select(*KEY, "punctuation_percentage", *(count(x).alias(f"vowelness_trigram,{x}") for x in lx.VOWEL_TRIGRAMS))
-
-
-def _stems(w: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct stems, those seen once, sum of squared frequencies and words of each group."""
-    f = w.groupBy(*key, lx.norm(F.col("text")).alias("stem")).agg(F.count("*").alias("f"))
-    return f.groupBy(*key).agg(F.count("*").alias("stems"), F.sum((F.col("f") == 1).cast("int")).alias("once"), F.sum(F.col("f") * F.col("f")).alias("squares"), F.sum("f").alias("tokens"))
-
-
-def honore(words: Column, stems: Column, once: Column) -> Column:
-    """100 ln(N) / (1 - V1 / V), V one more than the stems; 0 without words."""
-    return F.when(words > 0, 100 * F.log(words.cast("double")) / (1 - once / (stems + 1))).otherwise(0.0)
-
-
-def yule(stems: Column, squares: Column) -> Column:
-    return 10000.0 * (squares - stems) / F.greatest(F.lit(1), stems * stems)
-
-
-def sentence_features(docs: DataFrame, atom: str = "nchars", n: int = 500) -> DataFrame:
-    """Features over whole sentences: length, fog, Honore's R, Yule's K, mean complexity. The texts are cut once."""
-    w = _rows(docs, atom, n, "sentence", ["syntactic_complexity"])
-    f = w.groupBy(*KEY, lx.norm(F.col("text")).alias("stem")).agg(F.count("*").alias("f"), F.sum((_syllables() > 2).cast("int")).alias("complex"), _complexity().alias("complexity"), F.collect_set("via_num").alias("vias"))
-    s = f.groupBy(*KEY).agg(
-        F.count("*").alias("stems"), F.sum((F.col("f") == 1).cast("int")).alias("once"), F.sum(F.col("f") * F.col("f")).alias("squares"), F.sum("f").alias("words"), F.sum("complex").alias("complex"), F.sum("complexity").alias("complexity"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("vias")))).alias("sentences"),
-    )
-    length = F.col("words") / F.greatest(F.col("sentences"), F.lit(1))
-    return s.select(
-        *KEY,
-        length.alias("average_sentence_length"),
-        (0.4 * (length + 100 * F.col("complex") / F.greatest(F.col("words"), F.lit(1)))).alias("gunning_fog_index"),
-        honore(F.col("words"), F.col("stems"), F.col("once")).alias("honore_r_measure"),
-        yule(F.col("stems"), F.col("squares")).alias("yule_k_characteristic"),
-        (F.col("complexity") / F.col("sentences")).alias("syntactic_complexity_average"),
-    )
+    """Share of punctuation, and counts of vowel and consonant triples (V is aeiou, C any other ASCII letter), of each passage."""
+    return features(docs, CHAR, atom, n)
+
+
+def sentence_features(docs: DataFrame, atom: str = "nchars", n: int = 500, lexicon: lx.Lexicon | None = None) -> DataFrame:
+    """Features over whole sentences: length, fog, Honore's R (100 ln(N) / (1 - V1 / V), V one more than the stems), Yule's K, mean complexity."""
+    return features(docs, SENTENCE, atom, n, lexicon=lexicon)
+
+
+def paragraph_features(docs: DataFrame, atom: str = "paragraph", n: int = 500, lexicon: lx.Lexicon | None = None) -> DataFrame:
+    """Readability of the first paragraph with words that each passage touches, and the evolved formulas over all of them."""
+    return features(docs, PARAGRAPH, atom, n, lexicon=lexicon)
+
+
+def nested_features(docs: DataFrame, names: list[str], atom: str = "nchars", n: int = 500, frequencies: DataFrame | None = None, lexicon: lx.Lexicon | None = None) -> DataFrame:
+    """Values of ``avg(...)`` and ``std(...)`` names: one column each.
+
+    Each wrapper raises the level by one. ``avg`` is the inner value over the whole range divided by the number of its
+    units; ``std`` the population deviation of the units' values, one level deep.
+    """
+    return features(docs, names, atom, n, frequencies, lexicon)
+
+
+def _tag_trigrams(batches: Iterator[pa.RecordBatch], lexicon: lx.Lexicon) -> Iterator[pa.RecordBatch]:
+    words = style.words_of(lexicon)
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size <= CHUNK:
+                size += len(texts[end])
+                end += 1
+            chunk = style.Chunk(texts[at:end], "sentence", 0, words)
+            lo, hi = chunk.touched("sentence", "word")
+            _, i = style.expand(lo, np.maximum(hi - 2, lo))
+            tag, m = chunk.column("tag"), len(words.keys) + 1
+            (kinds, count) = np.unique(((chunk.doc[i] * m + tag[i]) * m + tag[i + 1]) * m + tag[i + 2], return_counts=True) if len(i) else (i, i)
+            names = {k: x[4:] for x, k in words.keys.items() if x.startswith("tag ")}
+            trigrams = [",".join(names[int(k) // m**p % m] for p in (2, 1, 0)) for k in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(trigrams, pa.string()), pa.array([ids[at + int(k) // m**3] for k in kinds], pa.int64()), pa.array(count, pa.int64())], ["trigram", "doc_id", "n"])
+            at = end
+
+
+def tag_trigram_documents(docs: DataFrame, lexicon: lx.Lexicon | None = None) -> DataFrame:
+    """(trigram, doc_id, n): each triple of tags within a sentence with each document that holds it, and how often; counted in the task that reads it."""
+    per = documents(docs).mapInArrow(partial(_tag_trigrams, lexicon=lexicon or lx.Lexicon()), "trigram string, doc_id bigint, n bigint")
+    return per.groupBy("trigram", "doc_id").agg(F.sum("n").alias("n"))
 
 
 def _guard(value: Column) -> Column:
@@ -181,78 +279,6 @@ def evolved(c: Callable[[str], Column]) -> dict[str, Column]:
 _PARTS = ["avg_internal_word_freq_class", "syntactic_complexity", "pos_trigram,NN,NN,VB", "pos_trigram,NN,NN,NN", "pos_trigram,NN,IN,DT", "num_chars", "stopword_percentage", "average_syllables_per_word", "pos_trigram,DT,NNS,IN", "pos_trigram,VB,NN,VB", "pos_trigram,DT,NN,IN", "word_unigram,been"]
 
 
-def paragraph_features(docs: DataFrame, atom: str = "paragraph", n: int = 500) -> DataFrame:
-    """Readability of the first paragraph that each passage touches, and the evolved formulas over all of them."""
-    key = [*KEY, "via_num"]
-    w = _rows(docs, atom, n, "paragraph", [*_PARTS])
-    p = w.groupBy(*key).agg(*(WORD[x]().alias(x) for x in _PARTS), F.count("*").alias("words"), F.sum(_syllables()).alias("syllables"))
-    v = _stems(units(docs, atom, "word", "paragraph", n), key)
-    s = units(docs, atom, "sentence", "paragraph", n).groupBy(*key).agg(F.count("*").alias("sentences"))
-    p = p.join(v, key).join(s, key, "left").withColumn("honore_r_measure", honore(F.col("words"), F.col("stems"), F.col("once")))
-    per, syl = F.col("words") / F.col("sentences"), F.col("syllables") / F.col("words")
-    p = p.withColumn("flesch_reading_ease", F.coalesce(206.835 - 1.015 * per - 84.6 * syl, F.lit(100.0))).withColumn("flesch_kincaid_grade", F.coalesce(0.39 * per + 11.8 * syl - 15.59, F.lit(0.0)))
-    sums = p.groupBy(*KEY).agg(
-        *(F.sum(F.col(f"`{x}`")).alias(x) for x in [*_PARTS, "honore_r_measure"]), *(F.min_by(x, "via_num").alias(f"first_{x}") for x in ("flesch_reading_ease", "flesch_kincaid_grade")), *(F.sum(x).alias(x) for x in ("flesch_reading_ease", "flesch_kincaid_grade"))
-    )
-    formulas = evolved(lambda x: F.col(f"`{x}`"))
-    return sums.select(*KEY, F.col("first_flesch_reading_ease").alias("flesch_reading_ease"), F.col("first_flesch_kincaid_grade").alias("flesch_kincaid_grade"), *(v.alias(k) for k, v in formulas.items()))
-
-
-def nested_features(docs: DataFrame, names: list[str], atom: str = "nchars", n: int = 500) -> DataFrame:
-    """Values of ``avg(...)`` and ``std(...)`` names: one column each.
-
-    Each wrapper raises the level by one. ``avg`` is the inner value over the whole range divided by the number of its
-    units; ``std`` the population deviation of the units' values, one level deep.
-    """
-    out: DataFrame | None = None
-    for name in names:
-        *wrappers, base = parse(name)
-        where = LEVELS.index(level(base)) + len(wrappers)
-        if where >= len(LEVELS) or "std" in wrappers[:-1]:
-            raise ValueError(f"{name!r} goes beyond the paragraph, or takes std of a nested value")
-        via = LEVELS[where]
-        one = _nested(docs, wrappers, base, via, atom, n).withColumnRenamed("value", name)
-        out = one if out is None else out.join(one, KEY, "full")
-    if out is None:
-        raise ValueError("no names")
-    return out
-
-
-def _nested(docs: DataFrame, wrappers: list[str], base: str, via: str, atom: str, n: int) -> DataFrame:
-    if level(base) == "word":
-        w = _rows(docs, atom, n, via, [base])
-        if via == "sentence":
-            inner, per = WORD[base](), w.groupBy(*KEY, "via_num").agg(WORD[base]().alias("v")) if wrappers[0] == "std" else None
-            if per is not None:
-                return per.groupBy(*KEY).agg(F.stddev_pop("v").alias("value"))
-            return w.groupBy(*KEY).agg((inner / F.greatest(F.count_distinct("via_num"), F.lit(1))).alias("value"))
-        # paragraph: of each passage the sentences of its paragraphs
-        paragraphs = F.greatest(F.count_distinct("via_num"), F.lit(1))
-        total = w.groupBy(*KEY).agg(WORD[base]().alias("v"), paragraphs.alias("p"))
-        if wrappers[1] == "avg":
-            s = units(docs, atom, "sentence", "paragraph", n).groupBy(*KEY).agg(F.count("*").alias("s"))
-            return total.join(s, KEY).select(*KEY, (F.col("v") / F.col("s") / F.col("p")).alias("value"))
-        by = _word_sentences(docs, atom, n, base)
-        spread = by.groupBy(*KEY).agg(F.stddev_pop("v").alias("d"))
-        return total.join(spread, KEY).select(*KEY, (F.col("d") / F.col("p")).alias("value"))
-    # a sentence feature over paragraphs
-    if base != "average_sentence_length" and base != "syntactic_complexity_average":
-        raise ValueError(f"{base!r} can't be nested")
-    words = _rows(docs, atom, n, "paragraph", ["syntactic_complexity"]).groupBy(*KEY, "via_num").agg(F.count("*").cast("double").alias("words"), _complexity().alias("complexity"))
-    number = units(docs, atom, "sentence", "paragraph", n).groupBy(*KEY, "via_num").agg(F.count("*").alias("s"))
-    p, top = words.join(number, [*KEY, "via_num"]), "words" if base == "average_sentence_length" else "complexity"
-    if wrappers[0] == "std":
-        return p.groupBy(*KEY).agg(F.stddev_pop(F.col(top) / F.col("s")).alias("value"))
-    return p.groupBy(*KEY).agg((F.sum(top) / F.sum("s") / F.count("*")).alias("value"))
-
-
-def _word_sentences(docs: DataFrame, atom: str, n: int, base: str) -> DataFrame:
-    """A word feature's value in each sentence of the paragraphs that a passage touches."""
-    per = _rows(docs, "sentence", n, None, [base]).groupBy(*KEY).agg(WORD[base]().alias("v")).select("doc_id", F.col("atom_num").alias("sentence"), "v")
-    inside = units(docs, atom, "sentence", "paragraph", n).select(*KEY, F.col("unit_num").alias("sentence"))
-    return inside.join(per, ["doc_id", "sentence"])
-
-
 def vectors(features: DataFrame, names: list[str], weights: list[float] | None = None) -> DataFrame:
     """(doc_id, atom_num, feature, value): the long form that scoring takes, each value times its weight if given."""
     w = weights or [1.0] * len(names)

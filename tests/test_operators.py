@@ -1,10 +1,12 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stemmata.functions import fingerprint as fp
+from stemmata.functions import lexicon
 from stemmata.functions.network import Network
 from stemmata.operators import combine, corpus, evaluate, features, fingerprints, models, scoring, search, spans
 from stemmata.operators.atoms import atoms
@@ -38,6 +40,80 @@ def test_features(doc, spark):
     assert column(features.char_features(d, "sentence"), "vowelness_trigram,C,V,C") == [9]
 
 
+def plain_nested(name, words, sentences, paragraphs):
+    """A nested name of a whole text by its definition; units are lists of words, a paragraph's of its sentences."""
+    *wrappers, base = features.parse(name)
+    value = {
+        "num_chars": lambda w: sum(map(len, w)), "average_syllables_per_word": lambda w: sum(len(x) % 3 for x in w) / len(w), "stopword_percentage": lambda w: np.mean([lexicon.Lexicon.norm(x) in lexicon.STOP for x in w]),
+        "syntactic_complexity": lambda w: sum(2 * (n in lexicon.SUBORDINATING) + 2 * (t in lexicon.WH) + t.startswith("VB") for n, t in ((lexicon.Lexicon.norm(x), lexicon.Lexicon().tag(x, lexicon.Lexicon.norm(x))) for x in w)),
+    }
+    count = Counter(lexicon.Lexicon.norm(w) for w in words)
+    value["avg_internal_word_freq_class"] = lambda w: np.mean([math.floor(math.log2(max(count.values()) / count[lexicon.Lexicon.norm(x)])) for x in w])
+    value["avg_external_word_freq_class"] = lambda w: np.mean([math.floor(math.log2((max(count.values()) + 1) / (count[lexicon.Lexicon.norm(x)] + 1))) for x in w])
+    flat = lambda units: [w for u in units for w in u]
+    if base == "average_sentence_length":
+        per = [len(flat(p)) / len(p) for p in paragraphs]
+        return np.std(per) if wrappers == ["std"] else len(words) / len(sentences) / len(paragraphs)
+    if base == "syntactic_complexity_average":
+        per = [value["syntactic_complexity"](flat(p)) / len(p) for p in paragraphs]
+        return np.std(per) if wrappers == ["std"] else value["syntactic_complexity"](words) / len(sentences) / len(paragraphs)
+    spread = np.std([value[base](s) for s in sentences])
+    one = {("avg",): value[base](words) / len(sentences), ("std",): spread}
+    return one[tuple(wrappers)] if len(wrappers) == 1 else (spread if wrappers[1] == "std" else one["avg",]) / len(paragraphs)
+
+
+def test_every_name_in_one_pass(spark):
+    """All of the catalogue at once equals each name by itself, and the 28 nested names their definitions."""
+    paragraphs = [[["The", "dog", "barked", "while", "it", "was", "running", "."], ["Who", "said", "that", "?"]], [["Since", "then", "the", "cats", "of", "York", "have", "been", "quiet", "."], ["No", "dog", "barked", "."], ["It", "is", "the", "end", "."]]]
+    text = "\n\n".join(" ".join(" ".join(s[:-1]) + s[-1] for s in p) for p in paragraphs)
+    glued = [[[*s[:-2], s[-2] + s[-1]] if s[-1] == "." else s for s in p] for p in paragraphs]  # a final period stays with its word
+    sentences = [s for p in glued for s in p]
+    words = [w for s in sentences for w in s]
+    d = spark.createDataFrame([(1, text), (2, ""), (3, "   ")], "doc_id bigint, text string")
+    names = features.catalogue()
+    f = spark.createDataFrame([(w, n) for w, n in Counter(lexicon.Lexicon.norm(w) for w in words).items()], "word string, n bigint")
+    whole = {r.doc_id: r for r in features.features(d, names, "full", frequencies=f).collect()}
+    for name in names:
+        if "(" in name:
+            assert whole[1][name] == pytest.approx(plain_nested(name, words, sentences, glued)), name
+    assert whole[2]["num_chars"] is None and whole[2]["punctuation_percentage"] == 0
+    for name in ("num_chars", "yule_k_characteristic", "flesch_reading_ease", "evolved_feature_four", "avg(avg(stopword_percentage))", "avg_external_word_freq_class"):
+        assert {r.doc_id: r[name] for r in features.features(d, [name], "full", frequencies=f).collect()} == {k: pytest.approx(r[name]) for k, r in whole.items() if r[name] is not None}
+
+
+def test_features_of_odd_tables(spark, monkeypatch):
+    long = "Many words of a very long text go on. " * 3000
+    rows = [(1, TEXT, 0, "x"), (1, TEXT, 0, "x"), (1, "Other text.", 1, "x"), (None, "x", 0, "x"), (2, None, 0, "x"), (3, "", 0, "x"), (4, long, 0, "x"), (5, "\u212a\u0130 \U0001f600.", 0, "x")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, atom_num int, num_chars string")
+    got = sorted((r.doc_id, r.atom_num, r.num_chars) for r in features.features(d, ["num_chars"], "full").collect())
+    assert got == [(1, 0, 10.0), (1, 0, 40.0), (1, 0, 40.0), (4, 0, 3000 * 29.0), (5, 0, 4.0)]  # rows with one doc_id aren't merged
+    assert features.features(d.limit(0), features.catalogue(), "full").count() == 0
+    # the background table joined instead of sent
+    names = ["avg_external_word_freq_class", "std(avg_external_word_freq_class)"]
+    key = lambda r: (r[0], r[1], r[2] or 0, r[3] or 0)
+    sent = sorted(features.features(d, names).collect(), key=key)
+    monkeypatch.setattr(features, "BROADCAST_BYTES", 0)
+    assert sorted(features.features(d, names).collect(), key=key) == sent and len(sent) > 5
+
+
+def test_own_resources(spark):
+    table = lambda rows, *names: spark.createDataFrame(rows, ", ".join(names))
+    own = lexicon.Lexicon.of(
+        stop=table([("Fox",), (None,)], "word string"), stems=table([("ate", "eat"), ("eats", "eat")], "word string", "stem string"), syllables=table([("brown", 1), ("brown", 3), ("ate", 1)], "word string", "syllables int"),
+        tags=table([("believe", "NNP")], "word string", "tag string"),
+    )
+    d = spark.createDataFrame([(1, "The brown fox ate. He eats. Believe it.")], "doc_id bigint, text string")
+    r = features.features(d, ["stopword_percentage", "average_syllables_per_word", "yule_k_characteristic", "syntactic_complexity"], "full", lexicon=own).first()
+    assert r.stopword_percentage == 1 / 8 and r.average_syllables_per_word == (0 + 1 + 0 + 1 + 2 + 2 + 1 + 0) / 8
+    assert r.yule_k_characteristic == pytest.approx(10000 * (6 + 4 - 7) / 49)
+    assert lexicon.Lexicon().tag("Believe", "believe") == "NP" and own.tag("Believe", "believe") == "NNP"
+
+
+def test_subsets():
+    assert {k: len(set(v)) for k, v in features.SUBSETS.items()} == {"study": 7, "training": 19, "test": 29}
+    assert set(features.SUBSETS["training"]) < set(features.SUBSETS["test"]) <= set(features.catalogue())
+
+
 def test_feature_names():
     assert features.parse("avg(std(num_chars))") == ["avg", "std", "num_chars"]
     assert len([x for x in features.catalogue() if "(" in x]) == 28
