@@ -10,6 +10,7 @@ import numpy as np
 from stemmata.functions import tokenize as tk
 
 SPAN = 10_000_000
+WIDE = (1 << 61) - 1  # for searches: in a large corpus every value of the small span would be common
 ANCHORS = "ul ay oo yo si ca am ie mo rt".split()
 _BLANKS = re.compile(r"[ \t\n\f\r\v]+")
 

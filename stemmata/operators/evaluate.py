@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stemmata.operators.corpus import draw
+from stemmata.operators.scoring import outlier
 from stemmata.operators.spans import overlap
 
 THRESHOLDS = [k / 20 for k in range(20)]
@@ -149,11 +158,89 @@ def t_statistics(long: DataFrame) -> DataFrame:
     """Welch's t of each feature between every two documents: (feature, doc_a, doc_b, t, freedom); null below two passages."""
     s = long.groupBy("feature", "doc_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     a, b = (s.select("feature", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "m", "v"))) for k in "ab")
-    j = a.join(b, "feature").where("doc_id_a < doc_id_b")
-    va, vb = F.col("v_a") / F.col("n_a"), F.col("v_b") / F.col("n_b")
+    t, freedom = _welch()
+    return a.join(b, "feature").where("doc_id_a < doc_id_b").select("feature", F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), t.alias("t"), freedom.alias("freedom"))
+
+
+def _welch() -> tuple[Column, Column]:
+    """t and its degrees of freedom from the columns n, m and v of sides a and b."""
+    va, vb = F.col("v_a") / F.nullif("n_a", F.lit(0)), F.col("v_b") / F.nullif("n_b", F.lit(0))
     t = (F.col("m_a") - F.col("m_b")) / F.nullif(F.sqrt(va + vb), F.lit(0.0))
     freedom = F.pow(va + vb, F.lit(2)) / F.nullif(va * va / F.nullif(F.col("n_a") - 1, F.lit(0)) + vb * vb / F.nullif(F.col("n_b") - 1, F.lit(0)), F.lit(0.0))
-    return j.select("feature", F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"), t.alias("t"), freedom.alias("freedom"))
+    return t, freedom
+
+
+def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """I_x(a, b) by its continued fraction, on the side where that converges fast."""
+    flip = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    tiny = 1e-300
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(all="ignore"):
+        front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+        c = np.ones_like(x)
+        d = 1 / np.where(np.abs(1 - (a + b) * x / (a + 1)) < tiny, tiny, 1 - (a + b) * x / (a + 1))
+        h = d.copy()
+        for m in range(1, 300):
+            for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 + step * d
+                c = 1 + step / c
+                d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+                c = np.where(np.abs(c) < tiny, tiny, c)
+                h *= d * c
+            if np.all(np.abs(d * c - 1) < 1e-14):
+                break
+    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, front * h))
+    return np.where(flip, 1 - out, out)
+
+
+def _p_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        t, v = (batch.column(batch.num_columns - k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 1))
+        some = ~(np.isnan(t) | np.isnan(v))
+        p = np.full(len(t), np.nan)
+        if some.any():
+            p[some] = _incomplete_beta(v[some] / 2, np.full(some.sum(), 0.5), v[some] / (v[some] + t[some] ** 2))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, mask=~some)], [*batch.schema.names, "p"])
+
+
+def with_p_values(tests: DataFrame) -> DataFrame:
+    """Rows that end in (t, freedom) with ``p``, the two-sided probability of Student's t; null where either is."""
+    return tests.mapInArrow(_p_values, T.StructType([*tests.schema.fields, T.StructField("p", T.DoubleType())]))
+
+
+def same_document(long: DataFrame, seed: int = 1) -> DataFrame:
+    """(feature, doc_id, t, freedom): Welch's t between two samples of one document, its passages split by a seeded draw; the counterpart of ``t_statistics``."""
+    halves = long.withColumn("_h", F.when(draw(seed, "doc_id", "atom_num") < 0.5, F.lit(0)).otherwise(F.lit(1)))
+    both = halves.groupBy("feature", "doc_id").pivot("_h", [0, 1]).agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    renamed = both.select("feature", "doc_id", *(F.col(f"{k}_{c}").alias(f"{c}_{x}") for k, x in ((0, "a"), (1, "b")) for c in ("n", "m", "v")))
+    t, freedom = _welch()
+    return renamed.select("feature", "doc_id", t.alias("t"), freedom.alias("freedom"))
+
+
+def pairwise_aucs(long: DataFrame, truths: DataFrame, features: list[str]) -> DataFrame:
+    """(feature_a, feature_b, auc): how well the outlier score of each two features alone finds ``truths(doc_id, atom_num, actual)``; ``auc_bands`` reads it.
+
+    One plan: each value is repeated for the pairs that it belongs to, and the score runs on all at once.
+    """
+    pairs = list(combinations(sorted(features), 2))
+    own = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs)))
+    each = long.where(F.col("feature").isin(features)).withColumn("pair", own).where("feature IN (pair.a, pair.b)")
+    scored = outlier(each.select(F.struct("doc_id", "pair").alias("doc_id"), "atom_num", "feature", "value"))
+    flat = scored.select("doc_id.doc_id", F.col("doc_id.pair.a").alias("feature_a"), F.col("doc_id.pair.b").alias("feature_b"), "atom_num", F.round("confidence", 9).alias("confidence"))
+    return auc(flat.join(truths.select("doc_id", "atom_num", "actual"), ["doc_id", "atom_num"]), ["feature_a", "feature_b"]).select("feature_a", "feature_b", "auc")
+
+
+def overlap_rows(detected: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, kind, start, end, covered): true spans and detections of each document in order, with how many places the other kind covers of each; what an overlap plot draws."""
+    d, s = (x.select("doc_id", "start", "end").distinct() for x in (detected, spans))
+    out = None
+    for kind, one, other in (("detected", d, s), ("true", s, d)):
+        o = other.select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+        both = one.join(o, "doc_id", "left").withColumn("o", overlap(F.col("start"), F.col("end"), F.col("_s"), F.col("_e")))
+        rows = both.groupBy("doc_id", "start", "end").agg(F.sum("o").alias("covered")).select("doc_id", F.lit(kind).alias("kind"), "start", "end", "covered")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def auc_bands(aucs: DataFrame) -> DataFrame:
@@ -172,11 +259,14 @@ def gain(aucs: DataFrame) -> DataFrame:
 
 
 def corpus_statistics(docs: DataFrame, spans: DataFrame, long_chars: int = 35_000) -> DataFrame:
-    """One row: documents, share with plagiarism, of at least ``long_chars``, five numbers of lengths, plagiarised share of all text."""
+    """One row: documents, share with plagiarism, of at least ``long_chars``; five numbers and mean of lengths and, over documents that have any, of
+    plagiarised characters; plagiarised share of all text, paragraphs and their number a document. Overlapping spans count twice."""
     per = spans.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("plag"))
-    j = docs.select("doc_id", F.length("text").alias("size")).join(per, "doc_id", "left")
-    q = lambda p: F.percentile("size", F.lit(p))
+    paragraphs = F.size(F.split(F.regexp_replace("text", r"[ \t\n\f\r]*\n\n+[ \t\n\f\r]*$", ""), r"[ \t\n\f\r]*\n\n+[ \t\n\f\r]*", -1))
+    j = docs.select("doc_id", F.length("text").alias("size"), F.when(F.col("text") == "", 0).otherwise(paragraphs).alias("paragraphs")).join(per, "doc_id", "left")
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    five = lambda c, x="": [F.min(c).alias(f"{x}min"), q(c, 0.25).alias(f"{x}q1"), q(c, 0.5).alias(f"{x}median"), q(c, 0.75).alias(f"{x}q3"), F.max(c).alias(f"{x}max"), F.avg(c).alias(f"{x}mean")]
     return j.agg(
         F.count("*").alias("documents"), F.avg(F.col("plag").isNotNull().cast("int")).alias("share_with_plag"), F.avg((F.col("size") >= long_chars).cast("int")).alias("share_long"),
-        F.min("size").alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("size").alias("max"), F.avg("size").alias("mean"), (F.coalesce(F.sum("plag"), F.lit(0)) / F.sum("size")).alias("plag_share"),
-    )
+        *five("size"), *five("plag", "plag_"), (F.coalesce(F.sum("plag"), F.lit(0)) / F.sum("size")).alias("plag_share"), F.sum("paragraphs").alias("paragraphs"), F.avg("paragraphs").alias("paragraphs_mean"),
+    )

@@ -7,32 +7,40 @@ no passage is looked up by itself. Hash 0 (empty grams) finds nothing but counts
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stemmata.functions.fingerprint import WIDE
+
 S, R = ["doc_id", "atom_num"], ["source_id", "source_atom"]
 SIMILARITIES = ["jaccard", "containment", "jaccard-alt1", "containment-alt1"]
 
 
+BUCKETS = 64
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_index(hashes: DataFrame, path: str, method: str, is_source: bool) -> None:
-    """Append passages that the index doesn't have yet for this method; stored by method and side, so searches prune."""
+    """Append passages that the index doesn't have yet for this method; stored by method, side and hash, so searches and lookups prune."""
     spark = hashes.sparkSession
-    new = hashes.withColumn("method", F.lit(method)).withColumn("is_source", F.lit(is_source))
-    try:
-        there = read_index(spark, path, method, is_source)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = None
-    if there is not None:
-        new = new.join(there.select(*S).distinct(), S, "left_anti").select(*new.columns)
-    new.write.mode("append").partitionBy("method", "is_source").parquet(path)
+    new = hashes.select(*S, "hash_value", F.lit(method).alias("method"), F.lit(is_source).alias("is_source"), F.pmod("hash_value", F.lit(BUCKETS)).cast("int").alias("bucket"))
+    if _there(spark, path):
+        new = new.join(read_index(spark, path, method, is_source).select(*S).distinct(), S, "left_anti").select(*new.columns)
+    new.repartition("bucket").write.mode("append").partitionBy("method", "is_source", "bucket").parquet(path)
 
 
-def read_index(spark: SparkSession, path: str, method: str, is_source: bool) -> DataFrame:
-    return spark.read.parquet(path).where((F.col("method") == method) & (F.col("is_source") == F.lit(is_source))).drop("method", "is_source")
+def read_index(spark: SparkSession, path: str, method: str, is_source: bool, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, atom_num, hash_value, bucket) of a method and a side, of ``docs(doc_id)`` only if given."""
+    rows = spark.read.parquet(path).where((F.col("method") == method) & (F.col("is_source") == F.lit(is_source))).drop("method", "is_source")
+    return rows if docs is None else rows.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select(*rows.columns)
 
 
 def populated(hashes: DataFrame) -> DataFrame:
@@ -49,7 +57,10 @@ def require_populated(suspects: DataFrame, sources: DataFrame) -> None:
 
 def lookup(hashes: DataFrame, values: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(hash_value, doc_id, atom_num) of the index rows with one of ``values(hash_value)``, of ``docs(doc_id)`` only if given."""
-    found = hashes.join(values.select("hash_value").distinct(), "hash_value", "left_semi")
+    # of a stored index only the buckets that the values lie in are read
+    key = ["hash_value", *(["bucket"] if "bucket" in hashes.columns else [])]
+    asked = values.select("hash_value").distinct().withColumn("bucket", F.pmod("hash_value", F.lit(BUCKETS)).cast("int")).select(*key)
+    found = hashes.join(asked, key, "left_semi")
     if docs is not None:
         found = found.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     return found.select("hash_value", *S)
@@ -69,14 +80,21 @@ def similarity(name: str, shared: Column, a: Column, b: Column) -> Column:
     return F.when(shared < 2, 0.0).otherwise(value) if name.endswith("-alt1") else value
 
 
-def candidates(suspects: DataFrame, sources: DataFrame, measure: str = "containment", other_document: bool = False) -> DataFrame:
+def candidates(suspects: DataFrame, sources: DataFrame, measure: str = "containment", other_document: bool = False, within: DataFrame | None = None) -> DataFrame:
     """(doc_id, atom_num, source_id, source_atom, shared, confidence): all pairs that share a hash.
 
-    ``other_document`` leaves out pairs within one document, for a corpus that is searched in itself.
+    ``other_document`` leaves out pairs within one document, for a corpus that is searched in itself. ``within(source_id)``, with doc_id or
+    doc_id and atom_num beside it, names the sources that each suspect is compared with; they are chosen before the hashes are joined.
     """
     a = suspects.select(*S, "hash_value").distinct()
     b = sources.select(F.col("doc_id").alias("source_id"), F.col("atom_num").alias("source_atom"), "hash_value").distinct()
-    pairs = a.where("hash_value <> 0").join(b.where("hash_value <> 0"), "hash_value")
+    left, right = a.where("hash_value <> 0"), b.where("hash_value <> 0")
+    if within is None:
+        pairs = left.join(right, "hash_value")
+    else:
+        key = [c for c in within.columns if c != "source_id"]
+        right = right.join(within.select("source_id").distinct(), "source_id", "left_semi")
+        pairs = left.join(within.distinct(), key).join(right, ["source_id", "hash_value"])
     if other_document:
         pairs = pairs.where("doc_id <> source_id")
     shared = pairs.groupBy(*S, *R).agg(F.count("*").alias("_nonzero"))
@@ -117,8 +135,7 @@ def two_level(full_suspects: DataFrame, full_sources: DataFrame, suspects: DataF
     level1 = candidates(suspects if passages_first else full_suspects, full_sources, "containment", other_document)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("confidence"), "source_id"))
     chosen = level1.withColumn("_r", rank).where(f"_r <= {search_n} AND confidence > 0").select(*key, "source_id").distinct()
-    found = candidates(suspects, sources, measure, other_document).join(chosen, [*key, "source_id"], "left_semi")
-    return best(found, suspects)
+    return best(candidates(suspects, sources, measure, other_document, chosen), suspects)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,23 +154,51 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*ids, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "source_id", "start", "end"])
 
 
-def occurrences(docs: DataFrame, passages: DataFrame, k: int = 8, t: int = 24) -> DataFrame:
+def _short(batches: Iterator[pa.RecordBatch], passages: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to every place of each passage, by one automaton of all of them."""
+    ids: dict[str, list[int]] = {}
+    for i, text in passages:
+        ids.setdefault(text, []).append(i)
+    automaton = ahocorasick.Automaton()
+    for text, own in ids.items():
+        automaton.add_word(text, (len(text), own))
+    automaton.make_automaton()
+    for batch in batches:
+        out: list[tuple[int, int, int, int]] = []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out += [(doc, i, last + 1 - n, last + 1) for last, (n, own) in automaton.iter(text) for i in own]
+        cols = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "source_id", "start", "end"])
+
+
+PLACE = "doc_id bigint, source_id bigint, start int, end int"
+
+
+def occurrences(docs: DataFrame, passages: DataFrame, k: int = 8, t: int = 24, block_chars: int = 4 << 20) -> DataFrame:
     """(doc_id, source_id, start, end): every place where a document holds a passage word for word, overlapping ones too.
 
     Winnowed fingerprints give the candidates, which the texts confirm. A passage of ``t`` characters or more
-    (punctuation and blanks aside) shares a fingerprint wherever it stands; shorter ones are compared with every document.
+    (punctuation and blanks aside) shares a fingerprint wherever it stands; shorter ones, which may have none, are looked for in every document
+    by one automaton for each ``block_chars`` of them. Nulls and empty passages are found nowhere; of rows that repeat an id each is searched.
     """
     from stemmata.operators.atoms import documents
     from stemmata.operators.fingerprints import fingerprints
 
     p = passages.select(F.col("item_id").alias("doc_id"), "text")
-    a, b = documents(docs), documents(p).select(F.col("doc_id").alias("source_id"), F.col("text").alias("_p"))
-    full = fingerprints(p, "winnow-k", k, t)
-    own = full.select(F.col("doc_id").alias("source_id"), "hash_value")
-    pairs = fingerprints(docs, "winnow-k", k, t).select("doc_id", "hash_value").join(own, "hash_value").select("doc_id", "source_id").distinct()
+    a, b = documents(docs), documents(p).select(F.col("doc_id").alias("source_id"), F.col("text").alias("_p")).where("_p <> ''")
+    own = fingerprints(p, "winnow-k", k, t, span=WIDE).select(F.col("doc_id").alias("source_id"), "hash_value")
     # two hashes at least make sure that one isn't the first of the passage alone
-    few = b.join(own.groupBy("source_id").agg(F.count("*").alias("_n")).where("_n >= 2"), "source_id", "left_anti").select("source_id").where("source_id IS NOT NULL")
-    pairs = pairs.unionByName(a.select("doc_id").crossJoin(few)).distinct()
-    j = pairs.join(a, "doc_id").join(b, "source_id").where("_p <> '' AND instr(text, _p) > 0")
-    kind = j.schema
-    return j.select("doc_id", "source_id", "text", "_p").mapInArrow(_places, f"doc_id {kind['doc_id'].dataType.simpleString()}, source_id {kind['source_id'].dataType.simpleString()}, start int, end int")
+    enough = own.groupBy("source_id").agg(F.count("*").alias("_n")).where("_n >= 2").select("source_id")
+    pairs = fingerprints(docs, "winnow-k", k, t, span=WIDE).select("doc_id", "hash_value").join(own.join(enough, "source_id", "left_semi"), "hash_value").select("doc_id", "source_id").distinct()
+    j = pairs.join(a, "doc_id").join(b, "source_id").where("instr(text, _p) > 0")
+    found = j.select("doc_id", "source_id", "text", "_p").mapInArrow(_places, PLACE)
+    block, held = [], 0
+    for r in b.join(enough, "source_id", "left_anti").toLocalIterator():
+        block.append((r["source_id"], r["_p"]))
+        held += len(r["_p"])
+        if held >= block_chars:
+            found = found.unionByName(a.mapInArrow(partial(_short, passages=block), PLACE))
+            block, held = [], 0
+    if block:
+        found = found.unionByName(a.mapInArrow(partial(_short, passages=block), PLACE))
+    return found

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemmata.functions import fingerprint as fp
 from stemmata.functions import lexicon as lx
 from stemmata.operators import combine as cb
 from stemmata.operators import corpus as cp
@@ -20,11 +21,13 @@ from stemmata.operators import spans as sp
 from stemmata.operators.atoms import atoms, documents
 from stemmata.plans import sql
 from stemmata.session import Scratch, prepare
+from stemmata.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 N, K, T = 500, 8, 13
+WIDE = {"span": fp.WIDE}
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -45,23 +48,28 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(table(spark, sf_dir, "documents"))
 
 
+def spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with each line feed doubled, so that lines are paragraphs."""
+    return docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, and no negative zeros."""
-    short = lambda c: F.when(F.round(c, 6) == 0, 0.0).otherwise(F.round(c, 6))
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to six places or so, and no negative zeros."""
+    short = lambda c: F.when(F.round(c, digits) == 0, 0.0).otherwise(F.round(c, digits))
     return df.select(*(short(F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
 for _kind, _sql, _source in (("word", sql.tokens(), "words"), ("sentence", sql.SENTENCES, "sentences"), ("paragraph", sql.PARAGRAPHS, "paragraphs"), ("line", sql.LINES, "lines")):
 
     def _atoms(spark: SparkSession, sf_dir: str, kind: str = _kind) -> DataFrame:
-        return atoms(docs(spark, sf_dir), kind)
+        return atoms((spaced if kind == "paragraph" else docs)(spark, sf_dir), kind)
 
     QUERIES[f"atoms_{_kind}"] = _atoms
-    SQL[f"atoms_{_kind}"] = sql.atoms_of(_sql, _source)
+    SQL[f"atoms_{_kind}"] = sql.atoms_of(_sql, _source, sql.SPACED if _kind == "paragraph" else sql.TEXTS)
 
 
 @query(f'WITH {sql.TEXTS}, {sql.nchars(N)} SELECT doc_id, atom_num, s AS start, e AS "end", text FROM atoms')
@@ -110,7 +118,7 @@ def features_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.PARAGRAPH_FEATURES)
 def features_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evolved formulas reach 1e13 and 1e255: the logarithm of their size is compared."""
-    f = ft.paragraph_features(docs(spark, sf_dir))
+    f = ft.paragraph_features(spaced(spark, sf_dir))
     logs = [(F.signum(f"evolved_feature_{k}") * F.log10(1 + F.abs(f"evolved_feature_{k}"))).alias(f"log_evolved_{k}") for k in ("two", "three", "four", "five", "six")]
     return rounded(f.select("doc_id", "atom_num", "flesch_reading_ease", "flesch_kincaid_grade", *logs))
 
@@ -120,6 +128,25 @@ def features_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ft.nested_features(docs(spark, sf_dir), ["avg(num_chars)", "std(num_chars)", "std(stopword_percentage)", "avg(stopword_percentage)"], n=N))
 
 
+@query(sql.NESTED_SENTENCES)
+def features_nested_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names with one wrapper around a word feature."""
+    return rounded(ft.nested_features(docs(spark, sf_dir), [f"{a}({b})" for b in ft.NESTABLE["word"] for a in ("avg", "std")], n=N))
+
+
+@query(sql.NESTED_PARAGRAPHS)
+def features_nested_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names that reach the paragraph."""
+    names = [f"avg({a}({b}))" for b in ft.NESTABLE["word"] for a in ("avg", "std")] + [f"{a}({b})" for b in ft.NESTABLE["sentence"] for a in ("avg", "std")]
+    return rounded(ft.nested_features(spaced(spark, sf_dir), names, n=N), 9)
+
+
+@query()
+def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalogue in one pass."""
+    return rounded(ft.features(docs(spark, sf_dir), ft.catalogue(), n=N))
+
+
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.vectors(ft.word_features(docs(spark, sf_dir), sql.FEATURES5, n=N), sql.FEATURES5)
 
@@ -129,6 +156,11 @@ def score_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sc.outlier(_long(spark, sf_dir)))
 
 
+@query(sql.WEIGHTED)
+def score_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sc.outlier(ft.vectors(ft.word_features(docs(spark, sf_dir), sql.FEATURES5, n=N), sql.FEATURES5, [2.0, 1.0, 1.0, 3.0, 1.0])))
+
+
 @query(sql.MEDIAN)
 def score_median_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sc.median_simple(_long(spark, sf_dir)))
@@ -212,9 +244,47 @@ def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.lookup(fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T), fpr.fingerprints(items(spark, sf_dir), "winnow-k", K, T))
 
 
+@query(sql.LOOKUP_DOCS)
+def index_lookup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``index_lookup``, of the labelled documents."""
+    return se.lookup(fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T), fpr.fingerprints(items(spark, sf_dir), "winnow-k", K, T), table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query(sql.INDEX)
+def sink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written, written again (which adds nothing), and read."""
+    at = f"{Scratch(spark, 'index').base}/index"
+    for _ in range(2):
+        se.write_index(fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T), at, "winnow-k", True)
+    return se.read_index(spark, at, "winnow-k", True).select("doc_id", "atom_num", "hash_value", F.col("bucket").cast("int").alias("bucket"))
+
+
+@query(sql.SINK_PASSAGES)
+def sink_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages written as CSV and read; the score is made up."""
+    at = f"{Scratch(spark, 'passages').base}/csv"
+    f = rounded(ft.word_features(docs(spark, sf_dir), ["num_chars", "average_word_length"], n=N))
+    files.write_passages(f, f.select("doc_id", "atom_num", F.round(F.col("num_chars") / 1000, 6).alias("confidence")), _truth(spark, sf_dir), at)
+    return files.read_csv(spark, at, "doc_id bigint, start_index int, end_index int, num_chars double, average_word_length double, plag_confidence double, contains_plag int")
+
+
+@query(f"WITH {sql.TEXTS} SELECT doc_id, CAST(length(text) AS INTEGER) AS length FROM texts")
+def sink_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{Scratch(spark, 'lengths').base}/csv"
+    files.write_lengths(docs(spark, sf_dir), at)
+    return files.read_csv(spark, at, "doc_id bigint, length int")
+
+
+@query(sql.UPSERTED)
+def sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels, and a row for each document that has none."""
+    there = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").select("doc_id", "quality")
+    return files.upsert(docs(spark, sf_dir).select("doc_id", F.lit(-1).alias("quality")), there, ["doc_id"])
+
+
 def item_search(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
     """Of each benchmark item the document that holds most of it."""
-    found = se.search(fpr.fingerprints(items(spark, sf_dir), "winnow-k", K, T), fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T), measure)
+    found = se.search(fpr.fingerprints(items(spark, sf_dir), "winnow-k", K, T, **WIDE), fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T, **WIDE), measure)
     return rounded(found.select(F.col("doc_id").alias("item_id"), "source_id", "shared", "confidence"))
 
 
@@ -228,11 +298,11 @@ for _measure in se.SIMILARITIES:
 
 
 def _atom_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T, "nchars", N)
+    return fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T, "nchars", N, **WIDE)
 
 
 def _item_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fpr.fingerprints(items(spark, sf_dir), "winnow-k", K, T)
+    return fpr.fingerprints(items(spark, sf_dir), "winnow-k", K, T, **WIDE)
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,14 +318,22 @@ def search_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ext(spark, sf_dir).select("doc_id", "atom_num", "source_id", "shared", "confidence"))
 
 
+@query(sql.SHORT_SEARCH)
+def search_atoms_but_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``search_atoms``; passages under 300 characters are too short to judge."""
+    pieces = _pieces(spark, sf_dir)
+    found = se.search(_atom_prints(spark, sf_dir), _item_prints(spark, sf_dir), "jaccard", pieces, short=pieces.where(F.col("end") - F.col("start") < 300))
+    return rounded(found.select("doc_id", "atom_num", "source_id", "shared", "confidence"))
+
+
 @query(sql.TWO_LEVEL)
 def search_two_level_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _item_prints(spark, sf_dir)
-    found = se.two_level(fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T), i, _atom_prints(spark, sf_dir), i)
+    found = se.two_level(fpr.fingerprints(docs(spark, sf_dir), "winnow-k", K, T, **WIDE), i, _atom_prints(spark, sf_dir), i)
     return rounded(found.select("doc_id", "atom_num", "source_id", "shared", "confidence"))
 
 
-@query()
+@query(sql.TWO_LEVEL_PASSAGES)
 def search_two_level_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, a = _item_prints(spark, sf_dir), _atom_prints(spark, sf_dir)
     return rounded(se.two_level(a, i, a, i, passages_first=True))
@@ -291,12 +369,29 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sources_cols(spans: DataFrame) -> DataFrame:
-    return spans.withColumns({"source_start": F.lit(0), "source_end": F.col("end") - F.col("start"), "obfuscation": F.lit("none")})
+    kind = F.element_at(F.array(F.lit("none"), F.lit("low"), F.lit("high")), (F.pmod(F.col("doc_id") + F.col("source_id"), F.lit(3)) + 1).cast("int"))
+    return spans.withColumns({"source_start": F.lit(0), "source_end": F.col("end") - F.col("start"), "obfuscation": kind})
 
 
-@query()
+@query(sql.GROUND_SOURCES)
 def ground_truth_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.without_high_obfuscation(ev.atom_truth(_pieces(spark, sf_dir), _sources_cols(_spans(spark, sf_dir))))
+    """Each atom's spans with their sources, written out; atoms with a highly obfuscated one are left out (the degree is made up from the ids)."""
+    t = ev.without_high_obfuscation(ev.atom_truth(_pieces(spark, sf_dir), _sources_cols(_spans(spark, sf_dir))))
+    one = lambda i, at: F.concat(F.col("spans")[at].start, F.lit("-"), F.col("spans")[at].end, F.lit(":"), F.col("sources")[at], F.lit(":"), F.col("source_spans")[at].source_start, F.lit("-"), F.col("source_spans")[at].source_end, F.lit(":"), i)
+    return t.select("doc_id", "atom_num", "truth", F.array_join(F.transform("obfuscation", one), " ").alias("found"))
+
+
+@query(sql.CHEATING)
+def ground_truth_cheating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.truth(_pieces(spark, sf_dir), _spans(spark, sf_dir), cheating=True, min_chars=100)
+
+
+@query(sql.ATTACHED)
+def spans_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each atom's spans, relative to it, and its text with the first of them marked."""
+    a = sp.attach(atoms(docs(spark, sf_dir), "nchars", N), _spans(spark, sf_dir))
+    shown = F.array_join(F.transform("plag_spans", lambda x: F.concat(x.start, F.lit("-"), x.end, F.lit(":"), x.source_id)), " ")
+    return a.select("doc_id", "atom_num", shown.alias("plag_spans"), sp.underline(F.col("text"), F.slice("plag_spans", 1, 1)).alias("marked"))
 
 
 @query(sql.AUC)
@@ -339,14 +434,30 @@ def evaluate_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.T_TEST)
 def evaluate_t_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two documents of 20 passages or more, by each feature."""
-    return rounded(ev.t_statistics(ev.least_passages(_long(spark, sf_dir), 20 * len(sql.FEATURES5))))
+    """Every two documents, whatever their number of passages, by each feature: rows grow with the square of the documents, as the comparison does."""
+    return rounded(ev.t_statistics(_long(spark, sf_dir)))
+
+
+@query(sql.SAME_DOCUMENT)
+def evaluate_same_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two samples of each document against each other."""
+    return rounded(ev.same_document(_long(spark, sf_dir)))
 
 
 @query()
-def evaluate_t_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two documents, whatever their number of passages, by each feature."""
-    return rounded(ev.t_statistics(_long(spark, sf_dir)))
+def evaluate_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ev.with_p_values(ev.same_document(_long(spark, sf_dir))))
+
+
+@query(sql.PAIRWISE)
+def evaluate_pairwise_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truths = _truth(spark, sf_dir).select("doc_id", "atom_num", F.col("truth").alias("actual"))
+    return rounded(ev.pairwise_aucs(_long(spark, sf_dir), truths, sql.FEATURES5))
+
+
+@query(sql.OVERLAPS)
+def evaluate_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.overlap_rows(_judged(spark, sf_dir).where("confidence > 0.2"), _spans(spark, sf_dir))
 
 
 @query(sql.LABEL_AUC)
@@ -492,3 +603,14 @@ def compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = sc.cluster(long, method).select("doc_id", "atom_num", F.lit(method).alias("method"), F.round("confidence", 9).alias("confidence"))
         scored = one if scored is None else scored.unionByName(one)
     return rounded(ev.auc(scored.join(_truth(spark, sf_dir).select("doc_id", "atom_num", F.col("truth").alias("actual")), ["doc_id", "atom_num"]), ["method"]))
+
+
+@query()
+def compare_methods_on_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The AUC of scoring methods on made-up passages whose plagiarised ones lie apart; reads no table."""
+    c = kept(cp.gaussian_clouds(prepare(spark), 90, 10, 3.0, dimensions=3, documents=20), "clouds")
+    scored = None
+    for method in ("outlier", "kmeans", "kmedians", "agglom"):
+        one = sc.cluster(c.drop("actual"), method).select("doc_id", "atom_num", F.lit(method).alias("method"), F.round("confidence", 9).alias("confidence"))
+        scored = one if scored is None else scored.unionByName(one)
+    return rounded(ev.auc(scored.join(c.select("doc_id", "atom_num", "actual").distinct(), ["doc_id", "atom_num"]), ["method"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,9 +101,27 @@ def trial_grid(spark: SparkSession, **values: list) -> DataFrame:
     return grid
 
 
+TRIAL = "corpus string, features array<string>, atom_type string, cluster_type string, k int, first_doc int, n int, min_len int, cheating boolean, documents bigint, roc_path string, auc double"
+
+
+def append_trial(spark: SparkSession, path: str, **figures: object) -> None:
+    """One run's settings and figures as a row of ``TRIAL``, with the time it was added; what isn't given is null."""
+    names = [x.split()[0] for x in TRIAL.split(", ")]
+    if unknown := set(figures) - set(names):
+        raise ValueError(f"no column of a trial: {', '.join(sorted(unknown))}")
+    append_results(spark.createDataFrame([tuple(figures.get(n) for n in names)], TRIAL), path)
+
+
+def feature_sets(features: list[str], sizes: list[int]) -> list[list[str]]:
+    """Every choice of each of the given sizes, for ``trial_grid``."""
+    return [list(c) for k in sizes for c in combinations(features, k)]
+
+
 def upsert(new: DataFrame, there: DataFrame, key: list[str]) -> DataFrame:
-    """``there`` and the rows of ``new`` whose key it lacks; of repeated new keys any one."""
-    return there.unionByName(new.dropDuplicates(key).join(there.select(*key), key, "left_anti").select(*there.columns))
+    """``there`` and the rows of ``new`` whose key it lacks; of repeated new keys the least row in order of the columns."""
+    rest = [c for c in there.columns if c not in key]
+    once = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, *(F.col(f"_r.`{c}`").alias(c) for c in rest)) if rest else new.select(*key).distinct()
+    return there.unionByName(once.join(there.select(*key), key, "left_anti").select(*there.columns))
 
 
 def passage_json(rows: DataFrame) -> DataFrame:
