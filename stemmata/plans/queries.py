@@ -550,7 +550,7 @@ def corpus_tag_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.tag_trigrams(docs(spark, sf_dir))
 
 
-@query()
+@query(sql.TAG_TRIGRAM_DOCS)
 def corpus_tag_trigram_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.tag_trigram_documents(docs(spark, sf_dir))
 

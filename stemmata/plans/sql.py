@@ -301,6 +301,7 @@ SELECT doc_id, has_plag FROM d QUALIFY row_number() OVER (PARTITION BY has_plag
 TAG_TRIGRAMS = f"""WITH {TEXTS}, {tokens()}, {SENTENCES}, sw AS (SELECT s.doc_id, s.num AS sent, w.num, w.w FROM sentences s JOIN words w ON s.doc_id = w.doc_id AND w.s < s.e AND w.e > s.s),
 g AS (SELECT doc_id, sent, num, {TAG} AS a FROM sw), t AS (SELECT doc_id, a || ',' || lead(a, 1) OVER o || ',' || lead(a, 2) OVER o AS trigram FROM g WINDOW o AS (PARTITION BY doc_id, sent ORDER BY num))
 SELECT trigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE trigram IS NOT NULL GROUP BY 1"""
+TAG_TRIGRAM_DOCS = TAG_TRIGRAMS.replace("SELECT trigram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE trigram IS NOT NULL GROUP BY 1", "SELECT trigram, doc_id, count(*) AS n FROM t WHERE trigram IS NOT NULL GROUP BY ALL")
 LABEL_AUC = f"""WITH {BASE}, {outlier()}, d AS (SELECT doc_id, max(confidence) AS confidence FROM scored GROUP BY 1), j AS (SELECT 1 - quality AS actual, round(confidence, 9) AS confidence FROM d JOIN labels USING (doc_id)) {auc('j')}"""
 
 TWO_LEVEL_PASSAGES = f"""WITH {TEXTS}, {_ATOM_HASHES}, {pairs('containment', 'ah', 'src', 'doc_id, atom_num', 'source_id')},

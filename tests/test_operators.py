@@ -321,7 +321,7 @@ def test_t_statistics_of_all_documents(spark, sf):
 
     long = queries._long(spark, sf).toPandas()
     groups = {k: g["value"].to_numpy() for k, g in long.groupby(["feature", "doc_id"])}
-    got = {(r.feature, r.doc_a, r.doc_b): r for r in queries.QUERIES["evaluate_t_statistics_all"](spark, sf).collect()}
+    got = {(r.feature, r.doc_a, r.doc_b): r for r in queries.QUERIES["evaluate_t_statistics"](spark, sf).collect()}
     pairs = [(f, a, b) for f, a in groups for g, b in groups if f == g and a < b]
     assert set(pairs) == set(got) and min(map(len, groups.values())) < 20
     for f, a, b in pairs[::97]:
