@@ -243,9 +243,12 @@ def _tag_trigrams(batches: Iterator[pa.RecordBatch], lexicon: lx.Lexicon) -> Ite
             chunk = style.Chunk(texts[at:end], "sentence", 0, words)
             lo, hi = chunk.touched("sentence", "word")
             _, i = style.expand(lo, np.maximum(hi - 2, lo))
-            tag, m = chunk.column("tag"), len(words.keys) + 1
+            # tags are numbered anew for each chunk: their numbers among all normal forms would overflow in the third power
+            used, tag = np.unique(chunk.column("tag"), return_inverse=True)
+            m = len(used)
             (kinds, count) = np.unique(((chunk.doc[i] * m + tag[i]) * m + tag[i + 1]) * m + tag[i + 2], return_counts=True) if len(i) else (i, i)
-            names = {k: x[4:] for x, k in words.keys.items() if x.startswith("tag ")}
+            keys = {k: x[4:] for x, k in words.keys.items() if x.startswith("tag ")}
+            names = [keys[k] for k in used.tolist()]
             trigrams = [",".join(names[int(k) // m**p % m] for p in (2, 1, 0)) for k in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(trigrams, pa.string()), pa.array([ids[at + int(k) // m**3] for k in kinds], pa.int64()), pa.array(count, pa.int64())], ["trigram", "doc_id", "n"])
             at = end
