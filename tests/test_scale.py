@@ -1,10 +1,13 @@
 """Steps whose memory, time or numbers once grew faster than their tables."""
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from stemmata.functions import lexicon as lx
 from stemmata.functions import style
-from stemmata.operators import features
+from stemmata.operators import features, fingerprints, search
+from stemmata.operators.atoms import atoms
 
 
 def test_tag_trigrams_of_a_worker_that_knows_many_words():
@@ -19,3 +22,45 @@ def test_tag_trigrams_of_a_worker_that_knows_many_words():
     finally:
         words.clear()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) >= 400
+
+
+def _corpus(spark):
+    rng = np.random.default_rng(8)
+    words = ["ab", "cde", "fghi", "ul", "xyzzy", "Q.", "n"]
+    text = lambda n: " ".join(rng.choice(words, n))
+    docs = [(k, text(int(rng.integers(0, 60)))) for k in range(30)] + [(3, text(50)), (3, text(20)), (4, text(30)), (None, "ab"), (40, None), (41, "")]
+    items = [(k, text(int(rng.integers(3, 12)))) for k in range(12)] + [(5, text(9))]
+    return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("limit", [0, search.BROADCAST_BYTES])
+def test_searches_of_texts_are_searches(spark, monkeypatch, limit):
+    """In the task that reads the texts or by joins: the rows of the joined search, repeated ids and all."""
+    docs, items = _corpus(spark)
+    span = 40  # so that hashes, 0 too, are shared by many
+    m = search.Method("winnow-k", 4, 6, "nchars", 40, span)
+    sources = fingerprints.fingerprints(items, "winnow-k", 4, 6, span=span)
+    prints, whole, pieces = m.prints(docs), fingerprints.fingerprints(docs, "winnow-k", 4, 6, span=span), atoms(docs, "nchars", 40)
+    rows = lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", limit)
+    for measure in search.SIMILARITIES:
+        assert rows(search.search_texts(docs, m, sources, measure)) == rows(search.search(prints, sources, measure, pieces))
+        assert rows(search.search_among_texts(sources, docs, m, measure)) == rows(search.search(sources, prints, measure))
+    short = pieces.where("end - start < 45")
+    assert rows(search.search_texts(docs, m, sources, least=45)) == rows(search.search(prints, sources, passages=pieces, short=short))
+    assert rows(search.two_level_texts(docs, m, sources, search_n=2)) == rows(search.two_level(whole, sources, prints, sources, search_n=2))
+    assert rows(search.two_level_texts(docs, m, sources, search_n=2, passages_first=True)) == rows(search.two_level(prints, sources, prints, sources, search_n=2, passages_first=True))
+
+
+def _shuffles(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_small_sides_are_not_met_by_a_shuffle(spark):
+    docs, items = _corpus(spark)
+    docs = docs.where("doc_id > 4")
+    m = search.Method("winnow-k", 4, 6, "nchars", 40)
+    sources = fingerprints.fingerprints(items, "winnow-k", 4, 6)
+    assert _shuffles(search.search_texts(docs, m, sources)) == 0
+    assert _shuffles(search.two_level_texts(docs, m, sources)) == 0
+    assert _shuffles(search.occurrences(docs, items.withColumnRenamed("doc_id", "item_id"))) == 0
