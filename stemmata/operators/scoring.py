@@ -1,16 +1,16 @@
 """Scores of passages within their own document, from (doc_id, atom_num, feature, value).
 
 ``outlier`` and ``median_simple`` are window functions: one shuffle by document serves all of them. The
-clusterings need a document's vectors together and run as grouped maps in numpy.
+clusterings need a document's vectors together and run in numpy over sorted batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,6 @@ from stemmata.functions.network import Network
 from stemmata.session import prepare
 
 IMPURITY, LEAST_PROB = 0.2, 1e-30
-SCORE = "doc_id bigint, atom_num int, confidence double"
 
 
 def outlier(long: DataFrame, ignore: int = 1, at_median: bool = False) -> DataFrame:
@@ -57,16 +56,55 @@ def vectors(long: DataFrame) -> DataFrame:
     return long.groupBy("doc_id", "atom_num").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda p: p["value"]).alias("vector"))
 
 
-def _by_document(long: DataFrame, how: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``how`` on each document's vectors, in order of its passages."""
+def _runs(batches: Iterator[pa.RecordBatch], hows: dict[str, Callable[[np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, atom_num, vector) in order to (doc_id, atom_num, a score by each of ``hows``); holds one document at a time."""
+    ids: list[int | None] = []
+    nums: list[int] = []
+    vectors: list[np.ndarray] = []
+    out: list[list] = [[], [], *([] for _ in hows)]
+
+    def score() -> None:
+        x = np.nan_to_num(np.stack(vectors).astype(float))
+        out[0] += ids
+        out[1] += nums
+        for column, how in zip(out[2:], hows.values()):
+            column.append(how(x))
+        ids.clear(), nums.clear(), vectors.clear()
+
+    def flush() -> pa.RecordBatch:
+        scores = [pa.array(np.concatenate([np.zeros(0), *c]), pa.float64()) for c in out[2:]]
+        done = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *scores], ["doc_id", "atom_num", *hows])
+        for c in out:
+            c.clear()
+        return done
+
+    for batch in batches:
+        v = batch.column(2)
+        flat, ends = v.values.to_numpy(zero_copy_only=False), v.offsets.to_pylist()
+        for doc, num, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, ends[1:]):
+            if ids and doc != ids[-1]:
+                score()
+            ids.append(doc), nums.append(num), vectors.append(flat[a:b])
+        if out[0]:
+            yield flush()
+    if ids:
+        score()
+        yield flush()
+
+
+def _by_document(long: DataFrame, hows: dict[str, Callable[[np.ndarray], np.ndarray]]) -> DataFrame:
+    """Each of ``hows`` on each document's vectors, in order of its passages: one shuffle by document, one pass over Arrow batches of many of them."""
+    prepare(long.sparkSession)
+    ordered = vectors(long.repartition("doc_id")).sortWithinPartitions("doc_id", "atom_num")
+    return ordered.mapInArrow(partial(_runs, hows=hows), ", ".join(["doc_id bigint, atom_num int", *(f"{name} double" for name in hows)]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("atom_num", kind="stable")
-        x = np.nan_to_num(np.stack(pdf["vector"].to_numpy()).astype(float))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "atom_num": pdf["atom_num"].to_numpy(), "confidence": how(x)})
 
-    prepare(long.sparkSession)
-    return vectors(long).groupBy("doc_id").applyInPandas(run, SCORE)
+def clusters(long: DataFrame, methods: list[str], k: int = 2) -> DataFrame:
+    """(doc_id, atom_num, a column for each of ``methods``): clusterings and the hidden Markov model, all in one pass."""
+    for method in methods:
+        if method not in cl.METHODS:
+            raise ValueError(f"unknown method {method!r}; one of {', '.join(cl.METHODS)}")
+    return _by_document(long, {m: partial(cl.METHODS[m], k=k) for m in methods})
 
 
 def cluster(long: DataFrame, method: str, k: int = 2, **how: object) -> DataFrame:
@@ -77,12 +115,12 @@ def cluster(long: DataFrame, method: str, k: int = 2, **how: object) -> DataFram
         return median_simple(long).select("doc_id", "atom_num", "confidence")
     if method not in cl.METHODS:
         raise ValueError(f"unknown method {method!r}; one of outlier, median_simple, {', '.join(cl.METHODS)}")
-    return _by_document(long, partial(cl.METHODS[method], k=k, **how))
+    return _by_document(long, {"confidence": partial(cl.METHODS[method], k=k, **how)})
 
 
 def combine_confidences(long: DataFrame, weights: list[float]) -> DataFrame:
     """One k-means score for each feature (in order of names), added with weights."""
-    return _by_document(long, partial(cl.score_combined, weights=np.array(weights)))
+    return _by_document(long, {"confidence": partial(cl.score_combined, weights=np.array(weights))})
 
 
 def network_confidences(long: DataFrame, network: Network) -> DataFrame:

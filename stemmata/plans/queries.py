@@ -595,11 +595,11 @@ def model_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The AUC of each scoring method against the same truth."""
     long = kept(_long(spark, sf_dir), "vectors")
-    scored = None
-    for method in ("outlier", "kmeans", "kmedians", "agglom", "hmm"):
-        one = sc.cluster(long, method).select("doc_id", "atom_num", F.lit(method).alias("method"), F.round("confidence", 9).alias("confidence"))
-        scored = one if scored is None else scored.unionByName(one)
-    return rounded(ev.auc(scored.join(_truth(spark, sf_dir).select("doc_id", "atom_num", F.col("truth").alias("actual")), ["doc_id", "atom_num"]), ["method"]))
+    methods = ["kmeans", "kmedians", "agglom", "hmm"]
+    scored = sc.clusters(long, methods).join(sc.outlier(long).withColumnRenamed("confidence", "outlier"), ["doc_id", "atom_num"])
+    judged = scored.join(_truth(spark, sf_dir).select("doc_id", "atom_num", F.col("truth").alias("actual")), ["doc_id", "atom_num"])
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.round(m, 9).alias("confidence")) for m in ["outlier", *methods])))
+    return rounded(ev.auc(judged.select("actual", each.alias("s")).select("actual", "s.method", "s.confidence"), ["method"]))
 
 
 @query()

@@ -5,8 +5,8 @@ import pyarrow as pa
 import pytest
 
 from stemmata.functions import lexicon as lx
-from stemmata.functions import style
-from stemmata.operators import features, fingerprints, search
+from stemmata.functions import cluster, style
+from stemmata.operators import features, fingerprints, scoring, search
 from stemmata.operators.atoms import atoms
 
 
@@ -64,3 +64,35 @@ def test_small_sides_are_not_met_by_a_shuffle(spark):
     assert _shuffles(search.search_texts(docs, m, sources)) == 0
     assert _shuffles(search.two_level_texts(docs, m, sources)) == 0
     assert _shuffles(search.occurrences(docs, items.withColumnRenamed("doc_id", "item_id"))) == 0
+
+
+def test_clusterings_of_many_documents_in_one_shuffle(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, a, f, float(rng.integers(0, 5))) for d in range(40) for a in range(int(rng.integers(1, 12))) for f in ("x", "y")]
+    rng.shuffle(rows)
+    long = spark.createDataFrame([(int(d), int(a), str(f), float(v)) for d, a, f, v in rows], "doc_id bigint, atom_num int, feature string, value double")
+    methods = ["kmeans", "kmedians", "agglom", "hmm"]
+    got = scoring.clusters(long, methods)
+    assert _shuffles(got) == 1
+    by = {(r.doc_id, r.atom_num): r for r in got.collect()}
+    held = {(int(d), int(a), str(f)): float(v) for d, a, f, v in rows}
+    assert len(by) == len(held) // 2
+    for d in range(40):
+        n = sum(k[0] == d for k in by)
+        x = np.array([[held[d, a, f] for f in ("x", "y")] for a in range(n)])
+        for m in methods:
+            assert [by[d, a][m] for a in range(n)] == cluster.METHODS[m](x).tolist()
+    one = scoring.cluster(long, "hmm")
+    assert {(r.doc_id, r.atom_num): r.confidence for r in one.collect()} == {k: r.hmm for k, r in by.items()}
+
+
+def test_two_states_as_many():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 30):
+        emit = np.round(rng.normal(size=(n, 2)), 1)  # rounded: ties occur
+        path, likely = cluster.viterbi(emit, cluster.STAY, np.log(np.full(2, 0.5)))
+        wide = np.column_stack([emit, np.full(n, -1e9)])  # a third state that is never taken goes the general way
+        move = np.full((3, 3), -1e9)
+        move[:2, :2] = cluster.STAY
+        path3, likely3 = cluster.viterbi(wide, move, np.log(np.array([0.5, 0.5, 1e-300])))
+        assert path.tolist() == path3.tolist() and likely == likely3
