@@ -1,20 +1,23 @@
 """Learned combinations of features: regression, selection, evolved weights and formulas, a small network.
 
-The searches run on the driver, but every candidate of a round is scored by one job: candidates are exploded beside
-each passage and their AUCs are one grouped aggregate.
+The searches run on the driver, but all candidates of a round are scored by one job.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.functions.network import Network, train
 from stemmata.operators.evaluate import auc
+from stemmata.session import BROADCAST_BYTES, Scratch
 
 MAX_TRAIN_ROWS = 20_000
 
@@ -44,12 +47,54 @@ def logistic_scores(model, table: DataFrame) -> DataFrame:
     return model.transform(table).withColumn("confidence", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", "_w")
 
 
-def _aucs(table: DataFrame, values: list) -> list[float]:
-    """The AUC of each expression over ``table(actual, ...)`` in one job; 0.5 where it is undefined."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.cast("double").alias("confidence")) for k, v in enumerate(values))))
-    scored = table.select("actual", each.alias("c")).select("actual", "c.k", F.coalesce(F.nanvl("c.confidence", F.lit(0.0)), F.lit(0.0)).alias("confidence"))
-    found = {r["k"]: r["auc"] for r in auc(scored, ["k"]).collect()}  # a row for each candidate
-    return [found.get(k) if found.get(k) is not None else 0.5 for k in range(len(values))]
+def _plain(v: Column) -> Column:
+    return F.coalesce(F.nanvl(v.cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def _won(batches: Iterator[pa.RecordBatch], few: Broadcast, positive: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of one class to twice the pairs that the positive side wins against the sorted values of the other, by candidate; ``positive`` says which class ``few`` is."""
+    total = [0] * len(few.value)
+    for batch in batches:
+        for k, own in enumerate(few.value):
+            x = batch.column(k).to_numpy(zero_copy_only=False)
+            both = int((np.searchsorted(own, x, "left") + np.searchsorted(own, x, "right")).sum())
+            total[k] += 2 * len(own) * len(x) - both if positive else both
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], ["k", "won"])
+
+
+class _Judge:
+    """AUCs of expressions over ``table(actual, ...)``, one job for all of a round; 0.5 where they are undefined.
+
+    The rarer class, written once, goes to every task sorted by each expression where it is small (32 MB): each row of the other
+    is placed in it, and nothing is shuffled or sorted as a whole. The figures are those of ``evaluate.auc`` to the last bit.
+    """
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        found = {r["actual"]: r["n"] for r in table.groupBy("actual").agg(F.count("*").alias("n")).collect()}
+        self.count = [found.get(0, 0), found.get(1, 0)]
+        self.rare = int(self.count[1] <= self.count[0])
+        self.few = Scratch(table.sparkSession, "rare").keep(table.where(F.col("actual") == self.rare).coalesce(8), "table")
+
+    def aucs(self, values: list[Column]) -> list[float]:
+        if not min(self.count):
+            return [0.5] * len(values)
+        if self.count[self.rare] * 8 * len(values) > BROADCAST_BYTES:
+            return self.by_sorting(values)
+        made = [_plain(v).alias(f"v{k}") for k, v in enumerate(values)]
+        rare = self.few.select(*made).toPandas()
+        few = self.table.sparkSession.sparkContext.broadcast([np.sort(rare[c].to_numpy(np.float64)) for c in rare])
+        rest = self.table.where(F.col("actual") == 1 - self.rare).select(*made)
+        won = rest.mapInArrow(partial(_won, few=few, positive=self.rare == 1), "k int, won bigint").groupBy("k").agg(F.sum("won").alias("won")).collect()
+        few.destroy()
+        by = {r["k"]: r["won"] / 2 / (self.count[0] * self.count[1]) for r in won}
+        return [by[k] for k in range(len(values))]
+
+    def by_sorting(self, values: list[Column]) -> list[float]:
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.cast("double").alias("confidence")) for k, v in enumerate(values))))
+        scored = self.table.select("actual", each.alias("c")).select("actual", "c.k", _plain(F.col("c.confidence")).alias("confidence"))
+        found = {r["k"]: r["auc"] for r in auc(scored, ["k"]).collect()}  # a row for each candidate
+        return [found.get(k) if found.get(k) is not None else 0.5 for k in range(len(values))]
 
 
 def _weighted(features: list[str], weights: list[float]):
@@ -60,10 +105,10 @@ def _weighted(features: list[str], weights: list[float]):
 def stepwise(table: DataFrame, features: list[str]) -> list[tuple[str, float]]:
     """Greedy selection: always the feature that, added to the mean of those chosen, gives the best AUC, while it grows."""
     chosen: list[tuple[str, float]] = []
-    left = list(features)
+    left, judge = list(features), _Judge(table)
     while left:
         names = [f for f, _ in chosen]
-        scores = _aucs(table, [_weighted([*names, f], [1.0] * (len(names) + 1)) for f in left])
+        scores = judge.aucs([_weighted([*names, f], [1.0] * (len(names) + 1)) for f in left])
         best = int(np.argmax(scores))
         if chosen and scores[best] <= chosen[-1][1]:
             break
@@ -76,8 +121,11 @@ def evolve_weights(table: DataFrame, features: list[str], population: int = 12,
     rng = random.Random(seed)
     pool = [[rng.uniform(0, top) for _ in features] for _ in range(population)]
     best: tuple[list[float], float] = (pool[0], -1.0)
+    judge, known = _Judge(table), {}
     for _ in range(generations):
-        scores = _aucs(table, [_weighted(features, w) for w in pool])
+        new = [w for w in pool if tuple(w) not in known]  # parents have been judged
+        known |= {tuple(w): a for w, a in zip(new, judge.aucs([_weighted(features, w) for w in new]))} if new else {}
+        scores = [known[tuple(w)] for w in pool]
         order = sorted(range(len(pool)), key=lambda k: -scores[k])
         if scores[order[0]] > best[1]:
             best = (pool[order[0]], scores[order[0]])
@@ -136,11 +184,12 @@ def evolve_formula(table: DataFrame, features: list[str], population: int = 10,
 
     pool = [grow(depth) for _ in range(population)]
     scored: list[tuple[float, Formula]] = []
+    judge = _Judge(table)
     for _ in range(generations):
         bred = [swap(rng.choice(pool), depth, (lambda d, o=rng.choice(pool): part(o, d)) if rng.random() < 0.7 else grow) for _ in range(children)]
         new = [f for f in [*pool, *bred] if f not in [g for _, g in scored]]
         finite = [F.when(F.abs(F.expr(formula_sql(f))) < 1e255, F.expr(formula_sql(f))).otherwise(1e255) for f in new]
-        scored += zip(_aucs(table, finite), new) if new else []
+        scored += zip(judge.aucs(finite), new) if new else []
         scored = sorted(scored, key=lambda s: -s[0])[:population]
         pool = [f for _, f in scored]
     return scored[0][1], scored[0][0]
