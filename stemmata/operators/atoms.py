@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.functions import tokenize as tk
-from stemmata.session import prepare
+from stemmata.session import Scratch, prepare, small
 
 ROWS = 1 << 16
 ATOM = "doc_id bigint, atom_num int, start int, end int, text string"
@@ -24,6 +24,17 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_replace("text", "^\ufeff", "").alias("text"))
 
 
+def by_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The documents whose id no other row has, and those whose id is repeated, whose hashes count together; None if there are none."""
+    d = documents(docs)
+    again = Scratch(docs.sparkSession, "repeats").keep(d.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "table")
+    rows = again.count()
+    if not rows:
+        return d, None
+    again = small(again, rows, 40)
+    return d.join(again, "doc_id", "left_anti"), d.join(again, "doc_id", "left_semi")
+
+
 def _emit(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
     fields = [f.split() for f in schema.split(", ")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stemmata.functions import fingerprint as fp
 from stemmata.functions import tokenize as tk
-from stemmata.operators.atoms import documents
+from stemmata.operators.atoms import by_repeats, documents
 
 HASHES = "doc_id bigint, atom_num int, hash_value bigint"
 GRAMS = "doc_id bigint, atom_num int, gram string"
@@ -51,6 +52,39 @@ def chosen_grams(docs: DataFrame, method: str, n: int, k: int = 0, atom: str = "
     return documents(docs).mapInArrow(partial(_prints, atom=atom, size=size, method=method, n=n, k=k, span=0, strings=True), GRAMS)
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch], method: str, n: int, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total: Counter[str] = Counter()
+        docs: Counter[str] = Counter()
+        for text in batch.column(1).to_pylist():
+            own = fp.grams(text, method, n, k)
+            total.update(own)
+            docs.update(set(own))
+            if len(total) > 1 << 18:
+                yield _counted(total, docs)
+                total.clear(), docs.clear()
+        yield _counted(total, docs)
+
+
+def _counted(total: Counter[str], docs: Counter[str]) -> pa.RecordBatch:
+    grams = list(total)
+    return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([total[g] for g in grams], pa.int64()), pa.array([docs[g] for g in grams], pa.int64())], ["gram", "n", "docs"])
+
+
+def gram_counts(docs: DataFrame, method: str, n: int, k: int = 0) -> DataFrame:
+    """(gram, n, docs): how often each chosen n-gram of whole texts occurs, and in how many documents; rows that repeat an id are one document.
+
+    Counted in the task that reads the texts, so one shuffle of counts by gram is all; only repeated ids are counted by (gram, doc_id) first.
+    """
+    fp.grams("", method, n, k)
+    alone, again = by_repeats(docs)
+    counts = alone.mapInArrow(partial(_gram_counts, method=method, n=n, k=k), "gram string, n bigint, docs bigint")
+    if again is not None:
+        per = chosen_grams(again, method, n, k).groupBy("gram", "doc_id").agg(F.count("*").alias("n"))
+        counts = counts.unionByName(per.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+    return counts.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def _digrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(27 * 27, np.int64)
     place = np.full(256, 26, np.int64)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from stemmata.functions import fingerprint as fp
 from stemmata.functions import tokenize as tk
 from stemmata.functions.fingerprint import WIDE
-from stemmata.operators.atoms import documents
+from stemmata.operators.atoms import atoms, by_repeats, documents
 from stemmata.operators.fingerprints import fingerprints
 from stemmata.session import BROADCAST_BYTES, Scratch, small
 
@@ -284,17 +284,6 @@ def _sources(batches: Iterator[pa.RecordBatch], m: Method, index: Broadcast, mea
         yield _found([index.ids[w], index.nums[w], s0[w], a0[w], n0[w], c0[w]])
 
 
-def _by_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The documents whose id no other row has, and those whose id is repeated, whose hashes count together; None if there are none."""
-    d = documents(docs)
-    again = Scratch(docs.sparkSession, "repeats").keep(d.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "table")
-    rows = again.count()
-    if not rows:
-        return d, None
-    again = small(again, rows, 40)
-    return d.join(again, "doc_id", "left_anti"), d.join(again, "doc_id", "left_semi")
-
-
 def search_texts(docs: DataFrame, method: Method, sources: DataFrame, measure: str = "containment", least: int = 0) -> DataFrame:
     """As ``search`` of all passages of ``docs(doc_id, text)``; those under ``least`` characters are not judged.
 
@@ -302,14 +291,12 @@ def search_texts(docs: DataFrame, method: Method, sources: DataFrame, measure: s
     """
     similarity(measure, F.lit(1), F.lit(1), F.lit(1))
     rows, index = _index(sources)
-    alone, again = _by_repeats(docs) if index is not None else (None, docs)
+    alone, again = by_repeats(docs) if index is not None else (None, docs)
     out = None
     if alone is not None:
         out = alone.mapInArrow(partial(_suspects, m=method, index=index, measure=measure, least=least, all_passages=True, first="", search_n=0), FOUND)
         out = out.select(*S, F.lit(1).alias("rank"), *R, "shared", "confidence")
     if again is not None:
-        from stemmata.operators.atoms import atoms
-
         pieces = atoms(again, method.atom, method.size).select(*S, "start", "end")
         slow = search(method.prints(again), rows, measure, pieces, short=pieces.where(F.col("end") - F.col("start") < least) if least else None)
         out = slow if out is None else out.unionByName(slow)
@@ -325,7 +312,7 @@ def search_among_texts(suspects: DataFrame, docs: DataFrame, method: Method, mea
     rows, index = _index(suspects)
     if index is None:
         return search(rows, method.prints(docs), measure)
-    alone, again = _by_repeats(docs)
+    alone, again = by_repeats(docs)
     found = alone.mapInArrow(partial(_sources, m=method, index=index, measure=measure), FOUND)
     return best(found if again is None else found.unionByName(candidates(rows, method.prints(again), measure)), rows)
 
@@ -334,7 +321,7 @@ def two_level_texts(docs: DataFrame, method: Method, sources: DataFrame, measure
     """As ``two_level`` of the passages of ``docs(doc_id, text)``, whole sources and their passages being the same."""
     similarity(measure, F.lit(1), F.lit(1), F.lit(1))
     rows, index = _index(sources)
-    alone, again = _by_repeats(docs) if index is not None else (None, docs)
+    alone, again = by_repeats(docs) if index is not None else (None, docs)
     out = None
     if alone is not None:
         out = alone.mapInArrow(partial(_suspects, m=method, index=index, measure=measure, least=0, all_passages=False, first="passage" if passages_first else "document", search_n=search_n), FOUND)

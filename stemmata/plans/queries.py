@@ -206,7 +206,7 @@ def fingerprints_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.FULL)
 def fingerprints_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fpr.chosen_grams(docs(spark, sf_dir), "full", 5).groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return fpr.gram_counts(docs(spark, sf_dir), "full", 5)
 
 
 @query(sql.KTH)

@@ -3,10 +3,11 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stemmata.functions import lexicon as lx
 from stemmata.functions import cluster, style
-from stemmata.operators import features, fingerprints, scoring, search
+from stemmata.operators import evaluate, features, fingerprints, models, scoring, search
 from stemmata.operators.atoms import atoms
 
 
@@ -96,3 +97,31 @@ def test_two_states_as_many():
         move[:2, :2] = cluster.STAY
         path3, likely3 = cluster.viterbi(wide, move, np.log(np.array([0.5, 0.5, 1e-300])))
         assert path.tolist() == path3.tolist() and likely == likely3
+
+
+def test_t_statistics_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    long = spark.createDataFrame([(d, a, f, float(rng.integers(0, 9))) for d in range(23) for a in range(3) for f in ("x", "y")], "doc_id bigint, atom_num int, feature string, value double")
+    rows = lambda df: sorted(map(str, df.collect()))
+    one, many = evaluate.t_statistics(long), evaluate.t_statistics(long, block=4)
+    assert rows(one) == rows(many) and many.count() == 2 * 23 * 22 // 2
+    assert "hashpartitioning(feature" in many._jdf.queryExecution().executedPlan().toString() and ", i#" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_are_counted_in_one_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b c d a b c"), (2, "b c d"), (2, "b c d e"), (3, "a b c"), (None, "a b c"), (4, None), (5, "")], "doc_id bigint, text string")
+    old = fingerprints.chosen_grams(docs, "full", 3).groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    assert sorted(map(str, fingerprints.gram_counts(docs, "full", 3).collect())) == sorted(map(str, old.collect()))
+    assert _shuffles(fingerprints.gram_counts(docs.where("doc_id <> 2"), "full", 3)) == 1
+
+
+def test_aucs_of_a_round_without_a_shuffle_of_passages(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.random() < share), float(rng.integers(0, 6)), None if rng.random() < 0.1 else float(rng.normal())) for share in (0.2, 0.8) for _ in range(150)]
+    columns = [F.col("x"), F.col("y"), F.col("x") * 2 - F.col("y"), F.lit(1.0)]
+    for some in (rows[:150], rows[150:], [r for r in rows if r[0]]):
+        judge = models._Judge(spark.createDataFrame(some, "actual int, x double, y double"))
+        assert judge.aucs(columns) == judge.by_sorting(columns)
+    monkeypatch.setattr(models._Judge, "by_sorting", lambda *_: 1 / 0)
+    t = spark.createDataFrame(rows, "actual int, x double, y double")
+    assert len(models.evolve_weights(t, ["x", "y"], population=4, generations=3)[0]) == 2
