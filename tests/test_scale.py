@@ -125,3 +125,18 @@ def test_aucs_of_a_round_without_a_shuffle_of_passages(spark, monkeypatch):
     monkeypatch.setattr(models._Judge, "by_sorting", lambda *_: 1 / 0)
     t = spark.createDataFrame(rows, "actual int, x double, y double")
     assert len(models.evolve_weights(t, ["x", "y"], population=4, generations=3)[0]) == 2
+
+
+def test_background_as_digests(spark, monkeypatch):
+    """The classes of the table of words, of that of digests and of the join are alike; digests take no shuffle by document."""
+    rng = np.random.default_rng(10)
+    words = [f"w{int(k)}" for k in rng.zipf(1.5, 4000) % 1500]
+    docs = spark.createDataFrame([(d, " ".join(words[d * 100 : d * 100 + 100]) + " once%d ." % d) for d in range(40)], "doc_id bigint, text string")
+    name = ["avg_external_word_freq_class", "std(avg_external_word_freq_class)"]
+    made = lambda: features.features(docs, name)
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(made())
+    monkeypatch.setattr(features, "BROADCAST_BYTES", 4000)
+    assert _shuffles(made()) == 0 and rows(made()) == want
+    monkeypatch.setattr(features, "BROADCAST_BYTES", 0)
+    assert _shuffles(made()) > 0 and rows(made()) == want
