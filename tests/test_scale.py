@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stemmata.functions import lexicon as lx
 from stemmata.functions import cluster, style
+from stemmata.functions import fingerprint as fp
+from stemmata.functions import tokenize as tk
 from stemmata.operators import evaluate, features, fingerprints, models, scoring, search
 from stemmata.operators.atoms import atoms
 
@@ -140,3 +142,41 @@ def test_background_as_digests(spark, monkeypatch):
     assert _shuffles(made()) == 0 and rows(made()) == want
     monkeypatch.setattr(features, "BROADCAST_BYTES", 0)
     assert _shuffles(made()) > 0 and rows(made()) == want
+
+
+def test_pieces_of_many_texts_are_winnowed_together():
+    rng = np.random.default_rng(11)
+    words = ["ab", "cde.", "Fghi", "ul", "xyzzy", "-", "n", "é", "😀", "..."]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 90)))) for _ in range(60)]
+    texts += ["", "...", "ΑΣ ΟΔΟΣ. " * 20, "İstanbul abcdefghijkl " * 9, "\U0010ffff" + "abcdefghijklmn" * 9]  # a sigma's lower case depends on what follows; one letter becomes two; bits don't suffice
+    for n, k, span, size in ((8, 13, fp.WIDE, 50), (4, 6, 40, 40), (1, 1, 40, 40), (3, 3, fp.SPAN, 70), (8, 13, fp.SPAN, 10**9)):
+        cuts = [tk.nchars(t, size) for t in texts]
+        owner, hashes = fp.winnowed(texts, cuts, n, k, span)
+        assert (np.diff(owner) >= 0).all()
+        want = [fp.fingerprint(t[a:b], "winnow-k", n, k, span) for t, c in zip(texts, cuts) for a, b in c]
+        assert [np.unique(hashes[owner == j]).tolist() for j in range(len(want))] == want
+
+
+def test_passages_are_not_hashed_and_met_one_by_one(spark, monkeypatch):
+    """Sources that say the same are met once, and blocks of meetings change nothing."""
+    docs, items = _corpus(spark)
+    docs = docs.where("doc_id > 4")
+    m = search.Method("winnow-k", 4, 6, "nchars", 40, 40)
+    again = items.where("doc_id <> 5").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    sources = fingerprints.fingerprints(again.select((F.col("doc_id") + 100 * F.col("k")).alias("doc_id"), "text"), "winnow-k", 4, 6, span=40)
+    prints, rows = m.prints(docs), lambda df: sorted(map(str, df.collect()))
+    want = rows(search.two_level(prints, sources, prints, sources, search_n=3, passages_first=True))
+    assert len(search._index(sources)[1].value.ids) == 20 * len(search._index(sources, 1)[1].value.ids)
+    assert len(search._index(sources, 3)[1].value.ids) == 3 * len(search._index(sources, 1)[1].value.ids)
+    several = sources.withColumn("atom_num", F.col("doc_id").cast("int")).withColumn("doc_id", F.lit(1).cast("bigint"))
+    assert len(search._index(several, 3, by_id=True)[1].value.ids) == len(search._index(several)[1].value.ids)
+    assert rows(search.two_level_texts(docs, m, sources, search_n=3, passages_first=True)) == want
+    index = search._index(sources, 3)[1]
+    batch = docs.where("text IS NOT NULL").toArrow().to_batches()
+    monkeypatch.setattr(search.fp, "fingerprint", lambda *_: 1 / 0)
+    for first in ("", "document", "passage"):
+        found = []
+        for pairs in (1 << 20, 1, 7):
+            monkeypatch.setattr(search, "PAIRS", pairs)
+            found.append([b.to_pylist() for b in search._suspects(iter(batch), m, index, "jaccard", 0, True, first, 3)])
+        assert found[0] == found[1] == found[2]
