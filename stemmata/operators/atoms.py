@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemmata.functions import tokenize as tk
-from stemmata.session import Scratch, prepare, small
+from stemmata.session import BROADCAST_BYTES, Scratch, prepare, small
 
 ROWS = 1 << 16
+SIDE_BY_SIDE = 4 << 20  # characters of one id that a task may hold
 ATOM = "doc_id bigint, atom_num int, start int, end int, text string"
 UNIT = "doc_id bigint, atom_num int, via_num int, unit_num int, start int, end int, text string"
 
@@ -24,17 +25,44 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_replace("text", "^\ufeff", "").alias("text"))
 
 
-def by_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The documents whose id no other row has, and those whose id is repeated, whose hashes count together; None if there are none."""
+def _repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The documents, and the ids that several of them have, with their number."""
     d = documents(docs)
     again = Scratch(docs.sparkSession, "repeats").keep(d.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "table")
-    rows = again.count()
+    return d, again, again.count()
+
+
+def by_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The documents whose id no other row has, and those whose id is repeated, whose hashes count together; None if there are none."""
+    d, again, rows = _repeated(docs)
     if not rows:
         return d, None
     again = small(again, rows, 40)
     return d.join(again, "doc_id", "left_anti"), d.join(again, "doc_id", "left_semi")
 
 
+def side_by_side(docs: DataFrame, most: int = SIDE_BY_SIDE) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """As ``by_repeats``, but the rows of a repeated id follow each other in one task: their texts are shuffled once, not their hashes.
+
+    Third are the rows of ids with over ``most`` characters in all, which no task should hold. Where the repeated ids are too many for a
+    broadcast, the second has all other rows and the first none. None where there are none.
+    """
+    d, again, rows = _repeated(docs)
+    if not rows:
+        return d, None, None
+    sizes = d.groupBy("doc_id").agg(F.count("*").alias("_n"), F.sum(F.length("text").cast("bigint")).alias("_chars")).where(f"_n > 1 AND _chars > {most}")
+    large = Scratch(docs.sparkSession, "large").keep(sizes.select("doc_id"), "table")
+    count, vast = large.count(), None
+    if count:
+        large = small(large, count, 40)
+        d, vast = d.join(large, "doc_id", "left_anti"), d.join(large, "doc_id", "left_semi")
+    alone, together = None, d
+    if rows * 40 <= BROADCAST_BYTES:
+        alone, together = (d.join(F.broadcast(again), "doc_id", how) for how in ("left_anti", "left_semi"))
+    # by a hash of the id: a shuffle by the id itself could be left out after a join, whose skewed partitions may be split
+    return alone, together.repartition(F.xxhash64("doc_id")).sortWithinPartitions("doc_id"), vast
+
+
 def _emit(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
     fields = [f.split() for f in schema.split(", ")]

@@ -9,7 +9,9 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import ahocorasick
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from stemmata.functions import fingerprint as fp
 from stemmata.functions import tokenize as tk
 from stemmata.functions.fingerprint import WIDE
-from stemmata.operators.atoms import atoms, by_repeats, documents
+from stemmata.operators.atoms import atoms, documents, side_by_side
 from stemmata.operators.fingerprints import fingerprints
 from stemmata.session import BROADCAST_BYTES, Scratch, small
 
@@ -316,35 +318,48 @@ def _suspects(batches: Iterator[pa.RecordBatch], m: Method, index: Broadcast, me
     sieve = index.sieve()
     # sources by number, so that a suspect and a source make one key
     number = np.cumsum(np.append(0, np.diff(index.ids) != 0)) if len(index.ids) else index.ids
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and size <= CHUNK:
-                size += len(texts[end])
-                end += 1
-            yield _best_sources(ids[at:end], texts[at:end], m, index, sieve, number, measure, least, all_passages, first, search_n)
-            at = end
+    ids, texts, size = [], [], 0
+    for doc, own in _by_id(batches):
+        ids += [doc] * len(own)
+        texts += own
+        size += sum(map(len, own))
+        if size > CHUNK:
+            yield _best_sources(ids, texts, m, index, sieve, number, measure, least, all_passages, first, search_n)
+            ids, texts, size = [], [], 0
+    if ids:
+        yield _best_sources(ids, texts, m, index, sieve, number, measure, least, all_passages, first, search_n)
+
+
+def _by_id(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str]]]:
+    """Each id of rows (doc_id, text) with its texts; rows of an id follow each other."""
+    rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    for doc, own in groupby(rows, itemgetter(0)):
+        yield doc, [text for _, text in own]
 
 
 def _best_sources(ids: list[int], texts: list[str], m: Method, index: _Index, sieve: np.ndarray, number: np.ndarray, measure: str, least: int, all_passages: bool, first: str, search_n: int) -> pa.RecordBatch:
-    """``_suspects`` of some texts: all of their passages are counted together."""
+    """``_suspects`` of some texts: all of their passages are counted together; those of one id and number are one passage."""
     cuts = [tk.tokenize(t, m.atom, m.size) for t in texts]
     per = np.array([len(c) for c in cuts], np.int64)
-    total, doc = int(per.sum()), np.repeat(np.arange(len(per)), per)
+    names, place = np.unique(np.array(ids, np.int64), return_inverse=True)
+    num = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    piece = np.repeat(place, per) * (per.max() + 1) + num
+    _, at, passage = np.unique(piece, return_index=True, return_inverse=True)
+    total, doc, num = len(at), np.repeat(place, per)[at], num[at]
     owner, hashes = _prints(texts, cuts, m)
+    owner = passage[owner]
     out = [np.zeros(total, np.int64) for _ in range(4)]
     found, value = np.zeros(total, bool), np.zeros(total)
     own, at = index.hits(sieve, owner, hashes)
     if least:
-        long = np.array([b - a >= least for c in cuts for a, b in c], bool)
+        long = np.ones(total, bool)
+        long[passage[np.array([b - a < least for c in cuts for a, b in c], bool)]] = False
         own, at = own[long[own]], at[long[own]]
     held = np.zeros(total, bool)
     held[own] = True
     sizes, zero = _sizes(owner, hashes, held), np.zeros(total, np.int64)
     zero[owner[hashes == 0]] = 1
-    chosen = _chosen(texts, m, index, sieve, number, search_n) if first == "document" else None
+    chosen = _chosen(texts, place, m, index, sieve, number, search_n) if first == "document" else None
     for who, holder, n in index.pairs(own, at):
         n = n + zero[who] * index.zeros[holder]
         if chosen is not None:
@@ -365,20 +380,20 @@ def _best_sources(ids: list[int], texts: list[str], m: Method, index: _Index, si
         for col, v in zip(out, (index.ids[holder[best]], index.nums[holder[best]], n[best])):
             col[w] = v
     shown = np.flatnonzero(np.ones(total, bool) if all_passages else np.bincount(owner, minlength=total) > 0)
-    num = np.arange(total) - np.repeat(np.cumsum(per) - per, per)
     none = ~found[shown]
-    cols = [np.array(ids, np.int64)[doc[shown]], num[shown], *(pa.array(c[shown], t, mask=none) for c, t in zip(out, (pa.int64(), pa.int32()))), out[2][shown], value[shown]]
+    cols = [names[doc[shown]], num[shown], *(pa.array(c[shown], t, mask=none) for c, t in zip(out, (pa.int64(), pa.int32()))), out[2][shown], value[shown]]
     return _found(cols)
 
 
-def _chosen(texts: list[str], m: Method, index: _Index, sieve: np.ndarray, number: np.ndarray, search_n: int) -> np.ndarray:
-    """The sources of the ``search_n`` passages that hold most of each text: its place times all sources, plus the source's number."""
+def _chosen(texts: list[str], place: np.ndarray, m: Method, index: _Index, sieve: np.ndarray, number: np.ndarray, search_n: int) -> np.ndarray:
+    """The sources of the ``search_n`` passages that hold most of the texts of each ``place``: it times all sources, plus the source's number."""
     owner, hashes = _prints(texts, [[(0, len(t))] for t in texts], m)
+    owner = place[owner]
     zero = np.zeros(len(texts), np.int64)
     zero[owner[hashes == 0]] = 1
     out = [np.zeros(0, np.int64)]
     for who, holder, n in index.pairs(*index.hits(sieve, owner, hashes)):
-        # all are divided by the size of the same text
+        # all are divided by the size of the same texts
         order, rank = _ranks(who, n + zero[who] * index.zeros[holder], index.ids[holder])
         top = order[rank < search_n]
         out.append(np.unique(who[top] * len(number) + number[holder[top]]))
@@ -386,22 +401,23 @@ def _chosen(texts: list[str], m: Method, index: _Index, sieve: np.ndarray, numbe
 
 
 def _sources(batches: Iterator[pa.RecordBatch], m: Method, index: Broadcast, measure: str) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) of sources to the best of each batch for each passage of the index."""
+    """Rows (doc_id, text) of sources to the best of them for each passage of the index."""
     index = index.value
-    for batch in batches:
-        c0 = np.full(len(index.ids), -1.0)
-        n0, s0, a0 = (np.zeros(len(index.ids), np.int64) for _ in range(3))
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for num, (a, b) in enumerate(tk.tokenize(text, m.atom, m.size)):
-                h = _hashes(text[a:b], m)
-                who, n = index.shared(h[h != 0])
-                n = n + index.zeros[who] * int((h == 0).any())
-                c = _alike(measure, n, index.sizes[who], len(h))
-                better = (c > c0[who]) | ((c == c0[who]) & ((doc < s0[who]) | ((doc == s0[who]) & (num < a0[who]))))
-                w = who[better]
-                c0[w], n0[w], s0[w], a0[w] = c[better], n[better], doc, num
-        w = np.flatnonzero(c0 >= 0)
-        yield _found([index.ids[w], index.nums[w], s0[w], a0[w], n0[w], c0[w]])
+    c0 = np.full(len(index.ids), -1.0)
+    n0, s0, a0 = (np.zeros(len(index.ids), np.int64) for _ in range(3))
+    for doc, texts in _by_id(batches):
+        cuts = [tk.tokenize(t, m.atom, m.size) for t in texts]
+        for num in range(max(map(len, cuts))):
+            own = [_hashes(t[c[num][0] : c[num][1]], m) for t, c in zip(texts, cuts) if num < len(c)]
+            h = own[0] if len(own) == 1 else np.unique(np.concatenate(own))
+            who, n = index.shared(h[h != 0])
+            n = n + index.zeros[who] * int((h == 0).any())
+            c = _alike(measure, n, index.sizes[who], len(h))
+            better = (c > c0[who]) | ((c == c0[who]) & ((doc < s0[who]) | ((doc == s0[who]) & (num < a0[who]))))
+            w = who[better]
+            c0[w], n0[w], s0[w], a0[w] = c[better], n[better], doc, num
+    w = np.flatnonzero(c0 >= 0)
+    yield _found([index.ids[w], index.nums[w], s0[w], a0[w], n0[w], c0[w]])
 
 
 def search_texts(docs: DataFrame, method: Method, sources: DataFrame, measure: str = "containment", least: int = 0) -> DataFrame:
@@ -411,16 +427,13 @@ def search_texts(docs: DataFrame, method: Method, sources: DataFrame, measure: s
     """
     similarity(measure, F.lit(1), F.lit(1), F.lit(1))
     rows, index = _index(sources, 1)
-    alone, again = by_repeats(docs) if index is not None else (None, docs)
-    out = None
-    if alone is not None:
-        out = alone.mapInArrow(partial(_suspects, m=method, index=index, measure=measure, least=least, all_passages=True, first="", search_n=0), FOUND)
-        out = out.select(*S, F.lit(1).alias("rank"), *R, "shared", "confidence")
-    if again is not None:
-        pieces = atoms(again, method.atom, method.size).select(*S, "start", "end")
-        slow = search(method.prints(again), rows, measure, pieces, short=pieces.where(F.col("end") - F.col("start") < least) if least else None)
-        out = slow if out is None else out.unionByName(slow)
-    return out
+    alone, together, apart = side_by_side(docs) if index is not None else (None, None, docs)
+    met = partial(_suspects, m=method, index=index, measure=measure, least=least, all_passages=True, first="", search_n=0)
+    out = [x.mapInArrow(met, FOUND).select(*S, F.lit(1).alias("rank"), *R, "shared", "confidence") for x in (alone, together) if x is not None]
+    if apart is not None:
+        pieces = atoms(apart, method.atom, method.size).select(*S, "start", "end")
+        out.append(search(method.prints(apart), rows, measure, pieces, short=pieces.where(F.col("end") - F.col("start") < least) if least else None))
+    return reduce(DataFrame.unionByName, out)
 
 
 def search_among_texts(suspects: DataFrame, docs: DataFrame, method: Method, measure: str = "containment") -> DataFrame:
@@ -432,25 +445,24 @@ def search_among_texts(suspects: DataFrame, docs: DataFrame, method: Method, mea
     rows, index = _index(suspects)
     if index is None:
         return search(rows, method.prints(docs), measure)
-    alone, again = by_repeats(docs)
-    found = alone.mapInArrow(partial(_sources, m=method, index=index, measure=measure), FOUND)
-    return best(found if again is None else found.unionByName(candidates(rows, method.prints(again), measure)), rows)
+    alone, together, apart = side_by_side(docs)
+    found = [x.mapInArrow(partial(_sources, m=method, index=index, measure=measure), FOUND) for x in (alone, together) if x is not None]
+    if apart is not None:
+        found.append(candidates(rows, method.prints(apart), measure))
+    return best(reduce(DataFrame.unionByName, found), rows)
 
 
 def two_level_texts(docs: DataFrame, method: Method, sources: DataFrame, measure: str = "containment", search_n: int = 5, passages_first: bool = False) -> DataFrame:
     """As ``two_level`` of the passages of ``docs(doc_id, text)``, whole sources and their passages being the same."""
     similarity(measure, F.lit(1), F.lit(1), F.lit(1))
     rows, index = _index(sources, search_n, by_id=True)
-    alone, again = by_repeats(docs) if index is not None else (None, docs)
-    out = None
-    if alone is not None:
-        out = alone.mapInArrow(partial(_suspects, m=method, index=index, measure=measure, least=0, all_passages=False, first="passage" if passages_first else "document", search_n=search_n), FOUND)
-        out = out.select(*S, F.lit(1).alias("rank"), *R, "shared", "confidence")
-    if again is not None:
-        prints = method.prints(again)
-        slow = two_level(prints if passages_first else method._replace(atom="full").prints(again), rows, prints, rows, measure, search_n, passages_first)
-        out = slow if out is None else out.unionByName(slow)
-    return out
+    alone, together, apart = side_by_side(docs) if index is not None else (None, None, docs)
+    met = partial(_suspects, m=method, index=index, measure=measure, least=0, all_passages=False, first="passage" if passages_first else "document", search_n=search_n)
+    out = [x.mapInArrow(met, FOUND).select(*S, F.lit(1).alias("rank"), *R, "shared", "confidence") for x in (alone, together) if x is not None]
+    if apart is not None:
+        prints = method.prints(apart)
+        out.append(two_level(prints if passages_first else method._replace(atom="full").prints(apart), rows, prints, rows, measure, search_n, passages_first))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

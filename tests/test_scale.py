@@ -1,5 +1,7 @@
 """Steps whose memory, time or numbers once grew faster than their tables."""
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,6 +12,7 @@ from stemmata.functions import cluster, style
 from stemmata.functions import fingerprint as fp
 from stemmata.functions import tokenize as tk
 from stemmata.operators import evaluate, features, fingerprints, models, scoring, search
+from stemmata.operators import atoms as at
 from stemmata.operators.atoms import atoms
 
 
@@ -180,3 +183,40 @@ def test_passages_are_not_hashed_and_met_one_by_one(spark, monkeypatch):
             monkeypatch.setattr(search, "PAIRS", pairs)
             found.append([b.to_pylist() for b in search._suspects(iter(batch), m, index, "jaccard", 0, True, first, 3)])
         assert found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("limit, most", [(0, at.SIDE_BY_SIDE), (at.BROADCAST_BYTES, 200)])
+def test_texts_of_a_repeated_id_meet_in_one_task(spark, monkeypatch, limit, most):
+    """Only hashes of an id with too much text for a task are shuffled and joined."""
+    docs, items = _corpus(spark)
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") > 6, F.col("doc_id") % 13).otherwise(F.col("doc_id"))).repartition(5)
+    m = search.Method("winnow-k", 4, 6, "nchars", 40, 40)
+    sources = fingerprints.fingerprints(items, "winnow-k", 4, 6, span=40)
+    prints, whole, pieces = m.prints(docs), fingerprints.fingerprints(docs, "winnow-k", 4, 6, span=40), atoms(docs, "nchars", 40)
+    rows = lambda df: sorted(map(str, df.collect()))
+    short = pieces.where("end - start < 45")
+    want = [
+        rows(search.search(prints, sources, "jaccard", pieces, short=short)),
+        rows(search.search(sources, prints, "jaccard")),
+        *(rows(search.two_level(prints if f else whole, sources, prints, sources, search_n=2, passages_first=f)) for f in (False, True)),
+    ]
+    monkeypatch.setattr(at, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(search, "side_by_side", partial(at.side_by_side, most=most))
+    if most > 200:
+        for joined in ("search", "two_level", "candidates"):
+            monkeypatch.setattr(search, joined, lambda *_, **__: 1 / 0)
+    assert rows(search.search_texts(docs, m, sources, "jaccard", least=45)) == want[0]
+    assert rows(search.search_among_texts(sources, docs, m, "jaccard")) == want[1]
+    assert [rows(search.two_level_texts(docs, m, sources, search_n=2, passages_first=f)) for f in (False, True)] == want[2:]
+
+
+def test_an_id_is_not_cut_by_batches_and_chunks(spark, monkeypatch):
+    docs, items = _corpus(spark)
+    m = search.Method("winnow-k", 4, 6, "nchars", 40, 40)
+    index = search._index(fingerprints.fingerprints(items, "winnow-k", 4, 6, span=40))[1]
+    table = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("doc_id", F.col("doc_id") % 13).orderBy("doc_id", "text").toArrow()
+    found = []
+    for chunk, batch in ((1 << 18, 1000), (1, 1000), (1, 1), (300, 2)):
+        monkeypatch.setattr(search, "CHUNK", chunk)
+        found.append([r for b in search._suspects(iter(table.to_batches(batch)), m, index, "jaccard", 0, True, "", 0) for r in b.to_pylist()])
+    assert found[0] and found[0] == found[1] == found[2] == found[3]
